@@ -10,15 +10,43 @@ from pyspark.sql import functions as F
 from .common import documents
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language import identify_language
+from .ngram_join import ngram_join
+from .packing import pack_documents
 from .shard import shard_documents
+from .sstable import read_sstables, write_sstables
 from .url_reputation import judge_urls
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_sstables(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return read_sstables(manifest, with_ids=False)
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir)).drop("class_id")
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judge_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict", "n_labelled")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(documents(spark, sf_dir))
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
@@ -34,10 +62,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_reputation, op8_kd_sharding, op9_exact_dedup, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_sstable, op2_ngram_join, op3_url_reputation, op4_packing, op5_language, op8_kd_sharding, op9_exact_dedup, op10_decontaminate,
+    )
 }
 
 SQL: dict[str, str] = {
+    "op2_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 75 * (s.n + t.n - c)),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, y FROM reach JOIN links ON b = x),
+        lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM lowest LEFT JOIN sizes USING (doc_id)""",
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
