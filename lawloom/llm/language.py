@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,16 +18,18 @@ _LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
+@cache
+def _letters() -> np.ndarray:
+    """1 for each code point that is a letter."""
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), np.uint8, 0x110000)
+
+
 class Alphabet:
     """Code points as small classes: 0 for all that is no letter, 1 for rare letters, then the frequent ones."""
 
     def __init__(self, letters: list[str], orders: int) -> None:
         self.orders, self.base = orders, len(letters) + 2
-        self.table = np.zeros(0x110000, np.uint8)
-        for block in range(0, 0x110000, 0x800):
-            for cp in range(block, block + 0x800):
-                if chr(cp).isalpha():
-                    self.table[cp] = 1
+        self.table = _letters().copy()
         for k, letter in enumerate(letters):
             self.table[ord(letter)] = k + 2
         # Where the numbers of the n-grams of each order begin.
@@ -135,8 +138,7 @@ def fit_language(
     values, vectors = np.linalg.eigh(between.astype(np.float64))
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])  # the landmark kernel's inverse square root
-    train = train or [r for r in ()]
-    x = np.array([r.k for r in train]).reshape(len(train), -1) if train else between
+    x = np.array([r.k for r in train]) if train else between
     names = [r.lang for r in train] if train else [r.lang for r in chosen]
     phi = x @ root
     y = np.array([[1.0 if name == lang else -1.0 for lang in langs] for name in names])
