@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fold
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import identify_language
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .pitman_yor import score_texts
 from .shard import shard_documents
 from .sstable import read_sstables, write_sstables
 from .url_reputation import judge_urls
@@ -47,6 +48,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(documents(spark, sf_dir))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), fold(F.col("doc_id")) == 1)
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
@@ -64,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_sstable, op2_ngram_join, op3_url_reputation, op4_packing, op5_language, op8_kd_sharding, op9_exact_dedup, op10_decontaminate,
+        op1_sstable, op2_ngram_join, op3_url_reputation, op4_packing, op5_language, op7_pitman_yor, op8_kd_sharding, op9_exact_dedup, op10_decontaminate,
     )
 }
 
