@@ -11,6 +11,7 @@ from .common import documents, fold
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import identify_language
+from .line_dedup import drop_recurring_lines
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .pitman_yor import score_texts
@@ -48,6 +49,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = drop_recurring_lines(documents(spark, sf_dir))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir), fold(F.col("doc_id")) == 1)
 
@@ -69,7 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_sstable, op2_ngram_join, op3_url_reputation, op4_packing, op5_language, op7_pitman_yor, op8_kd_sharding, op9_exact_dedup, op10_decontaminate,
+        op1_sstable, op2_ngram_join, op3_url_reputation, op4_packing, op5_language, op6_line_dedup, op7_pitman_yor, op8_kd_sharding, op9_exact_dedup, op10_decontaminate,
     )
 }
 
