@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.functions.text import vector_hash
@@ -92,10 +92,12 @@ def key_page(index: DataFrame, skip: int, size: int = 1000) -> DataFrame:
 
 def facets(index: DataFrame, columns: list[str]) -> DataFrame:
     """facet, value, rows of each column, arrays by their items; columns are read in one pass."""
-    pairs = []
-    for c in columns:
-        kind = dict(index.dtypes)[c]
-        items = F.col(c) if kind.startswith("array") else F.array(F.col(c).cast("string"))
-        pairs.append(F.transform(items, lambda v, c=c: F.struct(F.lit(c).alias("facet"), v.alias("value"))))
+    kinds = dict(index.dtypes)
+
+    def pairs_of(c: str) -> Column:
+        items = F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("string"))
+        return F.transform(items, lambda v: F.struct(F.lit(c).alias("facet"), v.alias("value")))
+
+    pairs = [pairs_of(c) for c in columns]
     every = index.select(F.explode(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<facet:string,value:string>>")) for p in pairs]))).alias("f"))
     return every.where("f.value is not null").groupBy("f.facet", "f.value").agg(F.count("*").alias("rows"))

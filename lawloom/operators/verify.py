@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lawloom.session import with_checkpoints
+
 
 def reachable(edges: DataFrame, roots: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
     """Nodes that edges (parent, child) lead to from roots (node), each with its root and depth.
 
     A breadth-first walk by joins: each round's new nodes are those not seen before, so cycles
-    end. Rounds are checkpointed to the shared folder where the session has one.
+    end. What a round finds is checkpointed in the session's shared folder, which cuts the plan.
     """
-    spark = edges.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    kept = (lambda df: df.checkpoint()) if shared else (lambda df: df.persist())
-    front = kept(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
+    with_checkpoints(edges.sparkSession)
+    own = edges.select("parent", "child").distinct().checkpoint()
+    front = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct().checkpoint()
     seen = front
     for depth in range(1, max_rounds + 1):
-        step = front.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
-        front = kept(step.join(seen, ["root", "node"], "left_anti"))
+        step = front.join(own, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+        front = step.join(seen, ["root", "node"], "left_anti").checkpoint()
         if front.isEmpty():
             break
-        seen = kept(seen.unionByName(front))
+        seen = seen.unionByName(front).checkpoint()
     return seen
 
 
