@@ -13,48 +13,79 @@ _WORD = re.compile(f"[^{WHITE}]+")
 _SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _NOT_WHITE = re.compile("[\x1c-\x1f]")  # str.split takes these as white space, the tokenizers don't
 
+# Chunks of these characters alone are split further, as the pre-tokenizers do it; all others go to the tokenizer whole.
+_PLAIN = re.compile("( ?)[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_WORD_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_BYTE_PARTS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[0-9]+| ?[^ A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+)
+
 _LOADED: dict[str, ChunkTokenizer] = {}
 
 
 class ChunkTokenizer:
     """Ids of whole texts, equal to the tokenizer's own, found chunk by chunk.
 
-    Both tokenizers break at white space before they merge anything, so the ids of a
-    text are those of its chunks in a row. Chunks come again and again; ids of up to
-    ``memory`` of them are kept (all are forgotten when full). A text that holds one
-    of the tokenizer's special strings is encoded in one go.
+    Both tokenizers break at white space, and then between letters, digits and marks, before they
+    merge anything; so the ids of a text are those of its parts in a row. Parts come again and
+    again: the ids of up to ``memory`` chunks between white space and twice as many parts of
+    chunks are kept (all are forgotten when full). A text that holds one of the tokenizer's
+    special strings is encoded in one go.
     """
 
-    def __init__(self, path: str, memory: int = 300_000) -> None:
+    def __init__(self, path: str, memory: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        normalizer = self.tokenizer.normalizer
-        self.drops_space = normalizer is not None  # the word tokenizer; the byte tokenizer keeps a leading space
+        self.lowers = self.tokenizer.normalizer is not None  # the word tokenizer drops white space; the byte tokenizer keeps a leading space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.break_id = self.tokenizer.token_to_id(self.special[0])
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.memory = memory
 
     def chunks(self, text: str) -> list[str]:
-        if not self.drops_space:
+        if not self.lowers:
             return _SPACED.findall(text)
         return _WORD.findall(text) if _NOT_WHITE.search(text) else text.split()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def split(self, chunk: str) -> list[str]:
+        if not _PLAIN.fullmatch(chunk):
+            return [chunk]
+        return _WORD_PARTS.findall(chunk.lower()) if self.lowers else _BYTE_PARTS.findall(chunk)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode many parts in one call, with a special string between them."""
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = self._encode(self.special[0].join(some))
+            breaks, data, begin = np.flatnonzero(ids == self.break_id), ids.tobytes(), 0
+            for part, end in zip(some, [*breaks.tolist(), len(ids)], strict=True):
+                self.parts[part] = data[4 * begin : 4 * end]
+                begin = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null has none."""
         split = [None if not t or any(s in t for s in self.special) else self.chunks(t) for t in texts]
         if len(self.known) > self.memory:
             self.known.clear()
-        known = self.known
-        new = list({c for chunks in split if chunks for c in chunks if c not in known})
-        for at in range(0, len(new), 10_000):
-            known.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
+        if len(self.parts) > 2 * self.memory:
+            self.parts.clear()
+        known, parts = self.known, self.parts
+        seen: set[str] = set()
+        for chunks in split:
+            if chunks:
+                seen.update(chunks)
+        new = {c: self.split(c) for c in seen if c not in known}
+        self._learn(list({p for own in new.values() for p in own if p not in parts}))
+        for chunk, own in new.items():
+            known[chunk] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
         return [
-            b"".join([known[c] for c in chunks]) if chunks is not None else self._encode([t])[0] if t else b""
+            b"".join([known[c] for c in chunks]) if chunks is not None else self._encode(t).tobytes() if t else b""
             for t, chunks in zip(texts, split, strict=True)
         ]
 
