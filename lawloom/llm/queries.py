@@ -135,7 +135,7 @@ SQL: dict[str, str] = {
             FROM split LEFT JOIN known USING (page_id) GROUP BY host),
         domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
         suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
-        total AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS p FROM suffixes),
+        total AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 10) AS p FROM suffixes),
         levels AS (
             SELECT 'h' AS l, n::DOUBLE AS n, bad::DOUBLE AS bad FROM hosts UNION ALL SELECT 'd', n, bad FROM domains
             UNION ALL SELECT 's', n, bad FROM suffixes),

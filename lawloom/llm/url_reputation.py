@@ -87,7 +87,7 @@ def host_reputation(hosts: DataFrame, *, z: float = 1.645) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     total = suffixes.agg(*sums).first()
-    rate = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1)
+    rate = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 10)
     fit = Fit(rate, _weight(suffixes, rate), _weight(domains, rate), _weight(hosts, rate))
 
     def shrunk(prior: Column, weight: float) -> Column:
