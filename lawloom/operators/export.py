@@ -98,7 +98,7 @@ def attachment_docs(attachments: DataFrame, chapters: DataFrame, *, base_url: st
 def law_docs(rows: DataFrame) -> DataFrame:
     """Documents of new laws (id, title, subject, adopted, type, href)."""
     title = F.coalesce(empty_to_null(F.col("title")), F.col("id"))
-    adopted = F.coalesce(F.try_to_date("adopted", F.lit("yyyy-MM-dd")), F.try_to_date("adopted", F.lit("M/d/yyyy")), F.try_to_date("adopted", F.lit("MM-dd-yyyy")))
+    adopted = F.coalesce(F.try_to_date("adopted", "yyyy-MM-dd"), F.try_to_date("adopted", "M/d/yyyy"), F.try_to_date("adopted", "MM-dd-yyyy"))
     return rows.select(
         index_key(F.concat(F.lit("newlaw-"), "id")).alias("doc_id"), F.lit("new_law").alias("source_type"), title.alias("title"), F.coalesce(empty_to_null(F.col("subject")), title).alias("citation"),
         F.col("href").alias("url"), adopted.cast("timestamp").alias("adopted_date"), F.concat_ws(" ", F.lit("Adopted"), empty_to_null(F.col("adopted")), F.lit("-"), empty_to_null(F.col("subject"))).alias("history"), F.array(title).alias("ordinances"),

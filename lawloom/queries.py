@@ -492,6 +492,6 @@ def rate_limit_stream(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     requests = files.select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("id"), at.alias("at"))
     name = f"limited_{abs(hash(sf_dir))}"
-    running = limit_stream(requests, per_minute=2, per_day=3).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    running = limit_stream(requests, per_minute=2, per_day=3, evict=False).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name).select("client", "id", "accepted", "reason")

@@ -46,11 +46,11 @@ def limit_rows(requests: DataFrame, *, per_minute: int = PER_MINUTE, per_day: in
     return each.select("x.all.client", "x.all.id", "x.all.at", (F.col("x.reasons") == "").alias("accepted"), F.when(F.col("x.reasons") != "", F.col("x.reasons")).alias("reason"))
 
 
-def limit_stream(requests: DataFrame, *, per_minute: int = PER_MINUTE, per_day: int = PER_DAY) -> DataFrame:
+def limit_stream(requests: DataFrame, *, per_minute: int = PER_MINUTE, per_day: int = PER_DAY, evict: bool = True) -> DataFrame:
     """The same for a stream of requests (client, id, at), keyed by client.
 
-    A client's state is its accepted times of the last day; it is dropped when the client was idle
-    for a day. Requests of a batch are taken in order of time; batches must come in that order.
+    A client's state is its accepted times of the last day; with ``evict`` it is dropped when the
+    client was idle for a day, by the clock, which needs a trigger that goes on running. Requests of a batch are taken in order of time; batches must come in that order.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,7 +66,9 @@ def limit_stream(requests: DataFrame, *, per_minute: int = PER_MINUTE, per_day:
                 kept.append(r.at)
             rows.append((key[0], r.id, r.at, reason is None, reason))
         state.update((kept,))
-        state.setTimeoutDuration(int(DAY * 1000))
+        if evict:
+            state.setTimeoutDuration(int(DAY * 1000))
         yield pd.DataFrame(rows, columns=["client", "id", "at", "accepted", "reason"])
 
-    return requests.groupBy("client").applyInPandasWithState(run, RESULT, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout
+    return requests.groupBy("client").applyInPandasWithState(run, RESULT, "times array<double>", "append", timeout)
