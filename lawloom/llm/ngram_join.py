@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, materialise
@@ -108,8 +108,15 @@ def _maybe_shared(docs: DataFrame, size: int, percent: int, buckets: int) -> Dat
     return packed.groupBy("bucket").applyInPandas(count, "short_key long, n long").groupBy("short_key").agg(F.sum("n").alias("shared"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams once more as little-endian bytes, which are cheaper to move."""
+    for batch in batches:
+        packed = [g.values.to_numpy().astype("<i8").tobytes() for g in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], ["set_key", "n", "grams", "packed"])
+
+
 def _ranked(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """set_key, n, grams: the n-grams that other sets have too, rarest first, of sets that have enough of them.
+    """set_key, n, grams, packed: the n-grams that other sets have too, rarest first, of sets that have enough of them.
 
     An n-gram becomes the number (frequency, hash) in one integer, so integers sort rarest first.
     N-grams of one set only stand before all these and are but counted: n - size(grams).
@@ -128,42 +135,24 @@ def _ranked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     frequency = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     number = F.shiftleft(F.least("df", F.lit(_RARE)), 48).bitwiseOR(F.col("gram").bitwiseAND(F.lit((1 << 48) - 1)))
     ranked = grams.join(frequency, "gram").groupBy("set_key", "n").agg(F.array_sort(F.collect_list(number)).alias("grams"))
-    return materialise(ranked.where(F.size("grams") * 100 >= F.col("n") * percent), "ranked")
+    return materialise(ranked.where(F.size("grams") * 100 >= F.col("n") * percent).mapInArrow(_packed, "set_key binary, n long, grams array<long>, packed binary"), "ranked")
 
 
-def _prefixes(ranked: DataFrame, percent: int) -> DataFrame:
-    """One row per prefix n-gram that others have too: gram, set_key, n, place (1 is the rarest), and the band of lengths."""
+def _members(ranked: DataFrame, percent: int) -> DataFrame:
+    """hub, set_key, shared: the sets with a common prefix n-gram, by one of them.
+
+    The hub of an n-gram is the set, of those that have it in their prefix, whose n-grams are
+    shared the most. Two sets with a common prefix n-gram have a common hub, and most n-grams
+    of a group of near copies have the same one, so a set has few hubs. shared counts the prefix
+    n-grams by which a set has the hub.
+    """
     need = F.ceil(F.col("n") * percent / 100).cast("long")
     alone = F.col("n") - F.size("grams")
     take = (F.col("n") - need + 1 - alone).cast("int")
-    rows = ranked.where(take > 0).select("set_key", "n", alone.alias("alone"), F.posexplode(F.slice("grams", F.lit(1), take)).alias("k", "gram"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    return rows.select("gram", "set_key", "n", (F.col("alone") + F.col("k") + 1).alias("place"), band.alias("band"))
-
-
-def _needed(percent: int) -> Column:
-    """Shared n-grams that make sets of n and n2 similar: ceil of percent / (100 + percent) of n + n2."""
-    return F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
-
-
-def _may_be_similar(percent: int) -> Column:
-    """Length filter, and positional filter at a common n-gram, before which more may be shared."""
-    lengths = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
-    most = F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    return lengths & (most >= _needed(percent))
-
-
-def _candidates(pairs: DataFrame, tested: DataFrame | None, percent: int, first: bool) -> DataFrame:
-    """Distinct pairs (u, v) that were not tested before.
-
-    first: the pairs come with all their common prefix n-grams, so before the first of these
-    nothing is shared, which makes the positional filter sharper.
-    """
-    if first:
-        near = pairs.groupBy("u", "v", "n", "n2").agg(F.min("place").alias("place"), F.min("place2").alias("place2"))
-        pairs = near.where(1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= _needed(percent))
-    pairs = pairs.select("u", "v").distinct()
-    return pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
+    rank = F.struct((F.size("grams") / F.col("n")).alias("share"), "set_key")
+    rows = ranked.where(take > 0).select("set_key", rank.alias("rank"), F.explode(F.slice("grams", F.lit(1), take)).alias("gram"))
+    hubs = rows.groupBy("gram").agg(F.max("rank").alias("hub"), F.count("*").alias("sets")).where("sets > 1").select("gram", "hub.set_key")
+    return rows.select("set_key", "gram").join(hubs.withColumnRenamed("set_key", "hub"), "gram").groupBy("hub", "set_key").agg(F.count("*").alias("shared"))
 
 
 def _hamming(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
@@ -180,8 +169,16 @@ def _hamming(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
     return left + _hamming(x[at + same :], y[mid + 1 :], most - left, depth - 1) + (not same)
 
 
+def possible(n: np.ndarray, m: np.ndarray, n2: np.ndarray, m2: np.ndarray, percent: int) -> np.ndarray:
+    """Length filter, and positional filter: nothing is shared before the first of the m n-grams that others have."""
+    need = np.ceil((n + n2) * percent / (100 + percent) - 1e-9)
+    return (n * 100 >= n2 * percent) & (n2 * 100 >= n * percent) & (np.minimum(m, m2) >= need)
+
+
 def similar(x: np.ndarray, y: np.ndarray, n: int, n2: int, percent: int) -> bool:
-    """Suffix filter, then the exact test; x and y hold the shared n-grams of sets of n and n2."""
+    """All filters, then the exact test; x and y hold the n-grams of sets of n and n2 that others have."""
+    if not possible(n, len(x), n2, len(y), percent):
+        return False
     most = n + n2 - 2 * -(-(n + n2) * percent // (100 + percent)) - (n - len(x)) - (n2 - len(y))
     if most < 0 or _hamming(x, y, most, 2) > most:
         return False
@@ -189,51 +186,116 @@ def similar(x: np.ndarray, y: np.ndarray, n: int, n2: int, percent: int) -> bool
     return 100 * both >= percent * (n + n2 - both)
 
 
-def _verified(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+def _star_links(members: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between each set and the hub with which it has the most prefix n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, n, n2 = (batch.column(k) for k in range(4))
-            x, y = batch.column(4), batch.column(5)
+            u, v, n, n2, x, y = (batch.column(k) for k in range(6))
             held = [
-                similar(x[k].values.to_numpy(), y[k].values.to_numpy(), n[k].as_py(), n2[k].as_py(), percent) for k in range(batch.num_rows)
+                similar(np.frombuffer(x[k].as_py(), "<i8"), np.frombuffer(y[k].as_py(), "<i8"), n[k].as_py(), n2[k].as_py(), percent) for k in range(batch.num_rows)
             ]
             keep = pa.array(held, pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
-    one = ranked.select(F.col("set_key").alias("u"), "n", "grams")
-    two = ranked.select(F.col("set_key").alias("v"), F.col("n").alias("n2"), F.col("grams").alias("grams2"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "n", "n2", "grams", "grams2").mapInArrow(run, "u binary, v binary")
+    main = members.where("hub <> set_key").groupBy("set_key").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    one = ranked.select("set_key", "n", "packed")
+    two = ranked.select(F.col("set_key").alias("hub"), F.col("n").alias("n2"), F.col("packed").alias("packed2"))
+    return main.join(one, "set_key").join(two, "hub").select(F.col("set_key").alias("u"), F.col("hub").alias("v"), "n", "n2", "packed", "packed2").mapInArrow(run, "u binary, v binary")
 
 
-def _stars(rows: DataFrame, last: bool, percent: int) -> DataFrame:
-    """Each set with the shortest (or the longest) set of its group: prefix n-gram and band of lengths.
+def _block_links(group: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links within one group that join components, at most one less than it has sets.
 
-    Similar sets differ by one band at most, so each set is in the group of its band and of the next.
+    Pairs of one component are left out, and pairs that a smaller common hub has; so each pair is
+    tested in one group. Pairs are tested one by one if they are few, else by a matrix product.
     """
-    groups = rows.withColumn("group", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    order = [F.col("n").desc(), F.col("set_key").desc()] if last else [F.col("n"), F.col("set_key")]
-    whole = Window.partitionBy("gram", "group").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hub = F.first(F.struct("set_key", "n", "place", "component")).over(whole)
-    far = groups.withColumn("hub", hub).where("hub.set_key <> set_key and hub.component <> component")
-    swap = F.col("hub.set_key") < F.col("set_key")
-    return far.select(
-        F.when(swap, F.col("hub.set_key")).otherwise(F.col("set_key")).alias("u"), F.when(swap, F.col("set_key")).otherwise(F.col("hub.set_key")).alias("v"),
-        F.when(swap, F.col("hub.n")).otherwise(F.col("n")).alias("n"), F.when(swap, F.col("n")).otherwise(F.col("hub.n")).alias("n2"),
-        F.when(swap, F.col("hub.place")).otherwise(F.col("place")).alias("place"), F.when(swap, F.col("place")).otherwise(F.col("hub.place")).alias("place2"),
-    ).where(_may_be_similar(percent))
-
-
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets with a common prefix n-gram that are not yet in one component."""
-    whole = Window.partitionBy("gram")
-    mixed = rows.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole)}).where("low <> high").drop("low", "high")
-    other = mixed.select("gram", F.col("set_key").alias("v"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
-    apart = (F.col("u") < F.col("v")) & (F.col("component") != F.col("component2"))
-    return mixed.withColumnRenamed("set_key", "u").join(other, "gram").where(apart & _may_be_similar(percent))
+    hub = group["hub"].iloc[0]
+    keys, component = group["set_key"].tolist(), pd.factorize(group["component"])[0]
+    n, grams = group["n"].to_numpy(), [np.frombuffer(g, "<i8") for g in group["packed"]]
+    m = np.array([len(g) for g in grams])
+    side = group["side"].to_numpy()
+    # One side holds what is not in the largest component, as each wanted pair has such a set.
+    small = np.flatnonzero(component != np.bincount(component).argmax())
+    names, number = np.unique(np.concatenate(grams), return_inverse=True)
+    ends = np.concatenate(([0], np.cumsum(m)))
+    hubs = [{h for h in own if h < hub} for own in group["hubs"]]
+    links, parent = [], list(range(component.max() + 1))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    def join(a: int, b: int) -> None:
+        if root(component[a]) != root(component[b]):
+            parent[root(component[a])] = root(component[b])
+            links.append((keys[a], keys[b]))
+
+    everything = np.arange(len(keys))
+    order = np.full(len(keys), -1)
+    order[small] = np.arange(len(small))
+    for at in range(0, len(small), 256):
+        rows = small[at : at + 256]
+        wanted = possible(n[rows, None], m[rows, None], n[None], m[None], percent) & (component[rows, None] != component[None])
+        # Pairs of two small ones come once; two sides, if there are, only meet each other.
+        wanted &= (order[None] < 0) | (order[None] > order[rows, None])
+        if (side != side[0]).any():
+            wanted &= side[rows, None] != side[None]
+        if wanted.sum() <= 200:
+            tested = [(a, b) for a, b in zip(rows[np.nonzero(wanted)[0]], everything[np.nonzero(wanted)[1]], strict=True)]
+            exact = True
+        else:
+            left, right = np.zeros((len(rows), len(names)), np.float32), np.zeros((len(names), 512), np.float32)
+            for k, r in enumerate(rows):
+                left[k, number[ends[r] : ends[r + 1]]] = 1
+            tested = []
+            for to in range(0, len(keys), 512):
+                columns = everything[to : to + 512]
+                if not wanted[:, columns].any():
+                    continue
+                right[:] = 0
+                for k, c in enumerate(columns):
+                    right[number[ends[c] : ends[c + 1]], k] = 1
+                both = left @ right[:, : len(columns)]
+                held = wanted[:, columns] & (100 * both >= percent * (n[rows, None] + n[None, columns] - both))
+                tested += [(rows[x], columns[y]) for x, y in zip(*np.nonzero(held), strict=True)]
+            exact = False
+        for a, b in tested:
+            if root(component[a]) == root(component[b]) or hubs[a] & hubs[b]:
+                continue
+            if not exact or similar(grams[a], grams[b], int(n[a]), int(n[b]), percent):
+                join(a, b)
+    return links
+
+
+def _rest_links(members: DataFrame, ranked: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (u, v) between sets of different components with a common prefix n-gram, found hub by hub.
+
+    A hub's sets are dealt into blocks of about ``block``; two blocks, or one with itself, are a
+    group, so a group is bounded and large hubs are shared by many tasks.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        if group["component"].nunique() == 1:
+            return pd.DataFrame({"u": [], "v": []}, dtype=object)
+        return pd.DataFrame(_block_links(group, percent), columns=["u", "v"], dtype=object)
+
+    own = members.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    sizes = own.groupBy("hub").agg(F.count("*").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    hubs_of = members.groupBy("set_key").agg(F.collect_list("hub").alias("hubs"))
+    blocks = F.ceil(F.col("sets") / block).cast("int")
+    placed = own.join(sizes.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "hub", "set_key", "component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side")
+    )
+    full = paired.join(ranked.select("set_key", "n", "packed"), "set_key").join(hubs_of, "set_key")
+    return full.groupBy("hub", "a", "b").applyInPandas(run, "u binary, v binary")
 
 
 def ngram_join(
-    docs: DataFrame, *, size: int = 5, percent: int = 75, stars: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, size: int = 5, percent: int = 75, block: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id.
 
@@ -245,14 +307,12 @@ def ngram_join(
     2. Classes that can't have a partner go: a set is kept only if enough of its n-grams are
        shared with any other set (``_maybe_shared``). That is prefix filtering with n-grams
        that a single set has as the rarest, done on packed 32-bit hashes.
-    3. The sets left are read again, their n-grams counted, and ordered rarest first. Pairs come
-       from common prefix n-grams, pass length and positional filters, and are verified once
-       each after a suffix filter.
-    4. Pairs that add nothing to components are not made: ``stars`` rounds join each set with
-       one hub of its prefix n-gram and band of lengths, components are formed, and only sets
-       that share a prefix n-gram but no component are then paired with each other. So large
-       groups of near copies cost rows in proportion to their members, and no link between
-       components is lost.
+    3. The sets left are read again, their n-grams counted, and ordered rarest first. Sets with
+       a common prefix n-gram meet at its hub (``_members``).
+    4. Each set is tested against its main hub, which joins most near copies at a cost in
+       proportion to their number. Then, hub by hub and in blocks, pairs of sets that are not
+       in one component yet are tested once each, behind length, positional and suffix
+       filters. Groups give back links that join components, never all pairs.
 
     Cases: null texts and texts without words have 0 n-grams and component themselves; with
     fewer words than ``size`` the whole sequence is the one n-gram; repeated rows share their
@@ -263,30 +323,21 @@ def ngram_join(
     batches_of(spark, 500)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     known = materialise(signatures(texts, size), "signatures")
-    classes = (
-        known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("doc_id", "text_hash"), F.col("doc_id")).alias("rep"), F.first("n_shingles").alias("n"), F.first("short_key").alias("short_key"))
+    classes = known.where("n_shingles > 0").groupBy("set_key").agg(
+        F.min("doc_id").alias("class_id"), F.min_by(F.struct("doc_id", "text_hash"), F.col("doc_id")).alias("rep"), F.first("n_shingles").alias("n"), F.first("short_key").alias("short_key")
     )
     classes = materialise(classes, "classes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (known.agg(F.sum("n_shingles")).first()[0] or 0) // 4_000_000)
     shared = _maybe_shared(texts, size, percent, buckets)
     enough = F.col("shared") >= F.greatest(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("n") / 4)) - 2)
     alive = materialise(classes.join(shared, "short_key").where(enough).select("set_key", "rep.doc_id", "rep.text_hash"), "alive")
-    ranked = _ranked(
-        texts.join(alive, ["doc_id", "text_hash"]).dropDuplicates(["set_key"]).select("text"), size, percent
-    )
-    rows = materialise(_prefixes(ranked, percent), "prefixes")
-    links, labels, tested = None, None, None
-    for step in range(stars + 1):
-        if labels is None:
-            labelled = rows.withColumn("component", F.col("set_key"))
-        else:
-            labelled = rows.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-        pairs = _stars(labelled, step % 2 == 1, percent) if step < stars else _rest(labelled, percent)
-        pairs = materialise(_candidates(pairs, tested, percent, step == stars), f"pairs{step}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialise(_verified(pairs, ranked, percent), f"links{step}")
-        links = found if links is None else links.unionByName(found)
-        labels = materialise(connected_components(links), "labels")
+    ranked = _ranked(texts.join(alive, ["doc_id", "text_hash"]).dropDuplicates(["set_key"]).select("text"), size, percent)
+    members = materialise(_members(ranked, percent), "members")
+    links = materialise(_star_links(members, ranked, percent), "star_links")
+    labels = materialise(connected_components(links), "labels")
+    more = materialise(_rest_links(members, ranked, labels, percent, block), "rest_links")
+    if not more.isEmpty():
+        labels = materialise(connected_components(links.unionByName(more)), "labels")
     by_class = classes.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "class_id", F.coalesce("component", "set_key").alias("component"))
     lowest = by_class.groupBy("component").agg(F.min("class_id").alias("component_id"))
     by_class = by_class.join(lowest, "component").select("set_key", "class_id", "component_id")
