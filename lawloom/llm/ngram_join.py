@@ -295,7 +295,7 @@ def _rest_links(members: DataFrame, ranked: DataFrame, labels: DataFrame, percen
 
 
 def ngram_join(
-    docs: DataFrame, *, size: int = 5, percent: int = 75, block: int = 1000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, size: int = 5, percent: int = 75, block: int = 1000, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id.
 
@@ -306,7 +306,9 @@ def ngram_join(
     1. Documents with the same set are one class; only classes are joined.
     2. Classes that can't have a partner go: a set is kept only if enough of its n-grams are
        shared with any other set (``_maybe_shared``). That is prefix filtering with n-grams
-       that a single set has as the rarest, done on packed 32-bit hashes.
+       that a single set has as the rarest, done on packed 32-bit hashes. The keys of the sets
+       left are broadcast if they are at most ``broadcast_rows`` (32 bytes each), so that texts
+       stay where they are; beyond that the texts are shuffled once by id.
     3. The sets left are read again, their n-grams counted, and ordered rarest first. Sets with
        a common prefix n-gram meet at its hub (``_members``).
     4. Each set is tested against its main hub, which joins most near copies at a cost in
@@ -331,7 +333,8 @@ def ngram_join(
     shared = _maybe_shared(texts, size, percent, buckets)
     enough = F.col("shared") >= F.greatest(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("n") / 4)) - 2)
     alive = materialise(classes.join(shared, "short_key").where(enough).select("set_key", "rep.doc_id", "rep.text_hash"), "alive")
-    ranked = _ranked(texts.join(alive, ["doc_id", "text_hash"]).dropDuplicates(["set_key"]).select("text"), size, percent)
+    few = F.broadcast(alive) if alive.count() <= broadcast_rows else alive
+    ranked = _ranked(texts.join(few, ["doc_id", "text_hash"]).dropDuplicates(["set_key"]).select("text"), size, percent)
     members = materialise(_members(ranked, percent), "members")
     links = materialise(_star_links(members, ranked, percent), "star_links")
     labels = materialise(connected_components(links), "labels")
