@@ -28,12 +28,12 @@ class ChunkTokenizer:
 
     Both tokenizers break at white space, and then between letters, digits and marks, before they
     merge anything; so the ids of a text are those of its parts in a row. Parts come again and
-    again: the ids of up to ``memory`` chunks between white space and twice as many parts of
-    chunks are kept (all are forgotten when full). A text that holds one of the tokenizer's
+    again: the ids of up to ``memory`` chunks between white space and three times as many parts
+    of chunks are kept, about 100 MB (all are forgotten when full). A text that holds one of the tokenizer's
     special strings is encoded in one go.
     """
 
-    def __init__(self, path: str, memory: int = 500_000) -> None:
+    def __init__(self, path: str, memory: int = 150_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,7 +73,7 @@ class ChunkTokenizer:
         split = [None if not t or any(s in t for s in self.special) else self.chunks(t) for t in texts]
         if len(self.known) > self.memory:
             self.known.clear()
-        if len(self.parts) > 2 * self.memory:
+        if len(self.parts) > 3 * self.memory:
             self.parts.clear()
         known, parts = self.known, self.parts
         seen: set[str] = set()
