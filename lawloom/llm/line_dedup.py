@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, materialise
+from .components import connected_components
 
 _FIELD = re.compile(rb"[0-9@]")  # a token with a digit or an at sign is a variable field
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -40,23 +42,49 @@ def leaf_of(n: int, codes: bytes, depth: int) -> int:
     return xxhash.xxh64_intdigest(codes[: 2 * depth], seed=n) - (1 << 63)
 
 
-def grow_templates(lines: list[np.ndarray], similarity: float) -> np.ndarray:
+def segments_of(n: int, depth: int, similarity: float) -> list[tuple[int, int]]:
+    """Bounds of runs of the tokens after the first ``depth``: lines of one leaf that agree enough have an equal run.
+
+    Lines of n tokens that share a template differ in so many tokens at most, so of one run more
+    than that, one holds no difference. With too few tokens for that, one empty run holds all lines.
+    """
+    runs = n - math.ceil(similarity * n) + 1
+    if n - depth < runs:
+        return [(n, n)]
+    edges = [depth + (n - depth) * k // runs for k in range(runs + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def grow_templates(lines: list[np.ndarray] | np.ndarray, similarity: float, segments: list[tuple[int, int]] | None = None) -> np.ndarray:
     """The template of each line of one leaf, in the order given.
 
     A line joins the template with the most equal tokens if these are at least ``similarity``
     of all; tokens in which they differ become variable and count as unequal from then on.
+    With ``segments``, a line is only compared with templates whose first line has one of its
+    runs of tokens: a template has no tokens but those of its first line, so no other can fit.
     """
     templates = np.zeros((8, len(lines[0])), np.int32)
     made, out = 0, np.zeros(len(lines), np.int64)
+    index: dict[tuple[int, bytes], list[int]] = {}
     for k, line in enumerate(lines):
-        equal = (templates[:made] == line).sum(axis=1)
-        best = int(equal.argmax()) if made else 0
-        if made and equal[best] >= similarity * len(line):
+        if segments is None:
+            near = np.arange(made)
+            equal = (templates[:made] == line).sum(axis=1)
+        else:
+            runs = [(a, line[a:b].tobytes()) for a, b in segments]
+            near = np.array(sorted({t for run in runs for t in index.get(run, ())}), np.int64)
+            equal = (templates[near] == line).sum(axis=1)
+        best = int(equal.argmax()) if len(near) else 0
+        if len(near) and equal[best] >= similarity * len(line):
+            best = int(near[best])
             templates[best][templates[best] != line] = -1
         else:
             if made == len(templates):
                 templates = np.concatenate((templates, np.zeros_like(templates)))
             templates[made], best, made = line, made, made + 1
+            if segments is not None:
+                for run in runs:
+                    index.setdefault(run, []).append(best)
         out[k] = best
     return out
 
@@ -103,14 +131,36 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _templates(distinct: DataFrame, similarity: float) -> DataFrame:
+def _parts(large: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """node, component of the lines (leaf, hash, n, codes) of large leaves that share a run of tokens with another line.
+
+    Lines that don't meet, directly or over others, can't share a template nor change one
+    another's, so components can be grown apart from each other with the result of the whole leaf.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, runs = [], []
+            for leaf, line, n, codes in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for a, b in segments_of(n, depth, similarity):
+                    hashes.append(line)
+                    runs.append(xxhash.xxh64_intdigest(leaf.to_bytes(8, "little", signed=True) + codes[2 * a : 2 * b], seed=a) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(runs, pa.int64())], ["hash", "run"])
+
+    runs = materialise(large.select("leaf", "hash", "n", "codes").mapInArrow(run, "hash long, run long"), "runs")
+    met = runs.groupBy("run").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("run", "low")
+    return connected_components(runs.join(met, "run").select(F.col("hash").alias("u"), F.col("low").alias("v")))
+
+
+def _templates(distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
     """hash, template of distinct lines (leaf, hash, codes, first); a task goes through its leaves one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, templates = [], []
         for rows in _leaves(batches):
             own = rows.column("hash").to_numpy()
-            found = grow_templates([np.frombuffer(c, "<u2").astype(np.int32) for c in rows.column("codes").to_pylist()], similarity)
+            lines = np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<u2").reshape(len(own), -1)
+            found = grow_templates(lines, similarity, segments_of(lines.shape[1], depth, similarity) if len(own) > 200 else None)
             _, first = np.unique(found, return_index=True)
             hashes.append(own)
             templates.append(own[first[found]])
@@ -132,21 +182,20 @@ def recurring_lines(
     several = lines.groupBy("leaf").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("leaf")
     lines = materialise(lines.join(several, "leaf"), "shared_lines")
     distinct = lines.groupBy("leaf", "hash").agg(F.min("doc").alias("first"), F.first("n").alias("n"), F.min("codes").alias("codes"))
-    deep = depth
     distinct = materialise(distinct, "distinct_lines")
-    while True:
-        # Leaves with too many lines for one task become deeper, until they are whole lines.
-        large = distinct.groupBy("leaf").agg(F.count("*").alias("lines"), F.first("n").alias("n")).where((F.col("lines") > leaf_lines) & (F.col("n") > deep))
-        if large.isEmpty():
-            break
-        deep *= 2
-        deeper = F.xxhash64("leaf", F.substring("codes", 1, 2 * deep))
-        marked = distinct.join(large.select("leaf", F.lit(True).alias("large")), "leaf", "left")
-        distinct = materialise(marked.withColumn("leaf", F.when(F.col("large"), deeper).otherwise(F.col("leaf"))).drop("large"), "distinct_lines")
+    large = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") > leaf_lines)
+    large = materialise(large.select("leaf", F.lit(True).alias("large")), "large_leaves")
+    if not large.isEmpty():
+        # Leaves with too many lines for one task are divided into lines that can't share a template.
+        marked = materialise(distinct.join(F.broadcast(large), "leaf", "left"), "marked_lines")
+        parts = _parts(marked.where("large"), depth, similarity).select(F.col("node").alias("hash"), "component")
+        whole = marked.where("large is null").drop("large")
+        split = marked.where("large").drop("large").join(parts, "hash", "left").withColumn("leaf", F.coalesce("component", "hash")).drop("component")
+        distinct = materialise(whole.unionByName(split), "distinct_lines")
     alone = distinct.groupBy("leaf").agg(F.count("*").alias("lines"))
     sized = distinct.join(alone, "leaf")
     exact = sized.where("lines = 1").select("hash", F.col("hash").alias("template"))
-    grown = _templates(sized.where("lines > 1").select("leaf", "hash", "codes", "first"), similarity)
+    grown = _templates(sized.where("lines > 1").select("leaf", "hash", "codes", "first"), depth, similarity)
     template = materialise(exact.unionByName(grown), "templates")
     placed = lines.select("row", "doc", "line", "hash").join(template, "hash")
     docs_of = placed.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
@@ -164,7 +213,8 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     document with the smallest id. Lines of fewer than ``least_tokens`` tokens always stay.
 
     Equal lines are one row before leaves are grouped, so a very common line costs one row a task;
-    leaves over ``leaf_lines`` distinct lines are split by more leading tokens.
+    leaves over ``leaf_lines`` distinct lines are divided into components of lines that share a run
+    of tokens (``segments_of``), with the templates of the whole leaf. One component is one task's.
 
     Cases: null and empty texts stay as they are, with 0 lines; a null id counts as the smallest;
     rows with equal id and text get the same verdict; all other columns pass through (columns named

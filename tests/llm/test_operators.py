@@ -338,6 +338,26 @@ def test_templates_generalise_fields():
     assert line_dedup.grow_templates(lines, 0.8).tolist() == [0, 0, 1, 0]
 
 
+def test_large_leaves_keep_lines_that_differ_early(spark):
+    # The fourth token, a name, differs; in leaves of three lines these must still share a template.
+    r = random.Random(8)
+    tail = [" ".join(r.choice("abcdefgh") * 3 for _ in range(9)) for _ in range(40)]
+    rows = [(k, f"sent to you {''.join(chr(97 + int(c)) for c in str(k))} on {tail[k % 40]}\nkept {k}") for k in range(200)]
+    got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), leaf_lines=3).collect()
+    drop = drain(rows)
+    assert {(x.doc_id, x.n_dropped) for x in got} == {(i, sum(d[:2] == (i, t) for d in drop)) for i, t in rows} and len(drop) >= 150
+
+
+def test_indexed_templates_are_those_of_all_comparisons():
+    r = np.random.default_rng(3)
+    for n in (3, 5, 8, 21):
+        lines = np.concatenate([r.integers(0, 3, (300, n)), np.repeat(r.integers(0, 40, (20, n)), 15, axis=0)])
+        lines[:, :3] = 1
+        lines[300:, 3:][r.random((300, n - 3)) < 0.08] = 99
+        lines = r.permutation(lines)
+        assert (line_dedup.grow_templates(lines, 0.8) == line_dedup.grow_templates(lines, 0.8, line_dedup.segments_of(n, 3, 0.8))).all()
+
+
 def test_language_model(docs, rows):
     got = score_texts(docs, fold(F.col("doc_id")) == 1, frequent=20, sweeps=6, burn_in=2).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
