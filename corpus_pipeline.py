@@ -1,7 +1,8 @@
 """The corpus pipeline: five operators in a row, each on what the one before kept.
 
-Ids name documents: of repeated ids the near-copy stage keeps one row. Documents without an id
-are judged by language, lines and benchmark like others, but link with nothing.
+Rows are judged each by its id and text (``with_row``), never by the id alone: a verdict holds for rows
+with both equal, so documents without an id are judged like others, and of repeated ids with
+different texts only the rejected texts go.
 """
 
 from __future__ import annotations
@@ -22,14 +23,21 @@ from lawloom.llm.queries import tokenizer_file
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those with one of ids, which are written first, so that Spark knows whether they are few enough to broadcast."""
-    return docs.join(materialise(ids.select("doc_id").distinct(), "ids"), "doc_id", "left_anti").select(COLUMNS)
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs and the hash of their id and text; nulls are marked, as xxhash64 passes over them."""
+    marked = [x for c in ("doc_id", "text") for x in (F.col(c), F.col(c).isNull())]
+    return docs.select(*COLUMNS, F.xxhash64(*marked).alias("row"))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs (of ``with_row``) but those with one of rows, which are written first, so that Spark knows whether they are few enough to broadcast."""
+    return docs.join(materialise(rows.select("row").distinct(), "rows"), "row", "left_anti").select(COLUMNS)
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: ``und`` goes, and what the classifier can't place (score under 0.3)."""
-    return without(docs, identify_language(docs).where((F.col("lang_pred") == "und") | (F.col("score") < 0.3)))
+    rows = with_row(docs)
+    return without(rows, identify_language(rows, key_col="row").where((F.col("lang_pred") == "und") | (F.col("score") < 0.3)))
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +48,25 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links connect; of repeated ids one row."""
-    groups = materialise(ngram_join(docs), "groups")
-    kept = without(docs, groups.where("doc_id <> component_id"))
-    repeated = materialise(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """The document with the smallest id of each group that links connect, any id before none; of rows with equal id and text one."""
+    rows = with_row(docs)
+    found = ngram_join(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    groups = materialise(found.groupBy("row", "component").agg(F.count("*").alias("rows")), "groups")
+    linked = groups.join(groups.where("row <> component").select("component").distinct(), "component").select("row", "component")
+    named = materialise(rows.select("row", "doc_id").join(linked, "row").distinct(), "linked")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    kept = with_row(without(rows, named.join(first, "component").where("row <> first.row")))
+    repeated = materialise(groups.where("rows > 1").select("row"), "repeated")
     if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select(COLUMNS)
+    return kept.join(repeated, "row", "left_anti").unionByName(kept.join(repeated, "row", "left_semi").dropDuplicates(["row"])).select(COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark occurs."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.where("contaminated"))
+    rows = with_row(docs)
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +81,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-# Language scores, tokens and packing can't be told in SQL; a test holds the stages against plain Python.
+# Language scores, tokens and packing can't be told in SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 

@@ -178,8 +178,8 @@ def predict_language(docs: DataFrame, model: Model | None, *, id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
 
-def identify_language(docs: DataFrame, *, folds: int = 5, **fit: float) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score.
+def identify_language(docs: DataFrame, *, folds: int = 5, key_col: str | None = None, **fit: float) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score; with ``key_col``, a long column, that key, lang_pred, score.
 
     Learns from documents with a text and a lang whose id is not in fold 0; lang, source and id
     are not used to predict. Score is the softmax of the one-versus-rest outputs, 0 to 1.
@@ -190,5 +190,7 @@ def identify_language(docs: DataFrame, *, folds: int = 5, **fit: float) -> DataF
     """
     ids = docs.withColumn("fold", fold(F.col("doc_id"), folds))
     labelled = ids.where((F.col("fold") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    predicted = predict_language(docs, fit_language(labelled, **fit))
+    predicted = predict_language(docs, fit_language(labelled, **fit), id_col=key_col or "doc_id")
+    if key_col:
+        return predicted.select(F.col("doc_id").alias(key_col), "lang_pred", "score")
     return predicted.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
