@@ -326,15 +326,17 @@ def ngram_join(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     known = materialise(signatures(texts, size), "signatures")
     classes = known.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("class_id"), F.min_by(F.struct("doc_id", "text_hash"), F.col("doc_id")).alias("rep"), F.first("n_shingles").alias("n"), F.first("short_key").alias("short_key")
+        F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("short_key").alias("short_key")
     )
     classes = materialise(classes, "classes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (known.agg(F.sum("n_shingles")).first()[0] or 0) // 4_000_000)
     shared = _maybe_shared(texts, size, percent, buckets)
     enough = F.col("shared") >= F.greatest(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("n") / 4)) - 2)
-    alive = materialise(classes.join(shared, "short_key").where(enough).select("set_key", "rep.doc_id", "rep.text_hash"), "alive")
+    alive = materialise(classes.join(shared, "short_key").where(enough).select("set_key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "alive")
     few = F.broadcast(alive) if alive.count() <= broadcast_rows else alive
-    ranked = _ranked(texts.join(few, ["doc_id", "text_hash"]).dropDuplicates(["set_key"]).select("text"), size, percent)
+    # Null-safe, as the text of a class without ids has none.
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))
+    ranked = _ranked(texts.join(few, same).dropDuplicates(["set_key"]).select("text"), size, percent)
     members = materialise(_members(ranked, percent), "members")
     links = materialise(_star_links(members, ranked, percent), "star_links")
     labels = materialise(connected_components(links), "labels")

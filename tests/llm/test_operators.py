@@ -338,6 +338,16 @@ def test_templates_generalise_fields():
     assert line_dedup.grow_templates(lines, 0.8).tolist() == [0, 0, 1, 0]
 
 
+def test_near_copies_meet_over_a_row_without_id(spark):
+    # The first and last are too far apart to link; the row between them has no id.
+    base = [f"w{k}" for k in range(120)]
+    change = lambda w, places: [f"{x}x" if k in places else x for k, x in enumerate(w)]
+    middle = change(base, (10, 50, 90))
+    rows = [(7, " ".join(base)), (None, " ".join(middle)), (9, " ".join(change(middle, (30, 70, 110)))), (11, "other words that no text has"), (None, "alone without any id here")]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id, x.component_id) for x in got) == Counter([(7, 7), (None, 7), (9, 7), (11, 11), (None, None)])
+
+
 def test_large_leaves_keep_lines_that_differ_early(spark):
     # The fourth token, a name, differs; in leaves of three lines these must still share a template.
     r = random.Random(8)
