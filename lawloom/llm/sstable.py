@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -85,7 +86,10 @@ def _probes(key: bytes, bits: int) -> list[int]:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+    """File system and name of a path as Hadoop writes it; its names for object stores are told in Arrow's."""
+    if ":" not in path:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 class Writer:
@@ -192,8 +196,9 @@ def write_sstables(
 ) -> DataFrame:
     """Tokenise docs and write them as shards in ascending order of id; returns the manifest.
 
-    Texts are dealt once, by ranges of ids; each task sorts its range, tokenises it and streams it
-    into files of about ``shard_bytes``. A file's name holds the task attempt, and only the
+    Texts are dealt once, by ranges of ids (of rows with equal ids, by a hash of the text and the
+    place in the input, so that many such rows don't meet in one task); each task sorts its
+    range, tokenises it and streams it into files of about ``shard_bytes``. A file's name holds the task attempt, and only the
     manifest (one row a file, written as Parquet in the shared folder) makes it part of the table,
     so repeated attempts leave at most unnamed files. ``start`` in the manifest is the number of
     tokens in all shards before.
@@ -229,10 +234,13 @@ def write_sstables(
         [("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("first_key", pa.binary()), ("last_key", pa.binary())]
         + [("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64())]
     )
+    order = ["doc_id", "hash", "place"]
     written = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        .withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
         .mapInArrow(run, MANIFEST)
     )
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +25,7 @@ from lawloom.llm.ngram_join import ngram_join
 from lawloom.llm.packing import pack_documents
 from lawloom.llm.pitman_yor import score_texts
 from lawloom.llm.shard import shard_documents, size_of, write_shards
-from lawloom.llm.tokens import WHITE, ChunkTokenizer
+from lawloom.llm.tokens import WHITE, PartTokenizer
 from lawloom.llm.url_reputation import host_reputation, judge_urls
 
 WORD, BYTE = (str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -77,8 +78,8 @@ def empty(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(WHITE + "\x1c\x1f'sté."), st.characters(codec="utf-8")), max_size=60))
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_chunks_give_the_tokenizers_own_ids(path, text):
-    known = test_chunks_give_the_tokenizers_own_ids.__dict__.setdefault(path, (ChunkTokenizer(path), Tokenizer.from_file(path)))
+def test_parts_give_the_tokenizers_own_ids(path, text):
+    known = test_parts_give_the_tokenizers_own_ids.__dict__.setdefault(path, (PartTokenizer(path), Tokenizer.from_file(path)))
     ours, theirs = known
     assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
@@ -86,11 +87,16 @@ def test_chunks_give_the_tokenizers_own_ids(path, text):
 def test_special_strings_are_encoded_like_the_tokenizer_does():
     for path in (WORD, BYTE):
         text = "a  <|endoftext|> b"
-        assert np.frombuffer(ChunkTokenizer(path).encode([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(PartTokenizer(path).encode([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@cache
+def whole(path):
+    return Tokenizer.from_file(path)
 
 
 def ids_of(path, text, end):
-    return np.array(Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+    return np.array(whole(path).encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
 def test_sstable_round_trip(docs, rows):
