@@ -61,3 +61,22 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 def batches_of(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches handed to Python, as single texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
+    """Inner join on a key that is unique in ``one`` but may be very frequent in ``many``.
+
+    Rows of ``many`` are dealt by the key and a hash of their column ``by``, so a hot key is shared by up
+    to ``salts`` tasks; rows of ``one`` are sent once for each.
+    """
+    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return dealt.join(copies, [*on, "salt"]).drop("salt")

@@ -12,34 +12,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialise
-from .components import connected_components
+from .common import batches_of, free_name, materialise, spread_join
+from .words import mix
 
 _FIELD = re.compile(rb"[0-9@]")  # a token with a digit or an at sign is a variable field
+_FIELD_MARK = b"<*>"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-LINE = "row long, doc long, line int, leaf long, hash long, n int, codes binary"
+LINE = "row long, doc long, line int, leaf long, hash long"
+KIND = "leaf long, hash long, first long, n int, tokens string, branches array<long>"
 
 
-def tokens_of(line: bytes) -> list[bytes]:
-    """Tokens between ASCII white space, A-Z lower-cased, variable fields as <*>."""
-    tokens = line.translate(_LOWER).split()
-    return [b"<*>" if _FIELD.search(t) else t for t in tokens] if _FIELD.search(line) else tokens
+def tokens_of(lowered: bytes) -> list[bytes]:
+    """Tokens between ASCII white space, variable fields as <*>; a line of variable fields only has none."""
+    tokens = lowered.split()
+    if _FIELD.search(lowered):
+        tokens = [_FIELD_MARK if _FIELD.search(t) else t for t in tokens]
+        if tokens.count(_FIELD_MARK) == len(tokens):
+            return []
+    return tokens
 
 
-def codes_of(tokens: list[bytes], memory: dict[bytes, bytes]) -> bytes:
-    """Two bytes a token, so lines can be compared token by token without their text."""
-    try:
-        return b"".join(map(memory.__getitem__, tokens))
-    except KeyError:
-        for t in tokens:
-            if t not in memory:
-                memory[t] = (xxhash.xxh64_intdigest(t) & 0xFFFF).to_bytes(2, "little")
-        return b"".join(map(memory.__getitem__, tokens))
+def leaf_of(tokens: list[bytes], depth: int) -> int:
+    """The tree's leaf: the number of tokens, then the leading ``depth`` tokens."""
+    return xxhash.xxh64_intdigest(b" ".join(tokens[:depth]), seed=len(tokens)) - (1 << 63)
 
 
-def leaf_of(n: int, codes: bytes, depth: int) -> int:
-    """The tree's leaf: the number of tokens, then the leading ``depth`` tokens."""
-    return xxhash.xxh64_intdigest(codes[: 2 * depth], seed=n) - (1 << 63)
+def hash_of(tokens: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63)
 
 
 def segments_of(n: int, depth: int, similarity: float) -> list[tuple[int, int]]:
@@ -55,182 +54,126 @@ def segments_of(n: int, depth: int, similarity: float) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def grow_templates(lines: list[np.ndarray] | np.ndarray, similarity: float, segments: list[tuple[int, int]] | None = None) -> np.ndarray:
-    """The template of each line of one leaf, in the order given.
+def branches_of(leaf: int, tokens: list[bytes], depth: int, similarity: float) -> list[int]:
+    """The leaf's branches on which a line stands: one for each run of its tokens, and one for all tokens but each run."""
+    bounds = np.array(segments_of(len(tokens), depth, similarity))
+    each = np.fromiter((xxhash.xxh64_intdigest(t, seed=k) for k, t in enumerate(tokens)), np.uint64, len(tokens))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
+        runs = sums[bounds[:, 1]] - sums[bounds[:, 0]]
+        place = mix(np.arange(1, 2 * len(bounds) + 1, dtype=np.uint64) + np.uint64(leaf + (1 << 63)))
+        return mix(np.concatenate((runs, sums[-1] - runs)) ^ place).view(np.int64).tolist()
+
+
+def _lines(docs: DataFrame, depth: int) -> DataFrame:
+    """One row a line: the line's leaf and the hash of its tokens, without its text."""
 
-    A line joins the template with the most equal tokens if these are at least ``similarity``
-    of all; tokens in which they differ become variable and count as unequal from then on.
-    With ``segments``, a line is only compared with templates whose first line has one of its
-    runs of tokens: a template has no tokens but those of its first line, so no other can fit.
-    """
-    templates = np.zeros((8, len(lines[0])), np.int32)
-    made, out = 0, np.zeros(len(lines), np.int64)
-    index: dict[tuple[int, bytes], list[int]] = {}
-    for k, line in enumerate(lines):
-        if segments is None:
-            near = np.arange(made)
-            equal = (templates[:made] == line).sum(axis=1)
-        else:
-            runs = [(a, line[a:b].tobytes()) for a, b in segments]
-            near = np.array(sorted({t for run in runs for t in index.get(run, ())}), np.int64)
-            equal = (templates[near] == line).sum(axis=1)
-        best = int(equal.argmax()) if len(near) else 0
-        if len(near) and equal[best] >= similarity * len(line):
-            best = int(near[best])
-            templates[best][templates[best] != line] = -1
-        else:
-            if made == len(templates):
-                templates = np.concatenate((templates, np.zeros_like(templates)))
-            templates[made], best, made = line, made, made + 1
-            if segments is not None:
-                for run in runs:
-                    index.setdefault(run, []).append(best)
-        out[k] = best
-    return out
-
-
-def _lines(docs: DataFrame, depth: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, bytes] = {}
         for batch in batches:
             rows = []
             for row, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for at, line in enumerate(text.split(b"\n") if text else ()):
-                    tokens = tokens_of(line)
-                    if len(tokens) >= least:
-                        codes = codes_of(tokens, memory)
-                        whole = xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63)
-                        rows.append((row, doc, at, leaf_of(len(tokens), codes, depth), whole, len(tokens), codes))
-            if len(memory) > 150_000:
-                memory.clear()
+                for at, line in enumerate(text.translate(_LOWER).split(b"\n") if text else ()):
+                    if tokens := tokens_of(line):
+                        rows.append((row, doc, at, leaf_of(tokens, depth), hash_of(tokens)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in LINE.split(", ")]
     return docs.mapInArrow(run, LINE)
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each leaf in turn, of batches sorted by leaf (their first column)."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        leaf = batch.column(0).to_numpy()
-        starts = np.flatnonzero(np.diff(leaf)) + 1
-        if held and held[-1].column(0)[0].as_py() != leaf[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        for at, to in zip([0, *starts], [*starts, len(leaf)], strict=True):
-            held.append(batch.slice(at, to - at))
-            if to < len(leaf):
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _parts(large: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """node, component of the lines (leaf, hash, n, codes) of large leaves that share a run of tokens with another line.
-
-    Lines that don't meet, directly or over others, can't share a template nor change one
-    another's, so components can be grown apart from each other with the result of the whole leaf.
-    """
+def _kinds(docs: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """Tokens and branches of the kinds of line that are asked for, from documents (text, wanted: hash and first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, runs = [], []
-            for leaf, line, n, codes in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                for a, b in segments_of(n, depth, similarity):
-                    hashes.append(line)
-                    runs.append(xxhash.xxh64_intdigest(leaf.to_bytes(8, "little", signed=True) + codes[2 * a : 2 * b], seed=a) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(runs, pa.int64())], ["hash", "run"])
-
-    runs = materialise(large.select("leaf", "hash", "n", "codes").mapInArrow(run, "hash long, run long"), "runs")
-    met = runs.groupBy("run").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("run", "low")
-    return connected_components(runs.join(met, "run").select(F.col("hash").alias("u"), F.col("low").alias("v")))
-
-
-def _templates(distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """hash, template of distinct lines (leaf, hash, codes, first); a task goes through its leaves one by one."""
+            rows = []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left = {w["hash"]: w["first"] for w in wanted}
+                for line in text.translate(_LOWER).split(b"\n"):
+                    tokens = tokens_of(line)
+                    first = left.pop(hash_of(tokens), None) if tokens else None
+                    if first is not None:
+                        leaf = leaf_of(tokens, depth)
+                        rows.append((leaf, hash_of(tokens), first, len(tokens), b" ".join(tokens).decode("utf-8", "replace"), branches_of(leaf, tokens, depth, similarity)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, templates = [], []
-        for rows in _leaves(batches):
-            own = rows.column("hash").to_numpy()
-            lines = np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<u2").reshape(len(own), -1)
-            found = grow_templates(lines, similarity, segments_of(lines.shape[1], depth, similarity) if len(own) > 200 else None)
-            _, first = np.unique(found, return_index=True)
-            hashes.append(own)
-            templates.append(own[first[found]])
-            if len(hashes) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, templates)], ["hash", "template"])
-                hashes, templates = [], []
-        if hashes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, templates)], ["hash", "template"])
-
-    return distinct.repartition("leaf").sortWithinPartitions("leaf", "first", "hash").mapInArrow(run, "hash long, template long")
-
-
-def recurring_lines(
-    docs: DataFrame, *, depth: int = 3, similarity: float = 0.8, least_tokens: int = 3, least_docs: int = 2, leaf_lines: int = 5000
-) -> DataFrame:
-    """row, dropped (sorted line numbers) of the documents (row, doc, text) that lose lines. See ``drop_recurring_lines``."""
-    lines = materialise(_lines(docs, depth, least_tokens), "lines")
-    # Only leaves with lines of several documents can hold a recurring template.
-    several = lines.groupBy("leaf").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("leaf")
-    lines = materialise(lines.join(several, "leaf"), "shared_lines")
-    distinct = lines.groupBy("leaf", "hash").agg(F.min("doc").alias("first"), F.first("n").alias("n"), F.min("codes").alias("codes"))
-    distinct = materialise(distinct, "distinct_lines")
-    large = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") > leaf_lines)
-    large = materialise(large.select("leaf", F.lit(True).alias("large")), "large_leaves")
-    if not large.isEmpty():
-        # Leaves with too many lines for one task are divided into lines that can't share a template.
-        marked = materialise(distinct.join(F.broadcast(large), "leaf", "left"), "marked_lines")
-        parts = _parts(marked.where("large"), depth, similarity).select(F.col("node").alias("hash"), "component")
-        whole = marked.where("large is null").drop("large")
-        split = marked.where("large").drop("large").join(parts, "hash", "left").withColumn("leaf", F.coalesce("component", "hash")).drop("component")
-        distinct = materialise(whole.unionByName(split), "distinct_lines")
-    alone = distinct.groupBy("leaf").agg(F.count("*").alias("lines"))
-    sized = distinct.join(alone, "leaf")
-    exact = sized.where("lines = 1").select("hash", F.col("hash").alias("template"))
-    grown = _templates(sized.where("lines > 1").select("leaf", "hash", "codes", "first"), depth, similarity)
-    template = materialise(exact.unionByName(grown), "templates")
-    placed = lines.select("row", "doc", "line", "hash").join(template, "hash")
-    docs_of = placed.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
-    dropped = placed.join(docs_of.where(F.col("docs") >= least_docs), "template").where("doc <> first")
-    return dropped.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in KIND.split(", ")]
+    return docs.mapInArrow(run, KIND)
+
+
+def _assigned(kinds: DataFrame, similarity: float) -> DataFrame:
+    """hash, lead_first: the earliest first line of a branch with which a line agrees enough, for lines that have one."""
+    on = kinds.select("hash", "first", F.explode("branches").alias("branch"))
+    # One row a task and branch is shuffled, however many lines stand on it.
+    leads = on.groupBy("branch").agg(F.min(F.struct("first", "hash")).alias("lead"), F.count("*").alias("lines")).where("lines > 1")
+    leads = leads.select("branch", F.col("lead.hash").alias("lead"), F.col("lead.first").alias("lead_first"))
+    pairs = spread_join(on.select("hash", "branch"), leads, ["branch"], "hash").where("hash <> lead").select("hash", "lead", "lead_first").distinct()
+    pairs = materialise(pairs, "pairs")
+    one = kinds.select("hash", "n", "tokens")
+    two = kinds.select(F.col("hash").alias("lead"), F.col("tokens").alias("lead_tokens"))
+    both = spread_join(pairs.join(one, "hash"), two, ["lead"], "hash")
+    equal = F.size(F.filter(F.zip_with(F.split("tokens", " "), F.split("lead_tokens", " "), lambda a, b: a == b), lambda same: same))
+    return both.where(equal >= F.ceil(F.col("n") * similarity - 1e-9)).groupBy("hash").agg(F.min("lead_first").alias("lead_first"))
+
+
+def recurring_lines(docs: DataFrame, *, depth: int = 3, similarity: float = 0.8) -> DataFrame:
+    """row, dropped (set of line numbers) of the documents (row, doc, text) that lose lines. See ``drop_recurring_lines``."""
+    lines = materialise(_lines(docs, depth), "lines")
+    kinds = materialise(
+        lines.groupBy("leaf", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("row").alias("row")), "kinds"
+    )
+    # Only leaves with several kinds of line, of several documents, can hold one template of two kinds.
+    several = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("last").alias("high"))
+    asked = spread_join(kinds, several.where("kinds > 1 and low <> high").select("leaf"), ["leaf"], "hash")
+    wanted = materialise(asked.groupBy("row").agg(F.collect_list(F.struct("hash", "first")).alias("wanted")), "wanted")
+    found = _kinds(docs.join(wanted.hint("shuffle_hash"), "row").select("text", "wanted"), depth, similarity)
+    found = materialise(found.dropDuplicates(["hash"]), "found")
+    assigned = materialise(_assigned(found, similarity), "assigned")
+    kept = kinds.select("hash", "first", "last").join(assigned, "hash", "left")
+    # A kind of line in one document only, that no earlier one is like, loses nothing.
+    kept = kept.where("first <> last or lead_first < first").select("hash", F.coalesce("lead_first", "first").alias("keep_doc"))
+    dropped = spread_join(lines.select("row", "doc", "line", "hash"), kept, ["hash"], "row").where("doc <> keep_doc")
+    return dropped.groupBy("row").agg(F.collect_set("line").alias("dropped"))
 
 
 def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """docs with recurring lines taken out of the text, and n_lines, n_dropped.
 
     A tree of fixed depth sorts lines by token count and ``depth`` leading tokens (fields with a
-    digit or an at sign are variable); within a leaf, lines whose other tokens agree in at least
-    ``similarity`` of all tokens share a template, whose differing tokens are variable. A template
-    in ``least_docs`` documents or more recurs: its lines are dropped everywhere but in the
-    document with the smallest id. Lines of fewer than ``least_tokens`` tokens always stay.
-
-    Equal lines are one row before leaves are grouped, so a very common line costs one row a task;
-    leaves over ``leaf_lines`` distinct lines are divided into components of lines that share a run
-    of tokens (``segments_of``), with the templates of the whole leaf. One component is one task's.
-
-    Cases: null and empty texts stay as they are, with 0 lines; a null id counts as the smallest;
-    rows with equal id and text get the same verdict; all other columns pass through (columns named
-    n_lines or n_dropped are replaced); an empty table gives no rows.
+    digit or an at sign are variable), then by branches: each run of the tokens that follow, and
+    all tokens but each run. There are so many runs that two lines which agree in at least
+    ``similarity`` of all tokens have one in common. The first line of a branch (of the smallest
+    id, then hash) is a template. A line belongs to the earliest template of its branches with which
+    it agrees in ``similarity`` of all tokens (compared as tokens, not hashes), else to
+    its own; where they differ the template is variable. Lines stay in the first
+    document of their template and are dropped from all others.
+
+    This is the same at every size, and no step gathers a leaf or a branch: equal lines are one
+    row, a branch is reduced map-side to its first line, and joins on hot leaves, branches, templates and
+    lines are spread over several tasks (``spread_join``). Lines are read as hashes first; tokens are
+    fetched only for leaves in which several kinds of line stand.
+
+    Cases: null and empty texts stay as they are, with 0 lines; blank lines and lines of variable fields
+    only always stay; rows with equal ids, and rows with null ids, count as one document, null as
+    the smallest; rows with equal id and text get the same verdict; all other columns
+    pass through (columns named n_lines or n_dropped are replaced); an empty table gives no rows.
     """
     spark = docs.sparkSession
     batches_of(spark, 500)
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    found = materialise(recurring_lines(rows, **options), "dropped")
+    key, lost = free_name(docs, "row_key"), free_name(docs, "dropped_lines")
+    found = materialise(recurring_lines(rows, **options).select(F.col("row").alias(key), F.col("dropped").alias(lost)), "dropped")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    clean = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    clean = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n"))
     n_lines = F.when(F.length(text_col) > 0, F.size(lines)).otherwise(0).cast("long")
-    joined = docs.select(*columns, row.alias("__row")).join(found.select(F.col("row").alias("__row"), F.col("dropped").alias("__dropped")), "__row", "left")
+    joined = docs.select(*columns, row.alias(key)).join(found.hint("shuffle_hash"), key, "left")
     return joined.select(
-        *[clean.alias(c) if c == text_col else F.col(c) for c in columns], n_lines.alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped")
+        *[clean.alias(c) if c == text_col else F.col(c) for c in columns], n_lines.alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped")
     )

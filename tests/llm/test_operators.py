@@ -292,60 +292,76 @@ def test_language(spark):
     assert sum(x.lang_pred == truth[x.doc_id] for x in held) >= 0.98 * len(held)
 
 
+def masked(line):
+    tokens = ["<*>" if re.search("[0-9@]", t) else t for t in re.split("[\\x20\\x09-\\x0D]+", line.translate(LOWER)) if t]
+    return tuple(tokens) if set(tokens) - {"<*>"} else ()
+
+
 def drain(rows, depth=3, similarity=0.8):
-    """Templates of lines in plain Python: the documents of each, and the lines to drop."""
-    tokens = lambda line: ["<*>" if re.search("[0-9@]", t) else t for t in line.translate(LOWER).split()]
-    seen, place = {}, defaultdict(list)
+    """The rule in plain Python: lines (id, text, place) to drop."""
+    first, place, branches = {}, defaultdict(list), defaultdict(set)
     for i, t in rows:
+        doc = -(1 << 63) if i is None else i
         for at, line in enumerate((t or "").split("\n")):
-            own = tuple(tokens(line))
-            if len(own) >= 3:
-                doc = -(1 << 63) if i is None else i
-                seen[own] = min(seen.get(own, doc), doc)
+            if own := masked(line):
+                first[own] = min(first.get(own, doc), doc)
                 place[own].append((i, t, at, doc))
-    leaves = defaultdict(list)
-    for own, first in seen.items():
-        leaves[len(own), own[:depth]].append((first, own))
-    drop = set()
-    for lines in leaves.values():
-        templates = []
-        for _, own in sorted(lines, key=lambda x: (x[0], line_hash(x[1]))):
-            same = [sum(a == b for a, b in zip(t[0], own, strict=True)) for t in templates]
-            best = same.index(max(same)) if same else -1
-            if same and same[best] >= similarity * len(own):
-                templates[best] = ([a if a == b else None for a, b in zip(templates[best][0], own, strict=True)], templates[best][1] + [own])
-            else:
-                templates.append((list(own), [own]))
-        for _, members in templates:
-            docs = {x[3] for own in members for x in place[own]}
-            if len(docs) > 1:
-                drop |= {x[:3] for own in members for x in place[own] if x[3] != min(docs)}
-    return drop
-
-
-def line_hash(tokens):
-    import xxhash
-
-    return xxhash.xxh64_intdigest(" ".join(tokens).encode()) - (1 << 63)
-
-
-@pytest.mark.parametrize("leaf_lines", [5000, 3])
-def test_recurring_lines(docs, rows, leaf_lines):
-    # Deeper leaves separate lines that differ early; here they only hold lines that differ late.
-    got = drop_recurring_lines(docs, leaf_lines=leaf_lines).collect()
-    drop = drain(rows)
-    want = Counter()
+    order = lambda own: (first[own], line_dedup.hash_of([w.encode() for w in own]))
+    for own in first:
+        for a, b in line_dedup.segments_of(len(own), depth, similarity):
+            branches[len(own), own[:depth], a, own[a:b]].add(own)
+            branches[len(own), own[:depth], -a, own[:a], own[b:]].add(own)
+    keep = dict(first)
+    for members in branches.values():
+        lead = min(members, key=order)
+        for own in members:
+            if sum(a == b for a, b in zip(own, lead, strict=True)) >= similarity * len(own):
+                keep[own] = min(keep[own], first[lead])
+    return {x[:3] for own, lines in place.items() for x in lines if x[3] != keep[own]}
+
+
+def without_lines(rows):
+    drop, want = drain(rows), Counter()
     for i, t in rows:
         lines = (t or "").split("\n")
         left = [x for at, x in enumerate(lines) if (i, t, at) not in drop]
         want[i, None if t is None else "\n".join(left), len(lines) if t else 0, len(lines) - len(left)] += 1
+    return want
+
+
+def test_recurring_lines(docs, rows):
+    clashing = docs.withColumnsRenamed({"hash": "row_key", "key": "Dropped_Lines"})
+    got = drop_recurring_lines(clashing).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == without_lines(rows)
+    assert any(r.n_dropped for r in got) and {"lang", "row_key", "Dropped_Lines", "row"} <= set(got[0].asDict())
+
+
+def test_lines_that_differ_in_a_field_share_a_template(spark):
+    # Fields early and late, some without digits; short lines; lines of fields only; one line in most documents.
+    r = random.Random(8)
+    tail = [" ".join(r.choice("abcdefgh") * 3 for _ in range(9)) for _ in range(40)]
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(k, f"sent to you {name(k)} on {tail[k % 40]}\nkept {k}\n{k} {k}\n{k}\nTHE end\nno text like {name(7 * k)}{name(k)}") for k in range(200)]
+    rows += [(None, f"the END\nsent to you anyone on {tail[3]}"), (5, "the end\r\n\n x")]
+    got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = without_lines(rows)
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == want
-    assert any(r.n_dropped for r in got) and {"lang", "hash", "row"} <= set(got[0].asDict())
+    assert sum(n[3] * k for n, k in want.items()) > 500
 
 
-def test_templates_generalise_fields():
-    lines = [np.array(x) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 9], [1, 2, 3, 7, 8], [1, 2, 3, 4, 6])]
-    assert line_dedup.grow_templates(lines, 0.8).tolist() == [0, 0, 1, 0]
+def test_lines_with_unlike_tokens_are_not_equal(spark):
+    # Tokens whose hashes agree in 16 bits: these lines must not be taken for one another.
+    import xxhash
+
+    by_code = defaultdict(list)
+    for k in range(3000):
+        word = "".join(chr(97 + k // 26**j % 26) for j in range(4))
+        by_code[xxhash.xxh64_intdigest(word) & 0xFFFF].append(word)
+    pairs = [w[:2] for w in by_code.values() if len(w) > 1]
+    assert len(pairs) > 20
+    rows = [(2 * n + k, f"alpha beta {w}") for n, pair in enumerate(pairs) for k, w in enumerate(pair)]
+    got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_dropped > 0").count() == 0 and got.count() == len(rows)
 
 
 def test_near_copies_meet_over_a_row_without_id(spark):
@@ -358,26 +374,6 @@ def test_near_copies_meet_over_a_row_without_id(spark):
     assert Counter((x.doc_id, x.component_id) for x in got) == Counter([(7, 7), (None, 7), (9, 7), (11, 11), (None, None)])
 
 
-def test_large_leaves_keep_lines_that_differ_early(spark):
-    # The fourth token, a name, differs; in leaves of three lines these must still share a template.
-    r = random.Random(8)
-    tail = [" ".join(r.choice("abcdefgh") * 3 for _ in range(9)) for _ in range(40)]
-    rows = [(k, f"sent to you {''.join(chr(97 + int(c)) for c in str(k))} on {tail[k % 40]}\nkept {k}") for k in range(200)]
-    got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), leaf_lines=3).collect()
-    drop = drain(rows)
-    assert {(x.doc_id, x.n_dropped) for x in got} == {(i, sum(d[:2] == (i, t) for d in drop)) for i, t in rows} and len(drop) >= 150
-
-
-def test_indexed_templates_are_those_of_all_comparisons():
-    r = np.random.default_rng(3)
-    for n in (3, 5, 8, 21):
-        lines = np.concatenate([r.integers(0, 3, (300, n)), np.repeat(r.integers(0, 40, (20, n)), 15, axis=0)])
-        lines[:, :3] = 1
-        lines[300:, 3:][r.random((300, n - 3)) < 0.08] = 99
-        lines = r.permutation(lines)
-        assert (line_dedup.grow_templates(lines, 0.8) == line_dedup.grow_templates(lines, 0.8, line_dedup.segments_of(n, 3, 0.8))).all()
-
-
 def test_language_model(docs, rows):
     got = score_texts(docs, fold(F.col("doc_id")) == 1, frequent=20, sweeps=6, burn_in=2).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
