@@ -129,25 +129,31 @@ SQL: dict[str, str] = {
         known AS (
             SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
             FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+        named AS (
+            SELECT host, n, bad, regexp_replace(host, ':[0-9]*$', '') AS name
+            FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM split LEFT JOIN known USING (page_id) GROUP BY host)),
+        labelled AS (
+            SELECT *, regexp_matches(name, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$') AS ip, string_split(name, '.') AS w,
+                   array_to_string(w[-2:], '.') IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'net.au', 'org.au', 'org.uk') AS two
+            FROM named),
         hosts AS (
-            SELECT host, split_part(host, '.', -1) AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
-                   CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
-            FROM split LEFT JOIN known USING (page_id) GROUP BY host),
+            SELECT host, n, bad, CASE WHEN ip THEN 'ip' WHEN two THEN array_to_string(w[-2:], '.') ELSE w[-1] END AS suffix,
+                   CASE WHEN ip THEN name WHEN two THEN array_to_string(w[-3:], '.') ELSE array_to_string(w[-2:], '.') END AS domain
+            FROM labelled),
         domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
         suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
         total AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 10) AS p FROM suffixes),
         levels AS (
-            SELECT 'h' AS l, n::DOUBLE AS n, bad::DOUBLE AS bad FROM hosts UNION ALL SELECT 'd', n, bad FROM domains
-            UNION ALL SELECT 's', n, bad FROM suffixes),
-        moments AS (
-            SELECT l, p, count(*) AS k, sum(n) AS n, sum(n * n) AS nn, sum((bad - n * p) * (bad - n * p) / n) AS s
-            FROM levels, total WHERE n > 0 GROUP BY l, p),
-        within AS (
-            SELECT l, CASE WHEN k >= 2 AND n - nn / n - (k - 1) > 0 THEN (s / (p * (1 - p)) - (k - 1)) / (n - nn / n - (k - 1)) ELSE 0 END AS c
-            FROM moments),
+            SELECT 'h' AS l, domain AS above, n::DOUBLE AS n, bad::DOUBLE AS bad FROM hosts UNION ALL SELECT 'd', suffix, n, bad FROM domains
+            UNION ALL SELECT 's', '', n, bad FROM suffixes),
+        groups AS (
+            SELECT l, count(*) - 1 AS free, sum(n) AS n, sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) AS chance, sum(n * n) / sum(n) AS nn,
+                   sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS squares
+            FROM levels WHERE n > 0 GROUP BY l, above HAVING count(*) > 1),
+        moments AS (SELECT l, sum(squares - chance * free) AS excess, sum(chance * (n - nn - free)) AS room FROM groups GROUP BY l),
         weights AS (
-            SELECT max(m) FILTER (l = 'h') AS mh, max(m) FILTER (l = 'd') AS md, max(m) FILTER (l = 's') AS ms
-            FROM (SELECT l, CASE WHEN c > 0 THEN least(1000.0, greatest(1.0, 1 / c - 1)) ELSE 1000.0 END AS m FROM within)),
+            SELECT coalesce(max(m) FILTER (l = 'h'), 1000) AS mh, coalesce(max(m) FILTER (l = 'd'), 1000) AS md, coalesce(max(m) FILTER (l = 's'), 1000) AS ms
+            FROM (SELECT l, CASE WHEN excess > 0 AND room > 0 THEN least(1000.0, greatest(1.0, room / excess - 1)) ELSE 1000.0 END AS m FROM moments)),
         by_suffix AS (SELECT suffix, (bad + p * ms) / (n + ms) AS ps FROM suffixes, total, weights),
         by_domain AS (SELECT domain, (bad + ps * md) / (n + md) AS pd FROM domains JOIN by_suffix USING (suffix), weights),
         ab AS (SELECT host, n, bad + pd * mh AS a, n - bad + (1 - pd) * mh AS b FROM hosts JOIN by_domain USING (domain), weights),

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Public suffixes of two labels that are treated as one suffix.
-TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "net.au", "org.au", "org.uk"]
+from .common import materialise
+
+# Public suffixes of several labels, as far as no list is given; any other suffix is the last label.
+SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "net.au", "org.au", "org.uk"]
 
 # The rules of the query, host and path with their verdicts.
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -35,14 +37,20 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
-
+def site_of(host: Column, suffixes: list[str]) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, its port left aside.
 
-def domain_of(host: Column, suffix: Column) -> Column:
-    """The suffix with one label before it, or the host itself if it has none."""
-    return F.when(F.instr(suffix, ".") > 0, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    The suffix is the longest of ``suffixes`` (such as the public suffix list) that the host ends in, else its last
+    label; the domain has one label more, if there is one. An IP address is its own domain, under the suffix ``ip``.
+    """
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    is_ip = name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$")
+    tail = lambda n: F.substring_index(name, ".", -n)
+    suffix, domain = tail(1), tail(2)
+    for n in sorted({s.count(".") + 1 for s in suffixes} - {1}):
+        own = tail(n).isin([s for s in suffixes if s.count(".") + 1 == n])
+        suffix, domain = F.when(own, tail(n)).otherwise(suffix), F.when(own, tail(n + 1)).otherwise(domain)
+    return F.when(is_ip, name).otherwise(domain), F.when(is_ip, F.lit("ip")).otherwise(suffix)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -55,45 +63,51 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def _weight(groups: DataFrame, rate: float) -> float:
-    """Pages that the beta prior of one level counts for, by the method of moments.
+def _weight(groups: DataFrame, above: str | None) -> float:
+    """Pages that the beta prior of one level counts for, by the method of moments within the level above.
 
-    The variance of the groups' rates beyond what binomial chance explains gives the
-    correlation within groups; its inverse less 1 is the weight, kept in 1 to 1,000.
+    For rows (n, bad) of groups that share ``above`` (all, if it is None), with that one's rate p: the squares of
+    bad - n p, over n, exceed what binomial chance explains in proportion to the correlation within
+    groups; its inverse less 1 is the weight. It is kept in 1 to 1,000: a prior counts for one page at least, and
+    for a thousand where groups differ no more than by chance, or none are left to compare.
     """
     n, bad = F.col("n").cast("double"), F.col("bad").cast("double")
-    s = groups.where("n > 0").agg(
-        F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.sum((bad - n * rate) * (bad - n * rate) / n).alias("s")
-    ).first()
-    if not s["k"] or s["k"] < 2 or not 0 < rate < 1:
+    own = groups.where("n > 0").groupBy(*[above] if above else []).agg(
+        F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(bad).alias("bad"), F.sum(n * n).alias("nn"), F.sum(bad * bad / n).alias("bb")
+    )
+    # The sum of (bad - n p) ** 2 / n over groups with the rate p = sum(bad) / sum(n).
+    squares = F.col("bb") - F.col("bad") * F.col("bad") / F.col("n")
+    chance = F.col("bad") / F.col("n") * (1 - F.col("bad") / F.col("n"))
+    free = F.col("k") - 1
+    room = F.col("n") - F.col("nn") / F.col("n") - free
+    s = own.where("k > 1").agg(F.sum(squares - chance * free).alias("excess"), F.sum(chance * room).alias("room")).first()
+    if not s["room"] or s["room"] <= 0 or s["excess"] <= 0:
         return 1000.0
-    chance, free = rate * (1 - rate), s["k"] - 1
-    room = s["n"] - s["nn"] / s["n"] - free
-    within = (s["s"] / chance - free) / room if room > 0 else 0.0
-    return min(1000.0, max(1.0, 1 / within - 1)) if within > 0 else 1000.0
+    return min(1000.0, max(1.0, s["room"] / s["excess"] - 1))
 
 
-def host_reputation(hosts: DataFrame, *, z: float = 1.645) -> DataFrame:
-    """Posterior bad rate of each host and its lower bound, from rows (host, n, bad).
+def host_reputation(hosts: DataFrame, *, z: float = 1.645, suffixes: list[str] = SUFFIXES) -> DataFrame:
+    """Posterior bad rate of each host and its lower bound, from rows (host, n, bad), read several times.
 
     Rates are shrunk in turn: suffixes towards the rate of all pages, registered domains
     towards their suffix, hosts towards their domain, each by a beta-binomial prior whose
-    weight is fitted to that level. The bound is the posterior's lower quantile at ``z``
-    standard deviations with the skewness term of the Cornish-Fisher expansion.
+    weight is fitted to the differences within the level above (``_weight``). The bound is the
+    posterior's lower quantile at ``z`` standard deviations with the skewness term of the
+    Cornish-Fisher expansion.
     """
-    suffix = suffix_of(F.col("host"))
-    hosts = hosts.withColumns({"suffix": suffix, "domain": domain_of(F.col("host"), suffix)})
+    domain, suffix = site_of(F.col("host"), suffixes)
+    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
-    total = suffixes.agg(*sums).first()
+    domains = materialise(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
+    by_suffix = domains.groupBy("suffix").agg(*sums)
+    total = by_suffix.agg(*sums).first()
     rate = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 10)
-    fit = Fit(rate, _weight(suffixes, rate), _weight(domains, rate), _weight(hosts, rate))
+    fit = Fit(rate, _weight(by_suffix, None), _weight(domains, "suffix"), _weight(hosts, "domain"))
 
     def shrunk(prior: Column, weight: float) -> Column:
         return (F.col("bad") + prior * weight) / (F.col("n") + weight)
 
-    by_suffix = suffixes.select("suffix", shrunk(F.lit(fit.rate), fit.suffix).alias("suffix_rate"))
+    by_suffix = by_suffix.select("suffix", shrunk(F.lit(fit.rate), fit.suffix).alias("suffix_rate"))
     by_domain = domains.join(by_suffix, "suffix").select("domain", shrunk(F.col("suffix_rate"), fit.domain).alias("domain_rate"))
     a = F.col("bad") + F.col("domain_rate") * fit.host
     b = F.col("n") - F.col("bad") + (1 - F.col("domain_rate")) * fit.host
@@ -105,19 +119,21 @@ def host_reputation(hosts: DataFrame, *, z: float = 1.645) -> DataFrame:
 
 
 def judge_urls(
-    pages: DataFrame, labels: DataFrame, *, rules: list[tuple[str, str]] = RULES, max_bad: float = 0.4, z: float = 1.645
+    pages: DataFrame, labels: DataFrame, *, rules: list[tuple[str, str]] = RULES, suffixes: list[str] = SUFFIXES, max_bad: float = 0.4, z: float = 1.645
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, n_labelled, bad_rate, bad_bound.
 
     A labelled page (label of the same id) is bad when its quality is 0 or it is toxic. Where
     no rule fits, a host is blocked when the lower bound of its posterior bad rate is over
     ``max_bad``; so a host with few labels is judged by its domain and suffix. Labels are
-    summed by host map-side before they are shuffled, so a hot host costs one row a task, and
-    Spark broadcasts the reputations if they are small, or else splits the hot host's join.
+    summed by host map-side before they are shuffled and written once, so a hot host costs one row
+    a task, and Spark broadcasts the reputations if they are small, or else splits the hot host's
+    join. Pages are read twice: for the sums, and for the verdicts.
 
     Cases: null urls and urls without :// have an empty host and path and are judged like the
     unlabelled host they form; null labels count as neither bad nor labelled; several labels of
-    one page count as bad if any is; repeated pages are each judged; without labels all is allowed.
+    one page count as bad if any is; repeated pages are each judged and each counted; without labels
+    no host is blocked; other columns of both tables, whatever their names, are not read; empty tables give no rows.
     """
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -130,7 +146,7 @@ def judge_urls(
     counted = (
         split.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
-    reputation = host_reputation(counted, z=z)
+    reputation = host_reputation(materialise(counted, "hosts"), z=z, suffixes=suffixes)
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     by_bound = F.when(F.col("bad_bound") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
     return split.join(reputation, "host", "left").select(

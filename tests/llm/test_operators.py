@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lawloom.llm import line_dedup, packing, pitman_yor, sstable
+from lawloom.llm import line_dedup, packing, pitman_yor, sstable, url_reputation
 from lawloom.llm.common import fold
 from lawloom.llm.decontaminate import decontaminate
 from lawloom.llm.exact_dedup import exact_dedup
@@ -252,6 +252,27 @@ def test_reputation_shrinks_by_evidence(spark):
     assert got["new.a.com"].bad_bound < got["bad.a.com"].bad_bound and all(r.bad_bound < r.bad_rate for r in got.values())
 
 
+def test_sites(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com:8080": ("y.com", "com"), "10.0.0.1:80": ("10.0.0.1", "ip"), "[::1]": ("[::1]", "ip"), "local": ("local", "local"), "": ("", "")}
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in frame.select("host", *url_reputation.site_of(F.col("host"), url_reputation.SUFFIXES)).collect()} == hosts
+
+
+def test_weights_are_fitted_within_the_level_above(spark):
+    # Domains differ, their hosts don't: what domains differ in must not count as difference between hosts.
+    rows = [(f"h{k}.d{d}.com", 100, 90 if d % 2 else 10) for d in range(20) for k in range(4)]
+    got = host_reputation(spark.createDataFrame([*rows, ("new.d1.com", 1, 0), ("new.d2.com", 1, 1)], "host string, n long, bad long")).collect()
+    rate = {r.host: r.bad_rate for r in got}
+    assert rate["new.d1.com"] > 0.85 and rate["new.d2.com"] < 0.15
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.fr/x", 3, 4, "q")] * 3 + [(2, None, 1, 2, "r")], "page_id long, url string, n long, bad long, host string")
+    labels = spark.createDataFrame([(1, 0, 0, "x")] * 2, "doc_id long, quality int, toxic int, url string")
+    got = judge_urls(pages, labels).collect()
+    assert sorted((r.page_id, r.host, r.n_labelled) for r in got) == [(1, "a.fr", 3)] * 3 + [(2, "", 0)]
+
+
 def test_sharding(spark, docs, rows, tmp_path):
     placed = shard_documents(docs, shards=5)
     got = placed.collect()
