@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialise
+from .common import batches_of, materialise, spread_join
 from .components import connected_components
 from .words import shingles, word_hashes
 
@@ -81,13 +81,11 @@ def _maybe_shared(docs: DataFrame, size: int, percent: int, buckets: int) -> Dat
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
             short = (grams >> np.uint64(32)).astype("<u4")
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            present, starts = np.unique(bucket[order], return_index=True)
             rows = []
-            for b in range(buckets):
-                own = order[ends[b] : ends[b + 1]]
-                if len(own):
-                    who, counts = np.unique(owner[own], return_counts=True)
-                    rows.append((b, keys[who].tobytes(), counts.astype("<u4").tobytes(), short[own].tobytes()))
+            for b, own in zip(present.tolist(), np.split(order, starts[1:]), strict=True):
+                who, counts = np.unique(owner[own], return_counts=True)
+                rows.append((b, keys[who].tobytes(), counts.astype("<u4").tobytes(), short[own].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
@@ -139,20 +137,23 @@ def _ranked(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _members(ranked: DataFrame, percent: int) -> DataFrame:
-    """hub, set_key, shared: the sets with a common prefix n-gram, by one of them.
+    """hub, set_key, n, shared, rest: the sets with a common prefix n-gram, by one of them.
 
     The hub of an n-gram is the set, of those that have it in their prefix, whose n-grams are
     shared the most. Two sets with a common prefix n-gram have a common hub, and most n-grams
     of a group of near copies have the same one, so a set has few hubs. shared counts the prefix
-    n-grams by which a set has the hub.
+    n-grams by which a set has the hub; rest is how many n-grams it has from the first of these on,
+    which bounds what it can share with a set that it first meets at this hub.
     """
     need = F.ceil(F.col("n") * percent / 100).cast("long")
     alone = F.col("n") - F.size("grams")
     take = (F.col("n") - need + 1 - alone).cast("int")
     rank = F.struct((F.size("grams") / F.col("n")).alias("share"), "set_key")
-    rows = ranked.where(take > 0).select("set_key", rank.alias("rank"), F.explode(F.slice("grams", F.lit(1), take)).alias("gram"))
-    hubs = rows.groupBy("gram").agg(F.max("rank").alias("hub"), F.count("*").alias("sets")).where("sets > 1").select("gram", "hub.set_key")
-    return rows.select("set_key", "gram").join(hubs.withColumnRenamed("set_key", "hub"), "gram").groupBy("hub", "set_key").agg(F.count("*").alias("shared"))
+    prefix = ranked.where(take > 0).select("set_key", "n", rank.alias("rank"), F.size("grams").alias("m"), F.posexplode(F.slice("grams", F.lit(1), take)).alias("at", "gram"))
+    rows = prefix.select("set_key", "n", "rank", "gram", (F.col("m") - F.col("at")).alias("rest"))
+    hubs = rows.groupBy("gram").agg(F.max("rank").alias("hub"), F.count("*").alias("sets")).where("sets > 1").select("gram", F.col("hub.set_key").alias("hub"))
+    met = spread_join(rows.select("set_key", "n", "rest", "gram"), hubs, ["gram"], "set_key")
+    return met.groupBy("hub", "set_key").agg(F.first("n").alias("n"), F.count("*").alias("shared"), F.max("rest").alias("rest"))
 
 
 def _hamming(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
@@ -201,26 +202,34 @@ def _star_links(members: DataFrame, ranked: DataFrame, percent: int) -> DataFram
     main = members.where("hub <> set_key").groupBy("set_key").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     one = ranked.select("set_key", "n", "packed")
     two = ranked.select(F.col("set_key").alias("hub"), F.col("n").alias("n2"), F.col("packed").alias("packed2"))
-    return main.join(one, "set_key").join(two, "hub").select(F.col("set_key").alias("u"), F.col("hub").alias("v"), "n", "n2", "packed", "packed2").mapInArrow(run, "u binary, v binary")
+    # A hub is sent to a few tasks once, not with each of its members.
+    return spread_join(main.join(one, "set_key"), two, ["hub"], "set_key").select(F.col("set_key").alias("u"), F.col("hub").alias("v"), "n", "n2", "packed", "packed2").mapInArrow(run, "u binary, v binary")
 
 
-def _block_links(group: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+def _shared_with(own: np.ndarray, starts: np.ndarray, holders: np.ndarray, sets: int) -> np.ndarray:
+    """How many of a set's n-grams (by number) each set has, from the lists of the sets that hold each n-gram."""
+    sizes = starts[own + 1] - starts[own]
+    at = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+    return np.bincount(holders[at], minlength=sets)
+
+
+def _unit_links(group: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
     """Links within one group that join components, at most one less than it has sets.
 
-    Pairs of one component are left out, and pairs that a smaller common hub has; so each pair is
-    tested in one group. Pairs are tested one by one if they are few, else by a matrix product.
+    Pairs of one component are left out, and pairs that pass the positional filter at a smaller common
+    hub too; so each pair is tested in one group. Sets of two units only meet those of the other. Length and positional
+    filter compare a set with all others as arrays; the few pairs they leave are verified one by one behind
+    the suffix filter, or, for a set with many, by counting along its n-grams' lists, with the same result.
     """
     hub = group["hub"].iloc[0]
     keys, component = group["set_key"].tolist(), pd.factorize(group["component"])[0]
-    n, grams = group["n"].to_numpy(), [np.frombuffer(g, "<i8") for g in group["packed"]]
-    m = np.array([len(g) for g in grams])
-    side = group["side"].to_numpy()
-    # One side holds what is not in the largest component, as each wanted pair has such a set.
-    small = np.flatnonzero(component != np.bincount(component).argmax())
-    names, number = np.unique(np.concatenate(grams), return_inverse=True)
-    ends = np.concatenate(([0], np.cumsum(m)))
-    hubs = [{h for h in own if h < hub} for own in group["hubs"]]
+    n, most = group["n"].to_numpy(), group["most"].to_numpy()
+    grams = [np.frombuffer(g, "<i8") for g in group["packed"]]
+    sides = group["unit"].to_numpy()
+    two = (sides != sides[0]).any()
+    hubs = [{h["hub"]: h["most"] for h in own if h["hub"] < hub} for own in group["hubs"]]
     links, parent = [], list(range(component.max() + 1))
+    lists = None
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -228,70 +237,77 @@ def _block_links(group: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]
             k = parent[k]
         return k
 
-    def join(a: int, b: int) -> None:
-        if root(component[a]) != root(component[b]):
-            parent[root(component[a])] = root(component[b])
-            links.append((keys[a], keys[b]))
-
-    everything = np.arange(len(keys))
-    order = np.full(len(keys), -1)
-    order[small] = np.arange(len(small))
-    for at in range(0, len(small), 256):
-        rows = small[at : at + 256]
-        wanted = possible(n[rows, None], m[rows, None], n[None], m[None], percent) & (component[rows, None] != component[None])
-        # Pairs of two small ones come once; two sides, if there are, only meet each other.
-        wanted &= (order[None] < 0) | (order[None] > order[rows, None])
-        if (side != side[0]).any():
-            wanted &= side[rows, None] != side[None]
-        if wanted.sum() <= 200:
-            tested = [(a, b) for a, b in zip(rows[np.nonzero(wanted)[0]], everything[np.nonzero(wanted)[1]], strict=True)]
-            exact = True
+    for a in np.flatnonzero(sides == sides[0]) if two else range(len(keys)):
+        fits = (n <= most[a]) & (n[a] <= most) & (100 * n >= percent * n[a]) & (100 * n[a] >= percent * n) & (component != component[a])
+        if two:
+            fits &= sides != sides[0]
         else:
-            left, right = np.zeros((len(rows), len(names)), np.float32), np.zeros((len(names), 512), np.float32)
-            for k, r in enumerate(rows):
-                left[k, number[ends[r] : ends[r + 1]]] = 1
-            tested = []
-            for to in range(0, len(keys), 512):
-                columns = everything[to : to + 512]
-                if not wanted[:, columns].any():
-                    continue
-                right[:] = 0
-                for k, c in enumerate(columns):
-                    right[number[ends[c] : ends[c + 1]], k] = 1
-                both = left @ right[:, : len(columns)]
-                held = wanted[:, columns] & (100 * both >= percent * (n[rows, None] + n[None, columns] - both))
-                tested += [(rows[x], columns[y]) for x, y in zip(*np.nonzero(held), strict=True)]
-            exact = False
-        for a, b in tested:
-            if root(component[a]) == root(component[b]) or hubs[a] & hubs[b]:
+            fits[: a + 1] = False
+        others = np.flatnonzero(fits)
+        if len(others) > 8:
+            if lists is None:
+                ends = np.cumsum([len(g) for g in grams])
+                number = np.unique(np.concatenate(grams), return_inverse=True)[1]
+                order = np.argsort(number, kind="stable")
+                starts = np.concatenate(([0], np.cumsum(np.bincount(number))))
+                lists = number, np.concatenate(([0], ends)), starts, np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+            number, ends, starts, holders = lists
+            both = _shared_with(number[ends[a] : ends[a + 1]], starts, holders, len(grams))[others]
+            others = others[100 * both >= percent * (n[others] + n[a] - both)]
+            verified = True
+        else:
+            verified = False
+        for b in others:
+            if root(component[a]) == root(component[b]) or any(n[b] <= most_a and n[a] <= hubs[b].get(h, -1) for h, most_a in hubs[a].items()):
                 continue
-            if not exact or similar(grams[a], grams[b], int(n[a]), int(n[b]), percent):
-                join(a, b)
+            if verified or similar(grams[a], grams[b], int(n[a]), int(n[b]), percent):
+                parent[root(component[a])] = root(component[b])
+                links.append((keys[a], keys[b]))
     return links
 
 
 def _rest_links(members: DataFrame, ranked: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (u, v) between sets of different components with a common prefix n-gram, found hub by hub.
 
-    A hub's sets are dealt into blocks of about ``block``; two blocks, or one with itself, are a
-    group, so a group is bounded and large hubs are shared by many tasks.
+    A hub's sets are dealt into units by size class and, beyond about ``block`` sets, by hash. Two units
+    (or one with itself) are a group only if length and positional filter leave room for a pair between
+    them, so a set is copied to the units it may have a partner in. In a large group of sets that
+    are alike but can't reach the threshold, no two units meet.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         if group["component"].nunique() == 1:
             return pd.DataFrame({"u": [], "v": []}, dtype=object)
-        return pd.DataFrame(_block_links(group, percent), columns=["u", "v"], dtype=object)
+        return pd.DataFrame(_unit_links(group, percent), columns=["u", "v"], dtype=object)
 
+    # A set shares at most ``rest`` n-grams with one that it first meets here, so that has at most this size.
+    most = F.floor(F.col("rest") * (100 + percent) / percent).cast("long") - F.col("n")
+    members = materialise(members.withColumn("most", most).drop("shared", "rest"), "bounded")
     own = members.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    sizes = own.groupBy("hub").agg(F.count("*").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    hubs_of = members.groupBy("set_key").agg(F.collect_list("hub").alias("hubs"))
-    blocks = F.ceil(F.col("sets") / block).cast("int")
-    placed = own.join(sizes.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "hub", "set_key", "component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side")
+    own = own.withColumn("size_class", F.floor(F.log(1.1, F.col("n"))).cast("long"))
+    apart = own.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("hub")
+    own = materialise(spread_join(own, apart, ["hub"], "set_key"), "members_apart")
+    many = own.groupBy("hub", "size_class").agg(F.count("*").alias("sets"))
+    placed = spread_join(own, many, ["hub", "size_class"], "set_key")
+    unit = F.col("size_class") * (1 << 40) + F.pmod(F.xxhash64("set_key"), F.ceil(F.col("sets") / block))
+    placed = materialise(placed.withColumn("unit", unit).drop("size_class", "sets"), "placed")
+    stats = materialise(
+        placed.groupBy("hub", "unit").agg(
+            F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.max("most").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")
+        ),
+        "units",
+    )
+    a, b = (stats.select("hub", *[F.col(c).alias(f"{c}_{x}") for c in stats.columns[1:]]) for x in "ab")
+    room = (F.col("min_n_a") <= F.col("most_b")) & (F.col("min_n_b") <= F.col("most_a"))
+    room &= (F.col("max_n_a") * 100 >= F.col("min_n_b") * percent) & (F.col("max_n_b") * 100 >= F.col("min_n_a") * percent)
+    room &= ~((F.col("low_a") == F.col("high_a")) & (F.col("low_b") == F.col("high_b")) & (F.col("low_a") == F.col("low_b")))
+    pairs = materialise(a.join(b, "hub").where((F.col("unit_a") <= F.col("unit_b")) & room).select("hub", "unit_a", "unit_b"), "unit_pairs")
+    sides = pairs.select("hub", F.col("unit_a").alias("unit"), "unit_a", "unit_b").unionByName(
+        pairs.where("unit_a <> unit_b").select("hub", F.col("unit_b").alias("unit"), "unit_a", "unit_b")
     )
-    full = paired.join(ranked.select("set_key", "n", "packed"), "set_key").join(hubs_of, "set_key")
-    return full.groupBy("hub", "a", "b").applyInPandas(run, "u binary, v binary")
+    hubs_of = members.groupBy("set_key").agg(F.collect_list(F.struct("hub", "most")).alias("hubs"))
+    full = placed.join(sides, ["hub", "unit"]).join(ranked.select("set_key", "packed"), "set_key").join(hubs_of, "set_key")
+    return full.groupBy("hub", "unit_a", "unit_b").applyInPandas(run, "u binary, v binary")
 
 
 def ngram_join(
@@ -312,9 +328,10 @@ def ngram_join(
     3. The sets left are read again, their n-grams counted, and ordered rarest first. Sets with
        a common prefix n-gram meet at its hub (``_members``).
     4. Each set is tested against its main hub, which joins most near copies at a cost in
-       proportion to their number. Then, hub by hub and in blocks, pairs of sets that are not
-       in one component yet are tested once each, behind length, positional and suffix
-       filters. Groups give back links that join components, never all pairs.
+       proportion to their number. Then, hub by hub and in units of about ``block`` sets, pairs of
+       sets that are not in one component yet are tested once each, behind length, positional and
+       suffix filters, which also tell which units meet at all. Groups give back links that
+       join components, never all pairs.
 
     Cases: null texts and texts without words have 0 n-grams and component themselves; with
     fewer words than ``size`` the whole sequence is the one n-gram; repeated rows share their

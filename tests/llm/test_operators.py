@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lawloom.llm import line_dedup, packing, pitman_yor, sstable, url_reputation
+from lawloom.llm import ngram_join as ngram_join_module
 from lawloom.llm.common import fold
 from lawloom.llm.decontaminate import decontaminate
 from lawloom.llm.exact_dedup import exact_dedup
@@ -216,6 +218,37 @@ def test_ngram_join_of_many_near_copies(spark):
     assert got == jaccard_groups(rows)
 
 
+def test_ngram_join_of_sets_alike_but_below_the_threshold(spark):
+    # Four fifths of each text are one boilerplate, the rest is shared by two texts only: all meet, but only the two link, and some of the second kind.
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(240)]
+    rows = [(k, " ".join(base + [f"own{k // 2}x{j}" for j in range(56)] + [f"z{k}"])) for k in range(60)]
+    rows += [(100 + k, " ".join(base + [f"q{k}x{j}" for j in range(r.randrange(20, 40))])) for k in range(30)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4, 1000):
+        got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join(data, block=block).collect())
+        assert got == jaccard_groups(rows)
+
+
+def test_units_verify_by_lists_as_by_pairs():
+    r = np.random.default_rng(4)
+    grams = [np.unique(r.choice(60, r.integers(20, 50), replace=False)).astype("<i8") for _ in range(60)]
+    group = lambda rows: pd.DataFrame({"hub": b"h", "set_key": [bytes([k]) for k in rows], "component": list(rows), "n": [len(grams[k]) for k in rows], "most": 200, "packed": [grams[k].tobytes() for k in rows], "hubs": [[{"hub": b"h", "most": 200}]] * len(rows), "unit": 1})
+    whole = {frozenset(x) for x in components(ngram_join_module._unit_links(group(range(60)), 50), range(60))}
+    pairs = [p for a in range(60) for b in range(a) for p in ngram_join_module._unit_links(group([b, a]), 50)]
+    assert whole == {frozenset(x) for x in components(pairs, range(60))} and 1 < len(whole) < 60
+
+
+def components(links, nodes):
+    group = {bytes([k]): {bytes([k])} for k in nodes}
+    for u, v in links:
+        if group[u] is not group[v]:
+            group[u] |= group[v]
+            for k in group[v]:
+                group[k] = group[u]
+    return list({id(g): g for g in group.values()}.values())
+
+
 def test_exact_dedup(docs, rows):
     groups = defaultdict(list)
     digest = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()
