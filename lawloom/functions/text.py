@@ -24,6 +24,12 @@ SENTENCE = r"(?<=[.;:!?])\s+(?=[A-Z(\"'])"
 CITED = r"\[(\d{1,2})(?:[.,:;\s][^\]\n]{0,40})?\]"
 
 
+# A citation at the start of a title, with a section or chapter mark or else of words; group 1 is the citation.
+CITATIONS = [r"(?U)^(.*?(?:§|ch\.)\s*[\w-]+)\.\s", r"(?U)^(.+?\w{2,}[\w-]*)\.\s+[A-Z]"]
+# Fixed value: the text that stands for a document that may not be copied.
+STUB = "The full text of {title} is copyrighted and is not included in this assistant's sources. Read it at {url}"
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -64,9 +70,7 @@ def vector_hash(model: str, dims: int, text: Column) -> Column:
 
 def citation_of(title: Column) -> Column:
     """The citation at the start of a title, or the whole title."""
-    marked = F.regexp_extract(title, r"(?U)^(.*?(?:§|ch\.)\s*[\w-]+)\.\s", 1)
-    worded = F.regexp_extract(title, r"(?U)^(.+?\w{2,}[\w-]*)\.\s+[A-Z]", 1)
-    return F.coalesce(empty_to_null(marked), empty_to_null(worded), title)
+    return F.coalesce(*[empty_to_null(F.regexp_extract(title, pattern, 1)) for pattern in CITATIONS], title)
 
 
 def smart_title(x: Column) -> Column:
@@ -188,13 +192,10 @@ def crumbs_of(path: Column) -> Column:
     return F.transform(kept, one)
 
 
-def stub_text(summary: Column, title: Column, url: Column) -> Column:
-    """The text that stands for a document that may not be copied."""
-    rest = F.concat(
-        F.lit("The full text of "), F.substring_index(title, ". ", 1),
-        F.lit(" is copyrighted and is not included in this assistant's sources. Read it at "), url,
-    )
-    return F.concat(summary, F.lit("\n\n"), rest)
+def stub_text(summary: Column, title: Column, url: Column, sentence: str = STUB) -> Column:
+    """The summary, and a sentence with the title's first part and the url in their places."""
+    filled = F.replace(F.replace(F.lit(sentence), F.lit("{title}"), F.substring_index(title, ". ", 1)), F.lit("{url}"), url)
+    return F.concat(summary, F.lit("\n\n"), filled)
 
 
 def escape_html(x: Column) -> Column:
