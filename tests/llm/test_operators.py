@@ -428,7 +428,7 @@ def test_near_copies_meet_over_a_row_without_id(spark):
     assert Counter((x.doc_id, x.component_id) for x in got) == Counter([(7, 7), (None, 7), (9, 7), (11, 11), (None, None)])
 
 
-@pytest.mark.parametrize("bucket_tokens", [1_500_000, 900])
+@pytest.mark.parametrize("bucket_tokens", [750_000, 900])
 def test_language_model(docs, rows, bucket_tokens):
     # With small buckets there are several, and frequent words are hot contexts.
     got = score_texts(docs, fold(F.col("doc_id")) == 1, least_count=20, bucket_tokens=bucket_tokens, sweeps=6, burn_in=2).collect()
@@ -584,6 +584,12 @@ def test_gibbs_tables_follow_their_distribution():
     assert np.abs(np.bincount(level.tables, minlength=c + 1)[1:] / 4000 - weights / weights.sum()).max() < 0.03
 
 
+def test_planes_give_back_the_numbers():
+    r = np.random.default_rng(7)
+    some = [r.integers(0, 1 << 20, n) for n in (0, 1, 5, 300)]
+    assert (pitman_yor.unplaned([pitman_yor.planes(x, "<u4") for x in some], "<u4") == np.concatenate(some)).all()
+
+
 def test_hot_contexts_are_dealt_apart():
     hot = np.sort(np.array([5 << 60, 9 << 59], np.uint64))
     plan = pitman_yor.Plan(np.zeros(0, np.uint64), np.zeros(2), 4, hot, 8)
