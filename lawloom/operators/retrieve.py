@@ -6,8 +6,11 @@ broadcast after a check of its rows; documents are scanned once for all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = 1.2, b: float = 0.7
     """query_id, id, score of all documents with a term of the query (Robertson and Zaragoza, 2009).
 
     Only occurrences of query terms are exploded, so a document costs its matches and not its
-    words; document counts of terms are summed map-side.
+    words; document counts of terms are summed map-side. Scores are rounded to 9 decimals, so that equal
+    texts tie whatever the order of their sums.
     """
     q = small(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
     tokens = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("terms"))
@@ -48,24 +52,46 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = 1.2, b: float = 0.7
     idf = F.log((F.lit(whole["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(whole["mean"] or 1.0))
     weight = tf.join(df, "term").select("id", "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    return weight.join(q, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    return weight.join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"))
 
 
-def cosine(x: Column, y: Column) -> Column:
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+def _nearest(docs: DataFrame, few: list, k: int, dims: int) -> DataFrame:
+    """query_id (as its place in few), id, score: of each Arrow batch the k best of every query, and what ties with the last of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.array([list(r.vector) for r in few], np.float64).reshape(len(few), dims))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = shared.value / np.maximum(np.linalg.norm(shared.value, axis=1, keepdims=True), 1e-300)
+        for batch in batches:
+            batch = batch[batch["v"].notna()]
+            if not len(batch):
+                continue
+            own = np.array(batch["v"].tolist(), np.float64)
+            scores = np.round(asked @ (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T, 12)
+            least = np.partition(scores, -min(k, len(own)), axis=1)[:, -min(k, len(own))]
+            q, at = np.nonzero(scores >= least[:, None])
+            yield pd.DataFrame({"q": q, "id": batch["id"].to_numpy()[at], "score": scores[q, at]})
 
-def vector_top(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, id_col: str = "id", vector_col: str = "content_vector") -> DataFrame:
-    """The k nearest documents of each query by cosine, exactly.
+    return docs.mapInPandas(run, f"q int, id {dict(docs.dtypes)['id']}, score double")
 
-    Queries are a stated, bounded set: they travel as one array to the scan, each row is scored
-    against all of them, and the best of each query are kept.
+
+def vector_top(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, block: int = 10_000, id_col: str = "id", vector_col: str = "content_vector") -> DataFrame:
+    """The k nearest documents of each query by cosine (to 12 decimals), exactly.
+
+    Queries travel to the scan in blocks of at most ``block`` (a checked bound of the broadcast); each
+    batch of documents is scored against a block by one matrix product, and only a batch's best of each
+    query are shuffled. A null or zero vector is near to nothing.
     """
-    few = queries.select("query_id", "vector").collect()
-    each = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*[F.lit(float(x)) for x in r.vector]).alias("vector")) for r in few])
-    own = docs.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.explode(each).alias("q"))
-    return top(own.select("q.query_id", "id", cosine(F.col("v"), F.col("q.vector")).alias("score")), k)
+    own = docs.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for part in range(blocks):
+        few = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).collect()
+        dims = max((len(r.vector) for r in few), default=1)
+        names = docs.sparkSession.createDataFrame([(n, r.query_id) for n, r in enumerate(few)], f"q int, query_id {dict(asked.dtypes)['query_id']}")
+        scored = _nearest(own, few, k, dims).join(F.broadcast(names), "q").select("query_id", "id", "score")
+        found = scored if found is None else found.unionByName(scored)
+    return top(found, k)
 
 
 def fuse(*ranked: DataFrame, constant: int = FUSE) -> DataFrame:
