@@ -135,7 +135,7 @@ def contents_rows(spark, sf_dir):
 
 
 @query(rf"""SELECT doc_id::VARCHAR AS doc_id, 0 AS ix, '§' || doc_id || '. Name' AS heading, 'Title ' || doc_id || ': A|Chapter 1: B' AS path,
-    replace(replace(replace({_CLEAN}, ' ,', ','), ' ;', ';'), ' .', '.') || '|3. (Repealed)' AS body, 'PL 1, c. ' || doc_id AS history FROM documents WHERE {_CLEAN} <> '' AND NOT regexp_full_match({_CLEAN}, '[\p{L}\p{N}_()-]+\.')""")
+    replace(replace(replace({_CLEAN}, ' ,', ','), ' ;', ';'), ' .', '.') || '|3. (Repealed)' AS body, 'PL 1, c. ' || doc_id AS history FROM documents WHERE {_CLEAN} <> '' AND NOT regexp_full_match({_CLEAN}, '[\p{{L}}\p{{N}}_()-]+\.')""")
 def statute_pages(spark, sf_dir):
     at = F.col("doc_id").cast("string")
     docs = table(spark, sf_dir, "documents").where((T.clean(F.col("text")) != "") & ~T.clean(F.col("text")).rlike(r"^[\p{L}\p{N}_()-]+\.$"))
