@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +91,7 @@ def source_chunks(sources: DataFrame, *, municipality: str, limit: int = LIMIT,
 def attachment_docs(attachments: DataFrame, chapters: DataFrame, *, base_url: str) -> DataFrame:
     """Documents of attachments (ix, title, href, chapter_guid), the first of each href, with their chapter; orphans are an error."""
     firsts = first_seen(attachments, "href", "ix")
-    joined = firsts.join(F.broadcast(chapters.select(F.col("guid").alias("chapter_guid"), "chapter_number", "chapter_title")), "chapter_guid", "left")
+    joined = firsts.join(chapters.select(F.col("guid").alias("chapter_guid"), "chapter_number", "chapter_title"), "chapter_guid", "left")
     known = F.when(F.col("chapter_number").isNull(), F.raise_error(F.concat(F.lit("no chapter for "), "href"))).otherwise(F.col("chapter_number"))
     return joined.select(
         index_key(F.concat(F.lit("attachment-"), file_stem(F.col("href")))).alias("doc_id"), F.lit("attachment").alias("source_type"), "title",
@@ -118,9 +122,33 @@ def node_markdown(nodes: DataFrame) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), F.concat(meta, F.array_join(F.transform("parts", lambda p: p["md"]), "\n")).alias("markdown"))
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """One text file for each document, in a folder named by its id."""
-    docs.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_markdown(docs: DataFrame, root: str) -> DataFrame:
+    """Write one file for each row of (path, markdown) below root, in tasks; gives path and bytes of what was written.
+
+    A file is written as a whole under its own path, so a task that runs twice writes the same. root is
+    any path that Arrow's file systems know.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = pafs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        for batch in batches:
+            sizes = []
+            for path, text in zip(batch["path"], batch["markdown"], strict=True):
+                name, data = f"{base}/{path}", text.encode()
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(name) as file:
+                    file.write(data)
+                sizes.append(len(data))
+            yield pd.DataFrame({"path": batch["path"], "bytes": sizes})
+
+    return docs.select("path", "markdown").mapInPandas(run, "path string, bytes long")
+
+
+def document_markdown(docs: DataFrame) -> DataFrame:
+    """doc_id, path, markdown of documents (doc_id, source_type, title, url, text) other than chapters."""
+    meta = front_matter([(c, F.col(c), "string") for c in ("title", "source_type", "url")])
+    path = F.concat(F.lit("markdown/"), slug(F.col("source_type")), F.lit("/"), "doc_id", F.lit(".md"))
+    return docs.select("doc_id", path.alias("path"), F.concat(meta, F.lit("# "), "title", F.lit("\n\n"), "text", F.lit("\n")).alias("markdown"))
 
 
 def document_rows(docs: DataFrame, chunks: DataFrame) -> DataFrame:

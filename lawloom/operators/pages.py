@@ -16,24 +16,30 @@ def page_lines(pages: DataFrame) -> DataFrame:
 def repeated_lines(pages: DataFrame, *, share: float = 0.5, longest: int = 60) -> DataFrame:
     """doc_id, line_key, n_pages of lines on more than ``share`` of a document's pages, if it has two or more.
 
-    Lines that start with a pipe belong to tables and aren't counted. Counts are summed map-side
-    over (document, line), after one row for each page.
+    Lines that start with a pipe belong to tables and aren't counted. A page's keys are made distinct in
+    place, so its lines aren't shuffled; counts are summed map-side over (document, line).
     """
-    counted = page_lines(pages).where(~F.ltrim("text").startswith("|")).select("doc_id", "page", line_key(F.col("text")).alias("line_key"))
-    by_line = counted.where("line_key <> ''").distinct().groupBy("doc_id", "line_key").agg(F.count("*").alias("n_pages"))
+    lines = F.filter(F.split("text", "\r\n|\r|\n"), lambda x: ~F.ltrim(x).startswith("|"))
+    keys = F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: (k != "") & (F.length(k) < longest)))
+    by_line = pages.select("doc_id", F.explode(keys).alias("line_key")).groupBy("doc_id", "line_key").agg(F.count("*").alias("n_pages"))
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
-    often = (F.col("pages") >= 2) & (F.col("n_pages") > F.col("pages") * share) & (F.length("line_key") < longest)
+    often = (F.col("pages") >= 2) & (F.col("n_pages") > F.col("pages") * share)
     return by_line.join(sizes, "doc_id").where(often).select("doc_id", "line_key", "n_pages")
 
 
 def strip_repeated_lines(pages: DataFrame, **options: float) -> DataFrame:
-    """pages without footers and repeated lines (those in tables too), picture marks and runs of empty lines."""
-    lines = page_lines(pages).where(~is_footer(F.col("text"))).withColumn("line_key", line_key(F.col("text")))
-    kept = lines.join(repeated_lines(pages, **options).select("doc_id", "line_key"), ["doc_id", "line_key"], "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("line", clean_picture_text(F.col("text")).alias("text"))))
-    texts = kept.groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
-    tight = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    return pages.select("doc_id", "page").join(texts, ["doc_id", "page"], "left").select("doc_id", "page", tight.alias("text"))
+    """pages without footers and repeated lines (those in tables too), picture marks and runs of empty lines.
+
+    A document's repeated keys are few (each is on more than a share of its pages), so they are gathered
+    once, and each page's lines are filtered in place.
+    """
+    keys = repeated_lines(pages, **options).groupBy("doc_id").agg(F.collect_list("line_key").alias("_often"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n")
+    often = F.coalesce("_often", F.array().cast("array<string>"))
+    kept = F.filter(lines, lambda x: ~is_footer(x) & ~F.array_contains(often, line_key(x)))
+    text = F.array_join(F.transform(kept, clean_picture_text), "\n")
+    tight = F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return pages.select("doc_id", "page", "text").join(keys, "doc_id", "left").select("doc_id", "page", tight.alias("text"))
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -12,7 +12,9 @@ def reachable(edges: DataFrame, roots: DataFrame, *, max_rounds: int = 1000) ->
     """Nodes that edges (parent, child) lead to from roots (node), each with its root and depth.
 
     A breadth-first walk by joins: each round's new nodes are those not seen before, so cycles
-    end. What a round finds is checkpointed in the session's shared folder, which cuts the plan.
+    end. What a round finds is checkpointed in the session's shared folder, which cuts the plan; all
+    found so far is written together every tenth round only. A walk that isn't at its end after
+    ``max_rounds`` is an error.
     """
     with_checkpoints(edges.sparkSession)
     own = edges.select("parent", "child").distinct().checkpoint()
@@ -22,9 +24,10 @@ def reachable(edges: DataFrame, roots: DataFrame, *, max_rounds: int = 1000) ->
         step = front.join(own, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
         front = step.join(seen, ["root", "node"], "left_anti").checkpoint()
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front).checkpoint()
-    return seen
+            return seen
+        seen = seen.unionByName(front)
+        seen = seen if depth % 10 else seen.checkpoint()
+    raise ValueError(f"links go deeper than {max_rounds} rounds")
 
 
 def compare(parsed: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,15 +37,17 @@ def compare(parsed: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full_outer").select(*keys, state.alias("state"))
 
 
-def completeness(parsed: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: sections_parsed, sections_listed, and the sorted missing and extra keys (the last of keys)."""
+def completeness(parsed: DataFrame, listed: DataFrame, keys: list[str], *, shown: int = 1000) -> DataFrame:
+    """One row: sections_parsed, sections_listed, n_missing, n_extra, and the first ``shown`` missing and extra keys (the last of keys) in order.
+
+    The lists are a report; ``compare`` gives all of them as rows.
+    """
     found = compare(parsed, listed, keys)
-    name = F.col(keys[-1])
-    listing = lambda s: F.array_sort(F.collect_list(F.when(F.col("state") == s, name)))
-    return found.agg(
-        F.count_if(F.col("state") != "missing").alias("sections_parsed"), F.count_if(F.col("state") != "extra").alias("sections_listed"),
-        listing("missing").alias("missing"), listing("extra").alias("extra"),
-    )
+    counts = found.agg(*[F.count_if(test).alias(name) for name, test in {
+        "sections_parsed": F.col("state") != "missing", "sections_listed": F.col("state") != "extra", "n_missing": F.col("state") == "missing", "n_extra": F.col("state") == "extra",
+    }.items()])
+    first = lambda s: found.where(F.col("state") == s).select(F.col(keys[-1]).alias("k")).orderBy("k").limit(shown).agg(F.array_sort(F.collect_list("k")).alias(s))
+    return counts.join(F.broadcast(first("missing"))).join(F.broadcast(first("extra")))
 
 
 def require_complete(report: DataFrame) -> None:

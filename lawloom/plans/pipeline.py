@@ -14,8 +14,9 @@ from lawloom.operators.chunking import LIMIT, line_blocks, pack
 from lawloom.operators.export import as_chunks, token_stats, write_outputs
 from lawloom.operators.index import HashEmbedder, embed_chunks, push
 from lawloom.operators.markup import page_blocks
-from lawloom.operators.validate import check
+from lawloom.operators.validate import check, validation_errors
 from lawloom.operators.verify import completeness, require_complete
+from lawloom.streaming.refresh import IndexTable
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,27 @@ def push_index(chunks: DataFrame, index: DataFrame, cache: DataFrame, embedder:
     return push(index, embedded), new
 
 
+def refresh_index(docs: DataFrame, table: IndexTable, options: Options = Options(), embedder: HashEmbedder | None = None) -> DataFrame:
+    """A full refresh: chunks of all documents, checked and complete, merged into the index, and then owned rows that no document gave removed.
+
+    Any fault stops the run before the index is touched. Vectors of known texts are reused; new ones are kept
+    beside the index. Returns the index as written.
+    """
+    chunks = document_chunks(docs, options)
+    listed = docs.where(F.length(F.trim("text")) > 0).select(index_key(F.concat(F.lit("ext-"), F.col("doc_id").cast("string"))).alias("doc_id"))
+    if options.verify:
+        require_complete(completeness(chunks, listed, ["doc_id"]))
+    cache, index = IndexTable(table.spark, f"{table.path}-vectors"), table.read()
+    known = cache.read_all()
+    known = known if known is not None else table.spark.createDataFrame([], "h string, v array<float>")
+    own = embedder or HashEmbedder()
+    check(chunks)
+    embedded, new = embed_chunks(chunks, known, own)
+    cache.append(new, cache.next_version())
+    table.write(embedded if index is None else push(index, embedded))
+    return table.read()
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lawloom", description="Chunk a table of documents and write chunks, documents and manifest.")
     parser.add_argument("documents", help="Parquet table with doc_id, text, source")
@@ -87,9 +109,22 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--name", default="Corpus")
     parser.add_argument("--limit", type=int, default=LIMIT)
     parser.add_argument("--no-verify", action="store_true")
+    parser.add_argument("--check", action="store_true", help="only check the chunks and print their faults")
+    parser.add_argument("--index", help="folder of an index to refresh as well; rows of documents that are gone are removed")
+    parser.add_argument("--recreate", action="store_true", help="begin the index anew")
     given = parser.parse_args(argv)
     spark = session()
-    run(spark.read.parquet(given.documents), given.out, Options(given.name, given.limit, verify=not given.no_verify)).show()
+    options = Options(given.name, given.limit, verify=not given.no_verify)
+    docs = spark.read.parquet(given.documents)
+    if given.check:
+        validation_errors(document_chunks(docs, options)).show(50, truncate=False)
+        return
+    if given.index:
+        table = IndexTable(spark, given.index)
+        if given.recreate:
+            table.clear()
+        refresh_index(docs, table, options)
+    run(docs, given.out, options).show()
 
 
 if __name__ == "__main__":

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lawloom.functions import text as T
 from lawloom.functions.tokens import count_tokens
 from lawloom.operators import chat, export, index, retrieve, validate, verify
-from lawloom.operators.chunking import line_blocks, merge_pages, pack
+from lawloom.operators.chunking import line_blocks, numbered_runs, pack
 from lawloom.operators.markup import page_blocks
 from lawloom.operators.pages import first_seen, repeated_lines, strip_repeated_lines
+from lawloom.session import shared_path
 from lawloom.plans.pipeline import Options, document_chunks, web_chunks
 from lawloom.sources.registry import adapter, expand, read_registry
 from lawloom.streaming.limiter import limit_rows, limit_stream
@@ -145,9 +146,8 @@ def chunk_manifest(spark, sf_dir):
     SELECT source, d.first AS first, d.last AS last, d.size::INTEGER AS size FROM (SELECT source, unnest(done) AS d FROM fold WHERE pos = len(ids))""")
 def page_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("int").alias("page"), count_tokens(F.col("text")).alias("tokens"))
-    ordered = F.array_sort(F.collect_list(F.struct("page", F.col("page").alias("ix"), "tokens")))
-    merged = docs.groupBy("source").agg(ordered.alias("bodies")).select("source", F.explode(merge_pages(F.col("bodies"))).alias("d"))
-    return merged.select("source", "d.first", "d.last", "d.size")
+    runs = numbered_runs(docs, "source", ["page"], "tokens").groupBy("source", "run")
+    return runs.agg(F.min("page").alias("first"), F.max("page").alias("last"), F.sum("tokens").cast("int").alias("size")).drop("run")
 
 
 _PAGED = r"""lines AS (
@@ -470,12 +470,12 @@ def rate_limit_batch(spark, sf_dir):
 
 @query(_LIMITED)
 def rate_limit_stream(spark, sf_dir):
-    """The same as a stream over the table, run to its end into a table in memory."""
+    """The same as a stream over the table, run to its end into files of the shared folder."""
     schema = table(spark, sf_dir, "events").schema
     files = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events*.parquet")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     requests = files.select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("id"), at.alias("at"))
-    name = f"limited_{abs(hash(sf_dir))}"
-    running = limit_stream(requests, per_minute=2, per_day=3, evict=False).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).select("client", "id", "accepted", "reason")
+    out = shared_path(spark, "limited")
+    limited = limit_stream(requests, per_minute=2, per_day=3, evict=False)
+    limited.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(limited.schema).parquet(out).select("client", "id", "accepted", "reason")

@@ -7,10 +7,11 @@ limit over all clients is set; with such a limit all requests share one key, one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,30 +21,62 @@ PER_MINUTE, PER_DAY, ALL_PER_DAY = 6, 60, 3000
 RESULT = "client string, id long, at double, accepted boolean, reason string"
 
 
+class Accepted:
+    """Times of accepted requests, the oldest first; those older than a day go."""
+
+    def __init__(self, times: Iterable[float] = ()) -> None:
+        self.day = deque(times)
+        self.minute = deque(self.day)
+
+    def prune(self, at: float) -> None:
+        for times, age in ((self.day, DAY), (self.minute, MINUTE)):
+            while times and at - times[0] > age:
+                times.popleft()
+
+    def reason(self, at: float, per_minute: int, per_day: int) -> str | None:
+        self.prune(at)
+        return "day" if len(self.day) >= per_day else "minute" if len(self.minute) >= per_minute else None
+
+    def add(self, at: float) -> None:
+        self.day.append(at)
+        self.minute.append(at)
+
+
 def limit_rows(requests: DataFrame, *, per_minute: int = PER_MINUTE, per_day: int = PER_DAY, all_per_day: int | None = None) -> DataFrame:
     """client, id, at (seconds), accepted, reason of requests (client, id, at).
 
-    Requests of a client are folded in order of time and id; the state holds its accepted requests
-    of the last day, at most per_day. A request exactly 60 seconds old still counts. With
-    ``all_per_day`` all clients are folded as one, in one task: exact, and only for small tables.
+    Requests are dealt by client and sorted by time and id; each task goes through them once. In hand are the
+    accepted times of the last day of one client, at most per_day, so a client with very many requests costs
+    time in proportion to them. A request exactly 60 seconds old still counts. With ``all_per_day``, which
+    makes each request depend on all before it, one task goes through all of them, with at most all_per_day times in hand.
     """
-    key = F.lit("all") if all_per_day is not None else F.col("client")
-    ordered = F.array_sort(F.collect_list(F.struct("at", "id", "client")))
-    start = F.struct(F.array().cast("array<struct<at:double,client:string>>").alias("kept"), F.array().cast("array<string>").alias("reasons"))
 
-    def add(state: Column, r: Column) -> Column:
-        kept = F.filter(state["kept"], lambda x: r["at"] - x["at"] <= DAY)
-        own = F.filter(kept, lambda x: x["client"] == r["client"])
-        late = F.size(F.filter(own, lambda x: r["at"] - x["at"] <= MINUTE))
-        reason = F.when(F.size(own) >= per_day, "day").when(late >= per_minute, "minute").otherwise("")
-        if all_per_day is not None:
-            reason = F.when(F.size(kept) >= all_per_day, "all").otherwise(reason)
-        more = F.concat(kept, F.array(F.struct(r["at"].alias("at"), r["client"].alias("client"))))
-        return F.struct(F.when(reason == "", more).otherwise(kept).alias("kept"), F.concat(state["reasons"], F.array(reason)).alias("reasons"))
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, own, last = Accepted(), {}, object()
+        for batch in batches:
+            reasons = []
+            for client, at in zip(batch["client"], batch["at"], strict=True):
+                if client != last and all_per_day is None:
+                    own = {}
+                last = client
+                reason = own.setdefault(client, Accepted()).reason(at, per_minute, per_day)
+                if all_per_day is not None:
+                    every.prune(at)
+                    reason = "all" if len(every.day) >= all_per_day else reason
+                    if len(own) > 2 * all_per_day:  # clients without a request in the last day are forgotten
+                        own = {c: x for c, x in own.items() if c == client or (x.day and at - x.day[-1] <= DAY)}
+                if reason is None:
+                    own[client].add(at)
+                    every.add(at)
+                reasons.append(reason)
+            yield batch.assign(accepted=[r is None for r in reasons], reason=reasons)
 
-    folded = requests.groupBy(key.alias("key")).agg(ordered.alias("all")).withColumn("reasons", F.aggregate("all", start, add, lambda s: s["reasons"]))
-    each = folded.select(F.explode(F.arrays_zip("all", "reasons")).alias("x"))
-    return each.select("x.all.client", "x.all.id", "x.all.at", (F.col("x.reasons") == "").alias("accepted"), F.when(F.col("x.reasons") != "", F.col("x.reasons")).alias("reason"))
+    rows = requests.select("client", F.col("id").cast("long").alias("id"), F.col("at").cast("double").alias("at"))
+    if all_per_day is None:
+        rows = rows.repartition("client").sortWithinPartitions("client", "at", "id")
+    else:
+        rows = rows.repartition(1).sortWithinPartitions("at", "id")
+    return rows.mapInPandas(walk, RESULT)
 
 
 def limit_stream(requests: DataFrame, *, per_minute: int = PER_MINUTE, per_day: int = PER_DAY, evict: bool = True) -> DataFrame:
@@ -57,15 +90,14 @@ def limit_stream(requests: DataFrame, *, per_minute: int = PER_MINUTE, per_day:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(state.get[0]) if state.exists else []
+        own = Accepted(state.get[0] if state.exists else ())
         rows = []
         for r in pd.concat(list(batches)).sort_values(["at", "id"]).itertuples():
-            kept = [t for t in kept if r.at - t <= DAY]
-            reason = "day" if len(kept) >= per_day else "minute" if sum(r.at - t <= MINUTE for t in kept) >= per_minute else None
+            reason = own.reason(r.at, per_minute, per_day)
             if reason is None:
-                kept.append(r.at)
+                own.add(r.at)
             rows.append((key[0], r.id, r.at, reason is None, reason))
-        state.update((kept,))
+        state.update((list(own.day),))
         if evict:
             state.setTimeoutDuration(int(DAY * 1000))
         yield pd.DataFrame(rows, columns=["client", "id", "at", "accepted", "reason"])

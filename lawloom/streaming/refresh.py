@@ -30,9 +30,27 @@ class IndexTable:
         versions = self._versions()
         return self.spark.read.parquet(f"{self.path}/v{versions[-1]}") if versions else None
 
-    def write(self, rows: DataFrame) -> None:
+    def read_all(self) -> DataFrame | None:
+        """The rows of all versions, for a table that only grows (see ``append``)."""
+        versions = self._versions()
+        return self.spark.read.parquet(*[f"{self.path}/v{v}" for v in versions]) if versions else None
+
+    def append(self, rows: DataFrame, version: int) -> None:
+        """Add rows as a version of their own; writing the same version again replaces it."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+
+    def next_version(self) -> int:
         versions = self._versions()
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{versions[-1] + 1 if versions else 0}")
+        return versions[-1] + 1 if versions else 0
+
+    def write(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{self.next_version()}")
+
+    def clear(self) -> None:
+        """Begin anew with an empty version; older ones stay on disk but no longer count."""
+        found = self.read()
+        if found is not None:
+            self.write(found.limit(0))
 
 
 def refresh(documents: DataFrame, build: Callable[[DataFrame], DataFrame], table: IndexTable, checkpoint: str, embedder: HashEmbedder | None = None) -> StreamingQuery:
@@ -43,13 +61,14 @@ def refresh(documents: DataFrame, build: Callable[[DataFrame], DataFrame], table
     own = embedder or HashEmbedder()
     cache = IndexTable(table.spark, f"{table.path}-vectors")
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         chunks = build(batch)
         check(chunks)
-        known = cache.read()
+        known = cache.read_all()
         known = known if known is not None else batch.sparkSession.createDataFrame([], "h string, v array<float>")
         embedded, new = embed_chunks(chunks, known, own)
-        cache.write(known.select("h", "v").unionByName(new))
+        # Only new vectors are written, before the index that needs them.
+        cache.append(new, number)
         index = table.read()
         table.write(embedded if index is None else upsert(index, embedded))
 

@@ -361,5 +361,66 @@ def test_run_and_refresh(spark, tmp_path):
     assert table.read().count() == 6 and table.read().where("content_vector is null").count() == 0
 
 
+def test_full_refresh(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text of {k}", "s") for k in range(4)], "doc_id long, text string, source string")
+    table = refresh.IndexTable(spark, str(tmp_path / "index"))
+    assert pipeline.refresh_index(docs, table).count() == 4
+    got = pipeline.refresh_index(docs.where("doc_id > 0").unionByName(spark.createDataFrame([(9, "new", "s")], docs.schema)), table)
+    assert sorted(r.doc_id for r in got.collect()) == ["ext-1", "ext-2", "ext-3", "ext-9"] and got.where("content_vector is null").count() == 0
+    vectors = refresh.IndexTable(spark, str(tmp_path / "index-vectors"))
+    assert vectors.read_all().count() == 5 and vectors.read().count() == 1
+    with pytest.raises(ValueError):
+        pipeline.refresh_index(docs.withColumn("text", F.lit("! ")).unionByName(docs), table)
+    assert table.read().count() == 4
+    table.clear()
+    assert table.read().count() == 0
+
+
+def test_markdown_files(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "rule", "A title", "u", "text"), ("d2", "rule", "B", None, "é")], "doc_id string, source_type string, title string, url string, text string")
+    wrote = export.write_markdown(export.document_markdown(docs), str(tmp_path)).collect()
+    assert {r.path for r in wrote} == {"markdown/rule/d1.md", "markdown/rule/d2.md"}
+    assert (tmp_path / "markdown/rule/d1.md").read_text() == '---\ntitle: "A title"\nsource_type: "rule"\nurl: "u"\n---\n\n# A title\n\ntext\n'
+
+
+def test_runs_of_parts():
+    import random
+
+    from lawloom.operators.chunking import runs
+
+    r = random.Random(2)
+    for _ in range(300):
+        parts, limit = [r.randrange(1, 12) for _ in range(r.randrange(0, 40))], r.randrange(1, 40)
+        want, at = [], 0
+        while at < len(parts):
+            end = at + 1
+            while end < len(parts) and sum(parts[at : end + 1]) <= limit:
+                end += 1
+            want.append((at, end))
+            at = end
+        assert list(runs(parts, limit, sum)) == want
+
+
+def test_pieces_counted_by_spark_are_those_of_python(spark):
+    import random
+
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice(["one.", "Two;", "three", "Four!", "five"]) for _ in range(n))
+    rows = [(k, [{"kind": r.choice(["para", "item"]), "text": text(r.randrange(0, 40)), "table_header": None, "table_rows": None} for _ in range(r.randrange(0, 5))]) for k in range(40)]
+    from lawloom.operators.chunking import with_pieces
+    from lawloom.schemas import BLOCK
+
+    got = with_pieces(spark.createDataFrame(rows, f"id int, blocks array<struct<{BLOCK.replace(' ', ':', 1).replace(', text ', ',text:').replace(', table_header ', ',table_header:').replace(', table_rows ', ',table_rows:')}>>"), limit=20).collect()
+    assert {x.id: [p.asDict() for p in x.pieces] for x in got} == {k: pieces_of(b, 20, WORDS) for k, b in rows}
+
+
+def test_deep_links_are_an_error(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(5)], "parent int, child int")
+    roots = spark.createDataFrame([(0,)], "node int")
+    assert verify.reachable(edges, roots).count() == 6
+    with pytest.raises(ValueError):
+        verify.reachable(edges, roots, max_rounds=3)
+
+
 def test_queries_are_registered():
     assert set(SQL) <= set(QUERIES) and len(SQL) >= 35
