@@ -152,7 +152,7 @@ def _members(ranked: DataFrame, percent: int) -> DataFrame:
     prefix = ranked.where(take > 0).select("set_key", "n", rank.alias("rank"), F.size("grams").alias("m"), F.posexplode(F.slice("grams", F.lit(1), take)).alias("at", "gram"))
     rows = prefix.select("set_key", "n", "rank", "gram", (F.col("m") - F.col("at")).alias("rest"))
     hubs = rows.groupBy("gram").agg(F.max("rank").alias("hub"), F.count("*").alias("sets")).where("sets > 1").select("gram", F.col("hub.set_key").alias("hub"))
-    met = spread_join(rows.select("set_key", "n", "rest", "gram"), hubs, ["gram"], "set_key")
+    met = rows.select("set_key", "n", "rest", "gram").join(hubs, "gram")
     return met.groupBy("hub", "set_key").agg(F.first("n").alias("n"), F.count("*").alias("shared"), F.max("rest").alias("rest"))
 
 
@@ -202,8 +202,12 @@ def _star_links(members: DataFrame, ranked: DataFrame, percent: int) -> DataFram
     main = members.where("hub <> set_key").groupBy("set_key").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     one = ranked.select("set_key", "n", "packed")
     two = ranked.select(F.col("set_key").alias("hub"), F.col("n").alias("n2"), F.col("packed").alias("packed2"))
-    # A hub is sent to a few tasks once, not with each of its members.
-    return spread_join(main.join(one, "set_key"), two, ["hub"], "set_key").select(F.col("set_key").alias("u"), F.col("hub").alias("v"), "n", "n2", "packed", "packed2").mapInArrow(run, "u binary, v binary")
+    # A hub goes once to each of so many tasks as its members fill, not with each of its members.
+    main = materialise(main, "main_hubs")
+    parts = materialise(main.groupBy("hub").agg(F.ceil(F.count("*") / 1000).cast("int").alias("parts")), "hub_parts")
+    members = main.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int")).drop("parts")
+    hubs = two.join(parts, "hub").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return members.join(one, "set_key").join(hubs, ["hub", "part"]).select(F.col("set_key").alias("u"), F.col("hub").alias("v"), "n", "n2", "packed", "packed2").mapInArrow(run, "u binary, v binary")
 
 
 def _shared_with(own: np.ndarray, starts: np.ndarray, holders: np.ndarray, sets: int) -> np.ndarray:
@@ -286,9 +290,9 @@ def _rest_links(members: DataFrame, ranked: DataFrame, labels: DataFrame, percen
     own = members.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     own = own.withColumn("size_class", F.floor(F.log(1.1, F.col("n"))).cast("long"))
     apart = own.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("hub")
-    own = materialise(spread_join(own, apart, ["hub"], "set_key"), "members_apart")
+    own = materialise(spread_join(own, apart, ["hub"], "set_key", 4), "members_apart")
     many = own.groupBy("hub", "size_class").agg(F.count("*").alias("sets"))
-    placed = spread_join(own, many, ["hub", "size_class"], "set_key")
+    placed = spread_join(own, many, ["hub", "size_class"], "set_key", 4)
     unit = F.col("size_class") * (1 << 40) + F.pmod(F.xxhash64("set_key"), F.ceil(F.col("sets") / block))
     placed = materialise(placed.withColumn("unit", unit).drop("size_class", "sets"), "placed")
     stats = materialise(
