@@ -80,23 +80,37 @@ def scan(text: bytes | None, automaton: ahocorasick.Automaton | None) -> tuple[i
 
 
 def spans_of(text: bytes, hit: np.ndarray) -> list[dict]:
-    """Runs of hit words as character offsets in the original text."""
-    bounds = [m.span() for m in _WORD.finditer(text)]
+    """Runs of hit words as character offsets in the original text, whose characters are counted once."""
+    bounds = np.array([m.span() for m in _WORD.finditer(text)])
     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-    chars = lambda at: len(text[:at].decode("utf-8", "replace"))
-    return [{"begin": chars(bounds[a][0]), "end": chars(bounds[b - 1][1])} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    # Every byte but those that go on with a character begins one.
+    chars = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+    return [{"begin": int(chars[bounds[a][0]]), "end": int(chars[bounds[b - 1][1]])} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+_BUILT: dict[str, ahocorasick.Automaton | None] = {}
+
+
+def automaton_of(items: list[tuple[str, bytes | None]], window: int) -> ahocorasick.Automaton | None:
+    """The automaton of these items, built once in a Python worker, which serves many tasks; the last one is kept."""
+    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build_automaton(item_windows(items, window))
+    return _BUILT[key]
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_benchmark_mb: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_benchmark_mb: int = 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: its words, the words in benchmark windows, the items, and the spans.
 
     A window is ``window`` consecutive words of an item; a shorter item that has words is one
     window. One Aho-Corasick automaton over all windows scans each normalised text once;
     ``spans`` gives the hit passages as character offsets (end exclusive) of the original text.
-    The benchmark is broadcast after a check of its size against ``max_benchmark_mb``; beyond
-    that the call fails rather than drop items: split the benchmark and call once per part.
+    Item texts are broadcast after a check of their size against ``max_benchmark_mb``, and each worker makes
+    the automaton of them, which takes up to about 60 times their size in memory; beyond the bound the call
+    fails rather than drop items: split the benchmark and call once per part.
 
     Cases: null and word-free texts have no words and are not contaminated; null item texts
     have no windows; a null item id is called ``null``; repeated rows are each judged; an empty
@@ -108,10 +122,10 @@ def decontaminate(
     mb = (items.agg(F.sum(F.length("text"))).first()[0] or 0) / 1e6
     if mb > max_benchmark_mb:
         raise ValueError(f"the benchmark has {mb:.0f} MB of text, max_benchmark_mb is {max_benchmark_mb}")
-    shared = spark.sparkContext.broadcast(item_windows([(r.item, r.text) for r in items.collect()], window))
+    shared = spark.sparkContext.broadcast([(r.item, None if r.text is None else bytes(r.text)) for r in items.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(shared.value)
+        automaton = automaton_of(shared.value, window)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

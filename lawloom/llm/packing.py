@@ -62,7 +62,12 @@ def _pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, open_:
                     window, offset = (windows.new(), 0) if length == size else windows.place(length)
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                     rows.append((doc_id, start, length, crc, n, window, offset))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7, names)
+            yield batch_of(rows)
+        # What is open at the end, as rows without a piece: the window, and how much of it is used.
+        yield batch_of([(None, -1, 0, 0, 0, int(i), size - int(free)) for i, free in zip(windows.ids, windows.free, strict=True) if free])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7, names)
 
     names = [x.split()[0] for x in PIECE.split(", ")]
     return docs.mapInArrow(run, PIECE)
@@ -102,7 +107,7 @@ def pack_documents(
     Texts are tokenised where they are read and never shuffled. Each task keeps
     ``open_windows`` windows: full windows' worth of a document become sequences of their
     own, the rest goes best-fit into an open window; where it fits nowhere, the fullest
-    window is emitted. What the tasks leave open (all windows that nothing pushed out) is
+    window is emitted. What a task leaves open at its end, at most its open windows, is
     merged in rounds over ``fan_in`` neighbouring tasks, until one group remains. The
     pieces, without tokens, are written once to the shared folder.
 
@@ -112,10 +117,9 @@ def pack_documents(
     spark = docs.sparkSession
     batches_of(spark, 500)
     pieces = materialise(_pieces(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer_path, end_id, size, open_windows), "pieces")
-    used = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("part", F.shiftright("sequence_id", 32))
-    # Windows under 15/16 full are merged; the fullest of a task were emitted with less room than that.
+    open_ = pieces.where("start < 0").select("sequence_id", F.col("offset").alias("used"), F.shiftright("sequence_id", 32).alias("part"))
     moves = None
-    left = materialise(used.where(F.col("used") < size - size // 16), "left")
+    left = materialise(open_, "left")
     parts = (left.agg(F.max("part")).first()[0] or 0) + 1
     level = 0
     while level == 0 or parts > 1:
@@ -132,6 +136,6 @@ def pack_documents(
             made.groupBy(F.col("to").alias("sequence_id"), "part").agg(F.sum("used").alias("used")).where(F.col("used") <= size // 2), f"left{level}"
         )
         parts, level = -(-parts // fan_in), level + 1
-    return pieces.join(moves, "sequence_id", "left").select(
+    return pieces.where("start >= 0").join(moves, "sequence_id", "left").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset")
     )

@@ -103,21 +103,23 @@ def kd_tree(rows: DataFrame, dims: list[str], leaves: int) -> tuple[dict, dict[i
 
 
 def shard_documents(
-    docs: DataFrame, *, shards: int = 40, slot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, *, shards: int = 40, target_bytes: int | None = None, slot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null).
 
-    The law is ``bytes``: a k-d tree over (log of size, id, source) with as many leaves as
-    shards, each split at the weighted median of its widest dimension, or for odd numbers of
-    leaves at the matching weighted quantile. Below each dimension's scaled value stands a
-    hash of the id, so a source or group of copies with a third of all rows is split like any
-    other. Texts are read once; later passes read a table of ids, sizes and sources. Slots are
+    The law is ``bytes``: a k-d tree over (log of size, id, source) is split until its leaves
+    reach the target bytes: ``target_bytes``, which then gives the number of shards, or all bytes over ``shards``.
+    A node is split at the weighted median of its widest dimension, or where it makes an odd number
+    of leaves at the matching weighted quantile. Below each dimension's scaled value stands a
+    hash of the id and text, so a source or group of copies with a third of all rows is split
+    like any other. Texts are read once; later passes read a table of ids, sizes and sources. Slots are
     numbered in buckets of about ``slot_rows`` rows, to which the rows of the buckets before
     are added, so no task sorts a whole shard.
 
     Cases: null text has size 16 and the crc32 of the empty text; null ids and sources count
-    as 0; rows with equal id, size and source stay together; an empty table gives no rows;
-    with fewer documents than shards some shards are empty.
+    as 0; rows with equal id and text of one source stay together; other ties in size or source are split by
+    that hash; an empty table gives no rows; with fewer documents than shards some shards are
+    empty; other columns, whatever their names, are not read.
     """
     base = materialise(
         docs.select(
@@ -129,12 +131,13 @@ def shard_documents(
         "sizes",
     )
     values = {"by_size": F.log2("size"), "by_id": F.coalesce("doc_id", F.lit(0)).cast("double"), "by_source": F.col("source_crc32").cast("double")}
-    ends = base.agg(F.count("*").alias("n"), *[f(v).alias(f"{n}_{d}") for d, v in values.items() for n, f in (("min", F.min), ("max", F.max))]).first()
+    ends = base.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[f(v).alias(f"{n}_{d}") for d, v in values.items() for n, f in (("min", F.min), ("max", F.max))]).first()
     empty = {"law": F.lit("bytes"), "shard": F.lit(0), "slot": F.lit(0).cast("long"), "grown_shard": F.lit(None).cast("int")}
     out = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     if not ends["n"]:
         return base.withColumns(empty).select(out)
-    tie = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    shards = shards if target_bytes is None else max(1, -(-ends["bytes"] // target_bytes))
+    tie = F.crc32(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")).cast("binary"))
     keys = {}
     for d, v in values.items():
         span = (ends[f"max_{d}"] - ends[f"min_{d}"]) or 1.0
@@ -144,7 +147,7 @@ def shard_documents(
     buckets = max(1, -(-ends["n"] // (shards * slot_rows)))
     placed = (
         rows.withColumn("shard", _at(shard_of, _place(tree, list(values)), 2 * shards - 1).cast("int"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
         .select("doc_id", "size", "text_crc32", "shard", "bucket")
     )
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

@@ -163,6 +163,44 @@ def test_packing(docs, rows):
     assert len(by_window) <= total / 2048 * 1.1 + 3
 
 
+def packed_in_one_task(lengths, size, open_, fan_in):
+    """Best fit into open windows, then the windows left open together, longest first, in plain Python: pieces (text, start) to window and offset."""
+    out, slots, made = {}, [[None, 0] for _ in range(open_)], 0
+    for k, n in enumerate(lengths):
+        for start in range(0, n, size):
+            length = min(size, n - start)
+            if length == size:
+                out[k, start] = (made, 0)
+                made += 1
+                continue
+            fits = [w for w in slots if w[1] >= length]
+            w = min(fits or slots, key=lambda x: x[1])  # the tightest, else a free slot, else that of the fullest
+            if not fits:
+                w[:] = made, size
+                made += 1
+            out[k, start] = (w[0], size - w[1])
+            w[1] -= length
+    merged, moves = [], {}
+    for i, free in sorted((w for w in slots if w[1]), key=lambda w: (w[1], w[0])):
+        fits = [m for m in merged if m[1] >= size - free]
+        m = min(fits, key=lambda x: x[1]) if fits else [len(merged), size]
+        if not fits:
+            merged.append(m)
+        moves[i] = (("m", m[0]), size - m[1])
+        m[1] -= size - free
+    return {p: (moves[w][0], moves[w][1] + at) if w in moves else (w, at) for p, (w, at) in out.items()}
+
+
+def test_packing_is_that_of_plain_python(spark):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["one", "two", "three"]) for _ in range(r.choice((3, 50, 700, 1500, 5000)))) for _ in range(160)]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    got = pack_documents(data, BYTE, open_windows=6).collect()
+    want = packed_in_one_task([len(ids_of(BYTE, t, 1)) for t in texts], 2048, 6, 64)
+    groups = lambda of: {frozenset((p, at) for p, (w, at) in of.items() if w == one) for one in {w for w, _ in of.values()}}
+    assert groups({(x.doc_id, x.start): (x.sequence_id, x.offset) for x in got}) == groups(want)
+
+
 def test_windows_are_best_fit_and_emit_the_fullest():
     windows = packing.Windows(10, 2, 0)
     assert [windows.place(n) for n in (6, 7, 3, 4, 9, 5)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0)]
@@ -319,6 +357,57 @@ def test_sharding(spark, docs, rows, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 70
 
 
+def split_evenly(rows, dims, leaves):
+    """The k-d tree in plain Python: rows (size, *keys) to the number of their leaf, from left to right."""
+    whole = [max(1, max(r[1 + d] for r in rows) - min(r[1 + d] for r in rows)) for d in range(dims)]
+    out = [0] * len(rows)
+
+    def split(own, leaves, first):
+        if leaves == 1:
+            for k in own:
+                out[k] = first
+            return
+        width = [(max(rows[k][1 + d] for k in own) - min(rows[k][1 + d] for k in own)) / whole[d] if own else 0 for d in range(dims)]
+        d = width.index(max(width))
+        target, upto = sum(rows[k][0] for k in own) * (leaves // 2) // leaves, 0
+        bound = 0
+        for value in sorted({rows[k][1 + d] for k in own}):
+            here = sum(rows[k][0] for k in own if rows[k][1 + d] == value)
+            if upto + here >= target:
+                bound = value if upto + here - target <= target - upto else value - 1
+                break
+            upto += here
+        split([k for k in own if rows[k][1 + d] <= bound], leaves // 2, first)
+        split([k for k in own if rows[k][1 + d] > bound], leaves - leaves // 2, first + leaves // 2)
+
+    split(list(range(len(rows))), leaves, 0)
+    return out
+
+
+def test_tree_is_that_of_plain_python(spark):
+    from lawloom.llm import shard
+
+    r = random.Random(3)
+    rows = [(r.choice((16, 30, 400)), r.randrange(1 << 40), r.choice((5, 5, 5, 900)) << 32 | r.randrange(1 << 20), r.randrange(50)) for _ in range(400)]
+    frame = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k int, size long, a long, b long, c long")
+    dims = ["a", "b", "c"]
+    tree, shard_of = shard.kd_tree(frame, dims, 7)
+    got = {x.k: shard_of[x.node] for x in frame.select("k", shard._place(tree, dims).alias("node")).collect()}
+    want = split_evenly(rows, 3, 7)
+    groups = lambda of: {frozenset(k for k in range(400) if of[k] == s) for s in set(of)}
+    assert groups([got[k] for k in range(400)]) == groups(want)
+
+
+def test_sharding_to_target_bytes_and_many_rows_without_id(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("one").alias("source"), F.lit(1).alias("size"), F.lit(2).alias("shard"))
+    got = shard_documents(rows, target_bytes=10_000).collect()
+    total = sum(r.size for r in got)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == 3000 and len(sizes) == -(-total // 10_000) and max(sizes.values()) < 11_000
+
+
 def test_shards_are_even_with_a_hot_source_and_copies(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text " * 20)).otherwise(F.repeat(F.lit("ab "), (F.col("id") * 7 % 150).cast("int"))).alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 11)).alias("source"))
     sizes = [r[1] for r in shard_documents(rows).groupBy("shard").agg(F.sum("size")).collect()]
@@ -626,6 +715,8 @@ def test_decontamination(spark, docs, rows):
     text = dict(own)[900]
     (span,) = next(x.spans for x in got if x.doc_id == 900)
     assert text[span.begin : span.end] == spam.upper() and r
+    (span,) = next(x.spans for x in got if x.doc_id == 901)
+    assert dict(own)[901][span.begin : span.end] == "q1 q2 q3"
     with pytest.raises(ValueError):
         decontaminate(data, bench, max_benchmark_mb=0)
 

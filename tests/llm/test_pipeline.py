@@ -74,3 +74,38 @@ def test_benchmark(spark, tmp_path):
     rows = [(1, prose()), (1, f"{prose()} {PASSAGE}"), (None, f"{PASSAGE} {prose()}"), (None, prose()), (2, PASSAGE), (3, None), (None, None)]
     got = pairs(corpus_pipeline.without_benchmark(spark, frame(spark, rows), str(tmp_path)))
     assert got == Counter((i, t) for i, t in rows if PASSAGE not in (t or ""))
+
+
+def test_lines(spark, copies):
+    from tests.llm.test_operators import without_lines
+
+    line = "all of the rights are reserved here"
+    rows = [*copies, (40, f"{line}\n{prose()}"), (41, f"{line}"), (None, f"{line}\nleft alone {prose()}"), (42, None), (43, "")]
+    got = pairs(corpus_pipeline.without_recurring_lines(spark, frame(spark, rows), ""))
+    want = Counter()
+    for (i, t, _, dropped), n in without_lines(rows).items():
+        if not dropped or (t or "").strip():
+            want[i, t] += n
+    assert got == want and (41, line) not in got
+
+
+def test_run_is_its_stages_one_after_the_other(spark, tmp_path, copies):
+    rows = [*copies, (50, f"{prose()} {PASSAGE}"), (51, "123"), (52, "only here\nall of the rights are reserved"), (53, f"{prose()}\nall of the rights are reserved")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+    left = docs.collect()
+    # Every text that is left is in pieces as long as the tokenizer's ids of it, and no other.
+    from tests.llm.test_operators import BYTE, ids_of
+
+    pieces = Counter()
+    for r in got:
+        pieces[r.doc_id] += r.length
+    want = Counter()
+    for r in left:
+        want[r.doc_id] += len(ids_of(BYTE, r.text, 1))
+    assert pieces == want and not {50, 51} & set(pieces) and {52, 53} <= set(pieces)
