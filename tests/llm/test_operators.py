@@ -681,8 +681,9 @@ def test_planes_give_back_the_numbers():
 
 def test_hot_contexts_are_dealt_apart():
     hot = np.sort(np.array([5 << 60, 9 << 59], np.uint64))
-    plan = pitman_yor.Plan(np.zeros(0, np.uint64), np.zeros(2), 4, hot, 8)
+    plan = pitman_yor.Plan(np.zeros(0, np.uint64), np.zeros(2), 4, hot, np.array([3, 8]))
     context = np.sort(np.concatenate((np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64), np.repeat(hot, 20))))
+    assert {bucket for salt in range(24) for bucket, *_ in plan.rows(context, salt)} >= set(range(4, 15))
     got = np.concatenate([np.repeat(each, sizes) for _, each, sizes, _ in plan.rows(context, 3)])
     assert sorted(got.tolist()) == context.tolist()
     assert all((bucket >= 4) == bool(np.isin(each, hot).any()) and (context[at] == np.repeat(each, sizes)).all() for bucket, each, sizes, at in plan.rows(context, 3))
