@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clustering import cluster_vectors
 from .common import documents, fold
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine_hard_negatives
 from .language import identify_language
 from .line_dedup import drop_recurring_lines
 from .ngram_join import ngram_join
@@ -17,7 +19,9 @@ from .packing import pack_documents
 from .pitman_yor import score_texts
 from .shard import shard_documents
 from .sstable import read_sstables, write_sstables
+from .topk import top_k
 from .url_reputation import judge_urls
+from .vectors import whole_vectors
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,14 +76,88 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, vec_id, label = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(F.coalesce(vec_id % 7 == 0, F.lit(False)), (label + 1) % 10).otherwise(label)
+    return mine_hard_negatives(vectors, vec_id % 50 == 0, moved)
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 256)
+    return top_k(vectors.where("id % 50 = 0"), vectors, 5)
+
+
+def op13_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sstable, op2_ngram_join, op3_url_reputation, op4_packing, op5_language, op6_line_dedup, op7_pitman_yor, op8_kd_sharding, op9_exact_dedup, op10_decontaminate,
+        op11_hard_negatives, op12_exact_topk, op13_annulus_clusters,
     )
 }
 
+# Vectors of SQL: components that are null or not finite drop out with their vector.
+_WHOLE = """
+    v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(SCALE * x::DOUBLE)::BIGINT) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))"""
+_PRODUCT = "coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT"
+
+
+def _cluster_sql(rounds: int = 10) -> str:
+    """The rounds as a chain of tables: centroids c<n>, the cluster of each vector a<n>."""
+
+    def assigned(n: int) -> str:
+        return f"""
+        a{n} AS MATERIALIZED (
+            SELECT r, vec_id, e, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+            FROM (SELECT r, vec_id, v.e, cluster, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM w v, c{n} c)
+            GROUP BY r, vec_id, e)"""
+
+    def moved(n: int) -> str:
+        return f"""
+        c{n + 1} AS MATERIALIZED (
+            SELECT cluster, coalesce(m, c.e) AS e
+            FROM c{n} c LEFT JOIN (
+                SELECT cluster, list(q ORDER BY i) AS m
+                FROM (SELECT cluster, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS q FROM (SELECT cluster, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY cluster, i)
+                GROUP BY cluster) USING (cluster))"""
+
+    steps = "".join(f",{assigned(n)},{moved(n)}" for n in range(rounds)) + f",{assigned(rounds)}"
+    return f"""
+        WITH {_WHOLE.replace("SCALE", "1024")},
+        w AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, e FROM v WHERE len(e) = 64),
+        c0 AS MATERIALIZED (
+            SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1)::INT AS cluster, e FROM w QUALIFY cluster < 8){steps},
+        named AS (SELECT cluster, sha256(array_to_string(e, ',')) AS centroid_sha256 FROM c{rounds})
+        SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+               sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN named USING (cluster)"""
+
+
 SQL: dict[str, str] = {
+    "op11_hard_negatives": f"""
+        WITH {_WHOLE.replace("SCALE", "256")},
+        n AS MATERIALIZED (SELECT vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l FROM v WHERE label IS NOT NULL),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.l = b.l AS same, {_PRODUCT} AS score
+            FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
+    "op12_exact_topk": f"""
+        WITH {_WHOLE.replace("SCALE", "256")}
+        SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_PRODUCT} DESC, b.vec_id)::INT AS rank,
+               b.vec_id, {_PRODUCT} AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        QUALIFY rank <= 5""",
+    "op13_annulus_clusters": _cluster_sql(),
     "op2_ngram_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
