@@ -13,6 +13,8 @@ from lawloom.operators import chat, export, index, retrieve, validate, verify
 from lawloom.operators.chunking import line_blocks, numbered_runs, pack
 from lawloom.operators.markup import page_blocks
 from lawloom.operators.pages import first_seen, repeated_lines, strip_repeated_lines
+from lawloom.operators.text_index import STOP, TextIndex, build as build_text_index
+from lawloom.operators.vector_index import VectorIndex, build as build_vector_index
 from lawloom.session import shared_path
 from lawloom.plans.pipeline import Options, document_chunks, web_chunks
 from lawloom.sources.registry import adapter, expand, read_registry
@@ -288,6 +290,24 @@ def filtered_topk(spark, sf_dir):
     return retrieve.vector_top(_vectors(spark, sf_dir).where(F.col("label").isin(1, 3)), _vector_queries(spark, sf_dir), 5).select("query_id", "id", "rank")
 
 
+def _vector_index(spark, sf_dir):
+    path = shared_path(spark, "vector-index")
+    build_vector_index(_vectors(spark, sf_dir), path)
+    return VectorIndex(spark, path)
+
+
+@query()
+def vector_index_topk(spark, sf_dir):
+    """The index is built over all vectors, then searched; a test measures the recall against ``vector_topk``."""
+    return _vector_index(spark, sf_dir).search(_vector_queries(spark, sf_dir), 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+
+
+@query(f"""SELECT query_id, id, rank, score FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, {_COSINE} AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.replace(', 5)', ', 12)')} DESC, a.vec_id)::INTEGER AS rank FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10""")
+def vector_index_exact(spark, sf_dir):
+    return _vector_index(spark, sf_dir).search_exact(_vector_queries(spark, sf_dir), 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+
+
 _TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _BM25 = f"""docs AS (SELECT doc_id AS id, source, {_TERMS} AS t FROM documents),
     asked AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark WHERE item_id % 50 = 0),
@@ -313,6 +333,33 @@ def bm25_topk(spark, sf_dir):
     return retrieve.top(scored, 10).select("query_id", "id", "rank", F.round("score", 4).alias("score"))
 
 
+_STEM = """CASE WHEN NOT ends_with(w, 's') THEN w
+    WHEN ends_with(w, 'ies') AND NOT ends_with(w, 'eies') AND NOT ends_with(w, 'aies') THEN w[:-4] || 'y'
+    WHEN ends_with(w, 'es') AND NOT ends_with(w, 'aes') AND NOT ends_with(w, 'ees') AND NOT ends_with(w, 'oes') THEN w[:-2]
+    WHEN NOT ends_with(w, 'us') AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END"""
+_WORDS = f"regexp_extract_all(lower(coalesce(TEXT, '')), '[a-z0-9]+')"
+_ANALYZE = f"list_filter(list_transform(list_filter({_WORDS}, lambda w: NOT list_contains({STOP}, w)), lambda w: {_STEM}), lambda w: w <> '')"
+_FIELDS = {"content": 1.0, "title": 2.0, "source": 0.5}
+
+
+@query(f"""WITH texts AS (SELECT doc_id, unnest([text, split_part(text, chr(10), 1), source]) AS x, unnest([1.0, 2.0, 0.5]) AS weight FROM documents),
+    words AS (SELECT doc_id, weight, {_ANALYZE.replace("TEXT", "x")} AS t FROM texts),
+    sized AS (SELECT doc_id, t, weight / (0.25 + 0.75 * len(t) / avg(len(t)) OVER (PARTITION BY weight)) AS v FROM words),
+    asked AS (SELECT item_id AS query_id, unnest(list_distinct({_ANALYZE.replace("TEXT", "text")})) AS term FROM benchmark),
+    tf AS (SELECT doc_id, term, sum(v) AS x FROM (SELECT doc_id, v, unnest(t) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    w AS (SELECT doc_id, term, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1) * x * 2.2 / (x + 1.2) AS w FROM tf JOIN df USING (term)),
+    scored AS (SELECT query_id, doc_id AS id, round(sum(w), 9) AS score FROM w JOIN asked USING (term) GROUP BY ALL)
+    SELECT query_id, id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM scored) WHERE rank <= 10""")
+def text_index_topk(spark, sf_dir):
+    """An index of content, first line and source of all documents, searched for every benchmark item."""
+    path = shared_path(spark, "text-index")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.substring_index("text", "\n", 1).alias("title"), "source")
+    build_text_index(docs, path, _FIELDS)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return TextIndex(spark, path).search(queries, 10).select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
 def _embedded(spark, sf_dir):
     """Documents and benchmark queries with vectors of the table of embeddings, dealt round by id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("content_vector"))
