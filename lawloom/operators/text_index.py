@@ -1,14 +1,15 @@
 """A stored full-text index over weighted fields, searched by block maxima.
 
     path/postings/bucket=<n>/   a row for each term and range of 512 documents: places in the range, impacts, and the largest impact
-    path/docs                   number and id of each document
+    path/postings/bucket=-1/    a row for each range: places and ids of its documents
     path/meta                   documents, ranges and weights; written last
 
-Documents are numbered, and a number's upper bits are its range. What a term adds to a document's score but its rarity (its impact) is known when
+Documents are numbered where they are read, and a number's upper bits are its range; so each range is cut into terms and turned into
+blocks by one task, and only blocks are shuffled, once. What a term adds to a document's score but its rarity (its impact) is known when
 the index is built, so a block's largest impact bounds what the term can add anywhere in the range. A search first reads
 only the heads of the blocks of its terms: their sum bounds the score of all documents of a range. The most promising ranges are scored,
 which gives each query a k-th best score, and of the other ranges only those that can still reach it. So a
-common term costs its heads, not its documents. Texts are cut into terms in Arrow batches; all else runs on built-in functions.
+common term costs its heads, not its documents. Blocks are built in Arrow batches; the search runs on built-in functions.
 """
 
 from __future__ import annotations
@@ -16,12 +17,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawloom.operators.retrieve import small, top
@@ -29,6 +29,7 @@ from lawloom.session import shared_path
 
 # Documents of a range (two to this power), buckets of terms, documents of a file of a bucket, ranges scored first.
 BITS, BUCKETS, SPAN, FIRST = 9, 64, 1_000_000, 4
+ROW = "term string, range long, places array<short>, impacts array<double>, top double, docs int"
 # English words that carry no meaning of their own.
 STOP = [
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such",
@@ -67,34 +68,64 @@ class Analyzer:
         return out
 
 
-def counted(texts: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, sizes (terms of each field), terms (distinct, of all fields) and counts (of each term, an array with its count in each field)."""
+def words(text: Column) -> Column:
+    """The length of a text: its runs of a-z and 0-9, stop words included."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term of the distinct terms of queries (query_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         analyzer = Analyzer()
         for batch in batches:
-            sizes, ends, terms, counts = [], [0], [], []
-            for row in zip(*(batch[f].to_pylist() for f in fields)):
-                found = [analyzer.terms(text) for text in row]
-                every = dict.fromkeys(chain(*found))
-                sizes.append([sum(c.values()) for c in found])
-                terms += every
-                counts.append(np.array([[c.get(t, 0) for t in every] for c in found], np.int32).reshape(len(found), -1).T.ravel())
-                ends.append(len(terms))
-            at = pa.array(ends, pa.int32())
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1, dtype=np.int32) * len(fields)), pa.array(np.concatenate([*counts, np.empty(0, np.int32)])))
-            lists = [pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, each)]
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(sizes, pa.list_(pa.int32())), *lists], [key, "sizes", "terms", "counts"])
-
-    return texts.select(key, *fields).mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, sizes array<int>, terms array<string>, counts array<array<int>>")
-
-
-def _with_terms(docs: DataFrame, fields: int) -> DataFrame:
-    """docs (n, id and fields) with the terms of ``counted`` instead of texts; n carries the id through it."""
-    kind = dict(docs.dtypes)["id"]
-    held = docs.select(F.struct("n", "id").alias("key"), *[f"f{k}" for k in range(fields)])
-    out = counted(held, "key", [f"f{k}" for k in range(fields)])
-    return out.select("key.n", F.col("key.id").cast(kind).alias("id"), "sizes", "terms", "counts")
+            found = [list(analyzer.terms(text)) for text in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["query_id"], pa.array(found, pa.list_(pa.string()))], ["query_id", "terms"])
+
+    of_each = queries.select("query_id", "text").mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, terms array<string>")
+    return of_each.select("query_id", F.explode("terms").alias("term"))
+
+
+class _Range:
+    """The documents of one range, as they come: for each term its places and summed weights."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.places, self.ids, self.terms = number, [], [], {}
+
+    def add(self, place: int, key, found: list[dict[str, int]], norms: list[float]) -> None:
+        self.places.append(place)
+        self.ids.append(key)
+        x = {t: n * norms[0] for t, n in found[0].items()}
+        for own, norm in zip(found[1:], norms[1:]):
+            for t, n in own.items():
+                x[t] = x.get(t, 0.0) + n * norm
+        for t, value in x.items():
+            held = self.terms.get(t)
+            if held is None:
+                held = self.terms[t] = ([], [])
+            held[0].append(place)
+            held[1].append(value)
+
+    def blocks(self, k1: float, kind: pa.DataType) -> pa.RecordBatch:
+        """A row for each term, and one without a term for the ids."""
+        terms = list(self.terms)
+        sizes = np.array([len(self.terms[t][0]) for t in terms] + [len(self.ids)], np.int32)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        x = np.fromiter(chain.from_iterable(self.terms[t][1] for t in terms), float, ends[-2])
+        impacts = x * (k1 + 1) / (x + k1)
+        tops = np.append(np.maximum.reduceat(impacts, ends[:-2]) if terms else np.empty(0), 0.0)
+        places = np.fromiter(chain(chain.from_iterable(self.terms[t][0] for t in terms), self.places), np.int16, ends[-1])
+        only_ids, no_impacts = np.append(np.zeros(len(terms), np.int32), [0, len(self.ids)]), np.append(ends[:-1], ends[-2])
+        columns = [
+            pa.array([*terms, None], pa.string()),
+            pa.array(np.full(len(sizes), self.number)),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(places)),
+            pa.ListArray.from_arrays(pa.array(no_impacts.astype(np.int32)), pa.array(impacts)),
+            pa.array(tops),
+            pa.array(sizes),
+            pa.ListArray.from_arrays(pa.array(only_ids.astype(np.int32)), pa.array(self.ids, kind)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["term", "range", "places", "impacts", "top", "docs", "ids"])
 
 
 def build(docs: DataFrame, path: str, weights: dict[str, float], *, id_col: str = "id", k1: float = 1.2, b: float = 0.75) -> None:
@@ -103,25 +134,30 @@ def build(docs: DataFrame, path: str, weights: dict[str, float], *, id_col: str
     A term's frequency in a document is the sum over fields of weight * tf / (1 - b + b * length / mean length), and its impact that
     sum saturated by k1 (BM25F: Zaragoza and others, 2004). Each row is a document, also one with a null id, and one without terms, which no search finds.
     """
-    spark, fields, at = docs.sparkSession, list(weights), shared_path(docs.sparkSession, "numbered")
-    docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)]).transform(_with_terms, len(fields)).write.parquet(at)
-    numbered = spark.read.parquet(at)
-    sizes = numbered.agg(F.count("*").alias("docs"), *[F.avg(F.col("sizes")[k]).alias(f"m{k}") for k in range(len(fields))]).first()
+    spark, fields, kind = docs.sparkSession, list(weights), dict(docs.dtypes)[id_col]
+    sizes = docs.agg(F.count("*").alias("docs"), *[F.avg(words(F.col(f))).alias(f"m{k}") for k, f in enumerate(fields)]).first()
     spans = max(1, -(-sizes["docs"] // SPAN))
+    norms = [F.lit(float(weights[f])) / (1 - b + b * words(F.col(f)) / F.lit(sizes[f"m{k}"] or 1.0)) for k, f in enumerate(fields)]
 
-    norms = [F.lit(float(weights[f])) / (1 - b + b * F.col("sizes")[k] / F.lit(sizes[f"m{k}"] or 1.0)) for k, f in enumerate(fields)]
-    entries = numbered.select("n", *[norm.alias(f"w{k}") for k, norm in enumerate(norms)], F.explode(F.arrays_zip("terms", "counts")).alias("e"))
-    x = reduce(lambda one, two: one + two, [F.col(f"w{k}") * F.col("e.counts")[k] for k in range(len(fields))])
-    place = F.col("n").bitwiseAND((1 << BITS) - 1).cast("short").alias("place")
-    keyed = entries.select(F.pmod(F.xxhash64("e.terms"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.shiftright("n", BITS).alias("range"), F.col("e.terms").alias("term"), place, x.alias("x"))
-    # One shuffle: what is dealt by bucket and span is grouped there by term and range, and written where it is.
-    dealt = keyed.withColumn("span", F.pmod("range", F.lit(spans))).repartition("bucket", "span")
-    blocks = dealt.groupBy("bucket", "span", "term", "range").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("e"))
-    impacts = F.transform("e", lambda s: s["x"] * (k1 + 1) / (s["x"] + k1))
-    rows = blocks.select("bucket", "term", "range", F.transform("e", lambda s: s["place"]).alias("places"), impacts.alias("impacts"), F.array_max(impacts).alias("top"), F.size("e").alias("docs"))
-    rows.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
-    numbered.select("n", "id").write.parquet(f"{path}/docs")  # two columns of the table above
-    spark.createDataFrame([(sizes["docs"], BITS, ",".join(f"{f}={w}" for f, w in weights.items()))], "docs long, bits int, weights string").coalesce(1).write.parquet(f"{path}/meta")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyzer, held = Analyzer(), None
+        for batch in batches:
+            of_id = batch["id"].type
+            for n, key, norm, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                if held is None or held.number != n >> BITS:
+                    if held is not None:
+                        yield held.blocks(k1, of_id)
+                    held = _Range(n >> BITS)
+                held.add(n & ((1 << BITS) - 1), key, [analyzer.terms(t) for t in texts], norm)
+        if held is not None:
+            yield held.blocks(k1, of_id)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), F.array(*norms).alias("norms"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)])
+    blocks = numbered.mapInArrow(run, f"{ROW}, ids array<{kind}>")
+    bucket = F.when(F.col("term").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int")
+    dealt = blocks.withColumn("bucket", bucket).repartition("bucket", F.pmod("range", F.lit(spans)))
+    dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
+    spark.createDataFrame([(sizes["docs"], BITS, kind, ",".join(f"{f}={w}" for f, w in weights.items()))], "docs long, bits int, kind string, weights string").coalesce(1).write.parquet(f"{path}/meta")
 
 
 class TextIndex:
@@ -130,12 +166,13 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         meta = spark.read.parquet(f"{path}/meta").first()
         self.spark, self.count, self.bits = spark, meta["docs"], meta["bits"]
-        self.postings = spark.read.schema("term string, range long, places array<short>, impacts array<double>, top double, docs int, bucket int").parquet(f"{path}/postings")
-        self.docs = spark.read.parquet(f"{path}/docs")
+        self.postings = spark.read.schema(f"{ROW}, ids array<{meta['kind']}>, bucket int").parquet(f"{path}/postings")
+        documents = self.postings.where("bucket = -1").select("range", F.explode(F.arrays_zip("places", "ids")).alias("d"))
+        self.docs = documents.select((F.shiftleft("range", self.bits) + F.col("d.places")).alias("n"), F.col("d.ids").alias("id"))
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """query_id, bucket, term of the distinct terms of each query, and the rarity of the term; terms that no document has are left out."""
-        terms = counted(queries, "query_id", ["text"]).select("query_id", F.explode("terms").alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        terms = query_terms(queries).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
         known = self._of_terms(terms, "docs").groupBy("bucket", "term").agg(F.sum("docs").alias("df"))
         idf = F.log((F.lit(self.count) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         at = shared_path(self.spark, "asked")

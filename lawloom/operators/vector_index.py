@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,7 @@ from lawloom.session import shared_path
 # Bounds: numbers in the training sample, rows of it, lists, codes of a part (one byte), vectors of a piece, pieces of a file, queries of a block.
 TRAIN_NUMBERS, TRAIN_ROWS, LISTS, CODES, PIECE, FILE, BLOCK = 8_000_000, 50_000, 4096, 256, 1024, 16, 8192
 HELD = 1 << 20  # hits that a task holds before it keeps the best
+SAMPLE = 4096  # vectors kept with the model
 # Cosines are rounded to this many decimals before they are compared, as in ``retrieve.vector_top``.
 DECIMALS = 12
 MODEL = "kind string, a int, b int, v array<double>"
@@ -87,6 +88,8 @@ class Model:
     books: np.ndarray  # parts x codes x width
     probes: int
     radius: np.ndarray  # of each list: the largest distance of a vector from its centroid
+    sample: np.ndarray  # some indexed vectors, from which the scores of a query's best are estimated
+    count: int  # vectors in the index
 
     def encode(self, x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals of unit vectors from the centroids of their lists, and how far each decoded vector is off."""
@@ -100,14 +103,25 @@ class Model:
     def rows(self) -> list[tuple]:
         out = [("list", n, 0, [float(r), *map(float, c)]) for n, (c, r) in enumerate(zip(self.centroids, self.radius))]
         out += [("code", p, n, list(map(float, v))) for p, book in enumerate(self.books) for n, v in enumerate(book)]
-        return [*out, ("probes", self.probes, 0, [])]
+        out += [("sample", n, 0, list(map(float, v))) for n, v in enumerate(self.sample)]
+        return [*out, ("probes", self.probes, 0, []), ("count", 0, 0, [float(self.count)])]
 
     @staticmethod
     def of(rows: list) -> Model:
         lists = np.array([r.v for r in sorted((r for r in rows if r.kind == "list"), key=lambda r: r.a)])
         codes = sorted((r for r in rows if r.kind == "code"), key=lambda r: (r.a, r.b))
         parts = len({r.a for r in codes})
-        return Model(lists[:, 1:], np.array([r.v for r in codes]).reshape(parts, len(codes) // parts, -1), next(r.a for r in rows if r.kind == "probes"), lists[:, 0])
+        books = np.array([r.v for r in codes]).reshape(parts, len(codes) // parts, -1)
+        sample = np.array([r.v for r in rows if r.kind == "sample"])
+        probes, count = next(r.a for r in rows if r.kind == "probes"), int(next(r.v[0] for r in rows if r.kind == "count"))
+        return Model(lists[:, 1:], books, probes, lists[:, 0], sample, count)
+
+    def bar(self, q: np.ndarray, wanted: int) -> np.ndarray:
+        """For each query a score that about twice ``wanted`` vectors reach, going by the sample; minus infinity if the sample is too small to tell."""
+        place = math.ceil(2 * wanted * len(self.sample) / self.count) + 4
+        if place > len(self.sample) or len(self.sample) == self.count:
+            return np.full(len(q), -np.inf)
+        return np.concatenate([np.partition(q[n : n + 512] @ self.sample.T, -place, axis=1)[:, -place] for n in range(0, len(q), 512)])
 
 
 def probes_for(sample: np.ndarray, centroids: np.ndarray, recall: float, near: int, asked: int = 256) -> int:
@@ -163,7 +177,7 @@ def train(vectors: DataFrame, *, lists: int | None = None, width: int = 4, recal
     trained = sample.mapInPandas(residuals, "part int, v array<double>").groupBy("part").applyInPandas(books, "part int, code int, v array<double>").collect()
     codes = np.array([r.v for r in sorted(trained, key=lambda r: (r.part, r.code))]).reshape(dims // width, -1, width)
     own = np.array(sample.limit(max(1, TRAIN_NUMBERS // 8 // dims)).toPandas()["v"].tolist())
-    return Model(centroids, codes, probes_for(own, centroids, recall, near), np.zeros(len(centroids)))
+    return Model(centroids, codes, probes_for(own, centroids, recall, near), np.zeros(len(centroids)), own[:SAMPLE], n)
 
 
 def build(docs: DataFrame, path: str, *, id_col: str = "id", vector_col: str = "content_vector", **how) -> None:
@@ -204,7 +218,7 @@ def build(docs: DataFrame, path: str, *, id_col: str = "id", vector_col: str = "
     # Pieces of a file share a task; grouping by piece needs no further shuffle.
     filed = numbered.select("list", "piece", F.floor(F.col("piece") / FILE).alias("file"), "id", "v").repartition("list", "file")
     filed.groupBy("list", "piece", "file").applyInPandas(pack, PIECES.replace("ID", kind)).write.partitionBy("list").parquet(f"{path}/lists")
-    done = Model(model.centroids, model.books, model.probes, radius)
+    done = replace(model, radius=radius)
     spark.createDataFrame(done.rows(), MODEL).coalesce(1).write.parquet(f"{path}/model")
 
 
@@ -229,10 +243,10 @@ class VectorIndex:
                 # Dimensions that no indexed vector has count in a query's length only.
                 yield few["query_id"].tolist(), padded(short, self.model.centroids.shape[1]) * (kept / size)[:, None]
 
-    def _scored(self, wanted: np.ndarray, q: np.ndarray, k: int, *, by_code: bool, least: np.ndarray | None = None) -> DataFrame:
+    def _scored(self, wanted: np.ndarray, q: np.ndarray, k: int, *, by_code: bool, least: np.ndarray) -> DataFrame:
         """q (place in the block), list, piece, place, id, score: of the lists that ``wanted`` (queries x lists) marks, the best k of each query and task, ties to the smaller id.
 
-        Scores are those of the codes, or with ``by_code`` false cosines of the vectors; ``least`` then tells which vectors, by code and error, are worth a look.
+        Scores are those of the codes, and of interest from ``least`` on; or with ``by_code`` false cosines of the vectors, and ``least`` tells which vectors, by code and error, are worth a look.
         """
         model, shared = self.model, self.spark.sparkContext.broadcast((self.model, wanted, q, least))
         lists = np.flatnonzero(wanted.any(axis=0)).tolist()
@@ -240,7 +254,7 @@ class VectorIndex:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model, wanted, q, least = shared.value
-            dims, bar, held, n_held = q.shape[1], np.full(len(q), -np.inf), [], 0
+            dims, bar, held, n_held = q.shape[1], least.copy() if by_code else np.full(len(q), -np.inf), [], 0
             for r in (r for batch in batches for r in batch.itertuples(index=False)):
                 ids, n = np.asarray(r.ids), len(r.ids)
                 every, decoded = np.flatnonzero(wanted[:, r.list]), model.decode(np.frombuffer(r.codes, np.uint8).reshape(n, -1), r.list).T
@@ -302,7 +316,8 @@ class VectorIndex:
         to_lists, wide = q @ self.model.centroids.T, min(probes or self.model.probes, len(self.model.centroids))
         wanted = to_lists >= np.partition(to_lists, -wide, axis=1)[:, -wide, None]
         most = candidates or max(200, 10 * k)
-        return self._rescored(top(self._scored(wanted, q, most, by_code=True), most, by="q"), q)
+        found = self._scored(wanted, q, most, by_code=True, least=self.model.bar(q, most))
+        return self._rescored(top(found, most, by="q"), q)
 
     def search_exact(self, queries: DataFrame, k: int = CANDIDATES, *, probes: int | None = None) -> DataFrame:
         """The same, and exactly: the k-th cosine that ``search`` finds tells which lists and vectors can't hold anything better."""

@@ -343,8 +343,8 @@ _FIELDS = {"content": 1.0, "title": 2.0, "source": 0.5}
 
 
 @query(f"""WITH texts AS (SELECT doc_id, unnest([text, split_part(text, chr(10), 1), source]) AS x, unnest([1.0, 2.0, 0.5]) AS weight FROM documents),
-    words AS (SELECT doc_id, weight, {_ANALYZE.replace("TEXT", "x")} AS t FROM texts),
-    sized AS (SELECT doc_id, t, weight / (0.25 + 0.75 * len(t) / avg(len(t)) OVER (PARTITION BY weight)) AS v FROM words),
+    words AS (SELECT doc_id, weight, len({_WORDS.replace("TEXT", "x")}) AS n, {_ANALYZE.replace("TEXT", "x")} AS t FROM texts),
+    sized AS (SELECT doc_id, t, weight / (0.25 + 0.75 * n / avg(n) OVER (PARTITION BY weight)) AS v FROM words),
     asked AS (SELECT item_id AS query_id, unnest(list_distinct({_ANALYZE.replace("TEXT", "text")})) AS term FROM benchmark),
     tf AS (SELECT doc_id, term, sum(v) AS x FROM (SELECT doc_id, v, unnest(t) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
