@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -14,10 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, fold
 
-_LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 @cache
 def _letters() -> np.ndarray:
     """1 for each code point that is a letter."""
@@ -106,7 +108,7 @@ def fit_language(
     come to the driver. Returns None if no row is labelled.
     """
     chosen = sorted(_sampled(labelled, landmarks, "landmark").select("doc_id", "lang", "text").collect(), key=lambda r: (r.lang, r.doc_id))
-    chosen = [r for r in chosen if _LETTER.search(r.text)]
+    chosen = [r for r in chosen if has_letter(r.text)]
     if not chosen:
         return None
     found: dict[str, int] = {}
@@ -167,7 +169,7 @@ def predict_language(docs: DataFrame, model: Model | None, *, id_col: str = "doc
         for batch in batches:
             texts = batch["text"].tolist()
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": "und", "score": 0.0})
-            known = [k for k, t in enumerate(texts) if own and isinstance(t, str) and _LETTER.search(t)]
+            known = [k for k, t in enumerate(texts) if own and isinstance(t, str) and has_letter(t)]
             for at in range(0, len(known), 250):
                 rows = known[at : at + 250]
                 scores = own.scores([texts[k] for k in rows], alphabet, flags)
