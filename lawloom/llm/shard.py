@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 _BINS = 4096
-_TIE = 1 << 32  # below the scaled value of a dimension stands crc32 of the id
+_TIE = 1 << 32  # below the scaled value of a dimension stands a crc32
 _SCALE = (1 << 30) - 1
 
 
@@ -111,14 +111,14 @@ def shard_documents(
     reach the target bytes: ``target_bytes``, which then gives the number of shards, or all bytes over ``shards``.
     A node is split at the weighted median of its widest dimension, or where it makes an odd number
     of leaves at the matching weighted quantile. Below each dimension's scaled value stands a
-    hash of the id and text, so a source or group of copies with a third of all rows is split
-    like any other. Texts are read once; later passes read a table of ids, sizes and sources. Slots are
+    hash of the id, the text and the row's place in the input, so a source, a group of copies or
+    equal rows that make up a third of all are split like any other. Texts are read once; later passes read a table of ids, sizes and sources. Slots are
     numbered in buckets of about ``slot_rows`` rows, to which the rows of the buckets before
     are added, so no task sorts a whole shard.
 
     Cases: null text has size 16 and the crc32 of the empty text; null ids and sources count
-    as 0; rows with equal id and text of one source stay together; other ties in size or source are split by
-    that hash; an empty table gives no rows; with fewer documents than shards some shards are
+    as 0; ties, also rows equal in everything, are split by that hash (which of equal rows goes where depends on
+    how the input is partitioned); an empty table gives no rows; with fewer documents than shards some shards are
     empty; other columns, whatever their names, are not read.
     """
     base = materialise(
@@ -127,6 +127,7 @@ def shard_documents(
             size_of(F.col(text_col)).alias("size"),
             F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
             F.crc32(F.coalesce(F.col(source_col), F.lit("")).cast("binary")).alias("source_crc32"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "sizes",
     )
@@ -137,7 +138,7 @@ def shard_documents(
     if not ends["n"]:
         return base.withColumns(empty).select(out)
     shards = shards if target_bytes is None else max(1, -(-ends["bytes"] // target_bytes))
-    tie = F.crc32(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")).cast("binary"))
+    tie = F.crc32(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"), F.col("row").cast("string")).cast("binary"))
     keys = {}
     for d, v in values.items():
         span = (ends[f"max_{d}"] - ends[f"min_{d}"]) or 1.0
@@ -147,13 +148,13 @@ def shard_documents(
     buckets = max(1, -(-ends["n"] // (shards * slot_rows)))
     placed = (
         rows.withColumn("shard", _at(shard_of, _place(tree, list(values)), 2 * shards - 1).cast("int"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
-        .select("doc_id", "size", "text_crc32", "shard", "bucket")
+        .withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+        .select("doc_id", "size", "text_crc32", "shard", "bucket", "row")
     )
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")) - 1
+    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "row")) - 1
     return (
         placed.withColumn("place", place)
         .join(starts, ["shard", "bucket"])

@@ -416,6 +416,19 @@ def test_shards_are_even_with_a_hot_source_and_copies(spark):
     assert rows.select(size_of(F.col("text"))).count() == 6000
 
 
+def test_shards_are_even_with_rows_equal_in_everything(spark):
+    """A third of all rows have no id and one text: they are split like others, and every shard is used."""
+    rows = spark.range(3000).select(F.when(F.col("id") >= 1000, F.col("id")).alias("doc_id"), F.when(F.col("id") < 1000, "the same").otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit("one").alias("source"))
+    got = shard_documents(rows, slot_rows=10).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    mean = sum(sizes.values()) / 40
+    assert len(got) == 3000 and len(sizes) == 40 and max(sizes.values()) < mean * 1.05 and min(sizes.values()) > mean * 0.95
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 # -- language, lines, language model, benchmark
 
 
@@ -423,12 +436,12 @@ def test_language(spark):
     r = random.Random(1)
     sound = {"aa": "kzxqu aeo".split(), "bb": "ölt mnr éis".split(), "cc": "привет слово да".split()}
     rows = [(k, " ".join("".join(r.choice(sound[lang]) for _ in range(2)) for _ in range(r.randint(3, 60))), lang) for k in range(600) for lang in [r.choice(list(sound))]]
-    rows += [(1000, None, "aa"), (1001, "123 ... 456", "bb"), (1002, "", None), (None, "привет да", "cc"), (5, "слово " * 50_000, "cc")]
+    rows += [(1000, None, "aa"), (1001, "123 ... 456", "bb"), (1002, "", None), (1003, "½ ²", "aa"), (1004, "①_٣", "aa"), (None, "привет да", "cc"), (5, "слово " * 50_000, "cc")]
     data = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = identify_language(data, landmarks=10, train_rows=60).collect()
     assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
     by_id = {x.doc_id: x for x in got}
-    assert all(by_id[i].lang_pred == "und" for i in (1000, 1001, 1002))
+    assert all(by_id[i].lang_pred == "und" for i in (1000, 1001, 1002, 1003, 1004))
     assert all(x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in got)
     truth = {i: lang for i, t, lang in rows if i is not None and i < 600 and i != 5}
     held = [x for x in got if x.held_out and x.doc_id in truth]
