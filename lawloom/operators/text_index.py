@@ -1,15 +1,15 @@
 """A stored full-text index over weighted fields, searched by block maxima.
 
-    path/postings/bucket=<n>/   a row for each term and range of 512 documents: places in the range, impacts, and the largest impact
+    path/postings/bucket=<n>/   a row for each term and range of 4,096 documents: places in the range, impacts, and the largest impact
     path/postings/bucket=-1/    a row for each range: places and ids of its documents
     path/meta                   documents, ranges and weights; written last
 
 Documents are numbered where they are read, and a number's upper bits are its range; so each range is cut into terms and turned into
-blocks by one task, and only blocks are shuffled, once. What a term adds to a document's score but its rarity (its impact) is known when
+blocks by one task, and only blocks are shuffled. What a term adds to a document's score but its rarity (its impact) is known when
 the index is built, so a block's largest impact bounds what the term can add anywhere in the range. A search first reads
 only the heads of the blocks of its terms: their sum bounds the score of all documents of a range. The most promising ranges are scored,
 which gives each query a k-th best score, and of the other ranges only those that can still reach it. So a
-common term costs its heads, not its documents. Blocks are built in Arrow batches; the search runs on built-in functions.
+common term costs its heads in a range that can't matter, not its documents.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from lawloom.operators.retrieve import small, top
 from lawloom.session import shared_path
 
-# Documents of a range (two to this power), buckets of terms, documents of a file of a bucket, ranges scored first.
-BITS, BUCKETS, SPAN, FIRST = 9, 64, 1_000_000, 4
+# Documents of a range (two to this power), buckets of terms, documents of a file of a bucket, ranges scored first, queries of a block.
+BITS, BUCKETS, SPAN, FIRST, BLOCK = 12, 64, 1_000_000, 4, 2000
 ROW = "term string, range long, places array<short>, impacts array<double>, top double, docs int"
 # English words that carry no meaning of their own.
 STOP = [
@@ -134,7 +135,7 @@ def build(docs: DataFrame, path: str, weights: dict[str, float], *, id_col: str
     A term's frequency in a document is the sum over fields of weight * tf / (1 - b + b * length / mean length), and its impact that
     sum saturated by k1 (BM25F: Zaragoza and others, 2004). Each row is a document, also one with a null id, and one without terms, which no search finds.
     """
-    spark, fields, kind = docs.sparkSession, list(weights), dict(docs.dtypes)[id_col]
+    spark, fields, kind, bits = docs.sparkSession, list(weights), dict(docs.dtypes)[id_col], BITS
     sizes = docs.agg(F.count("*").alias("docs"), *[F.avg(words(F.col(f))).alias(f"m{k}") for k, f in enumerate(fields)]).first()
     spans = max(1, -(-sizes["docs"] // SPAN))
     norms = [F.lit(float(weights[f])) / (1 - b + b * words(F.col(f)) / F.lit(sizes[f"m{k}"] or 1.0)) for k, f in enumerate(fields)]
@@ -144,11 +145,11 @@ def build(docs: DataFrame, path: str, weights: dict[str, float], *, id_col: str
         for batch in batches:
             of_id = batch["id"].type
             for n, key, norm, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                if held is None or held.number != n >> BITS:
+                if held is None or held.number != n >> bits:
                     if held is not None:
                         yield held.blocks(k1, of_id)
-                    held = _Range(n >> BITS)
-                held.add(n & ((1 << BITS) - 1), key, [analyzer.terms(t) for t in texts], norm)
+                    held = _Range(n >> bits)
+                held.add(n & ((1 << bits) - 1), key, [analyzer.terms(t) for t in texts], norm)
         if held is not None:
             yield held.blocks(k1, of_id)
 
@@ -157,7 +158,7 @@ def build(docs: DataFrame, path: str, weights: dict[str, float], *, id_col: str
     bucket = F.when(F.col("term").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int")
     dealt = blocks.withColumn("bucket", bucket).repartition("bucket", F.pmod("range", F.lit(spans)))
     dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
-    spark.createDataFrame([(sizes["docs"], BITS, kind, ",".join(f"{f}={w}" for f, w in weights.items()))], "docs long, bits int, kind string, weights string").coalesce(1).write.parquet(f"{path}/meta")
+    spark.createDataFrame([(sizes["docs"], bits, kind, ",".join(f"{f}={w}" for f, w in weights.items()))], "docs long, bits int, kind string, weights string").coalesce(1).write.parquet(f"{path}/meta")
 
 
 class TextIndex:
@@ -167,8 +168,7 @@ class TextIndex:
         meta = spark.read.parquet(f"{path}/meta").first()
         self.spark, self.count, self.bits = spark, meta["docs"], meta["bits"]
         self.postings = spark.read.schema(f"{ROW}, ids array<{meta['kind']}>, bucket int").parquet(f"{path}/postings")
-        documents = self.postings.where("bucket = -1").select("range", F.explode(F.arrays_zip("places", "ids")).alias("d"))
-        self.docs = documents.select((F.shiftleft("range", self.bits) + F.col("d.places")).alias("n"), F.col("d.ids").alias("id"))
+        self.kind = meta["kind"]
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """query_id, bucket, term of the distinct terms of each query, and the rarity of the term; terms that no document has are left out."""
@@ -185,13 +185,55 @@ class TextIndex:
         rows = self.postings.where(F.col("bucket").isin(used)).select("bucket", "term", "range", *columns)
         return rows.join(small(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
 
-    def _scores(self, asked: DataFrame, ranges: DataFrame) -> DataFrame:
-        """query_id, n, score of all documents with a term in the given ranges (query_id, range) of each query."""
-        wanted = ranges.join(small(asked), "query_id")
-        blocks = self._of_terms(asked, "places", "impacts").join(wanted, ["bucket", "term", "range"])
-        places = F.explode(F.arrays_zip("places", "impacts")).alias("p")
-        hits = blocks.select("query_id", "range", "idf", places).select("query_id", (F.shiftleft("range", self.bits) + F.col("p.places")).alias("n"), (F.col("idf") * F.col("p.impacts")).alias("w"))
-        return hits.groupBy("query_id", "n").agg(F.round(F.sum("w"), 9).alias("score"))
+    def _scores(self, asked: DataFrame, ranges: DataFrame, k: int, least: dict | None = None) -> DataFrame:
+        """query_id, range, id, score: of each range and query the best k documents with one of its terms.
+
+        Blocks of the terms and ids of the ranges meet by range, each once for all queries, and a task scores one range after the other. A query
+        whose bound in a range stays under its ``least`` is passed over there.
+        """
+        kind = dict(asked.dtypes)["query_id"]
+        of_query = {}
+        for r in asked.orderBy("query_id", "term").collect():  # the terms of a block of queries
+            of_query.setdefault(r.query_id, []).append((r.term, r.idf))
+        shared = self.spark.sparkContext.broadcast((of_query, least or {}))
+        size = 1 << self.bits
+
+        def scored(blocks: dict, number: int, places: np.ndarray, ids: list) -> Iterator[tuple]:
+            of_query, least = shared.value
+            for query, terms in of_query.items():
+                own = [(idf, blocks[t]) for t, idf in terms if t in blocks]
+                if not own or sum(idf * b[2] for idf, b in own) + 1e-6 < least.get(query, 0.0):
+                    continue
+                total, met = np.zeros(size), np.zeros(size, bool)
+                for idf, (at, impacts, _) in own:
+                    total[at] += idf * impacts
+                    met[at] = True
+                total = np.round(total[places], 9)
+                found = np.flatnonzero(met[places])
+                if len(found) > k:
+                    found = found[total[found] >= np.partition(total[found], -k)[-k]]
+                for i in sorted(found.tolist(), key=lambda i: (-total[i], ids[i] is not None, ids[i]))[:k]:
+                    yield query, number, ids[i], float(total[i])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, number, places, ids = {}, None, np.empty(0, int), []
+            columns = ["query_id", "range", "id", "score"]
+            for r in (r for batch in batches for r in batch.itertuples(index=False)):
+                if r.range != number:
+                    if number is not None:
+                        yield pd.DataFrame(list(scored(held, number, places, ids)), columns=columns)
+                    held, number, places, ids = {}, r.range, np.empty(0, int), []
+                if r.term is None:
+                    places, ids = np.asarray(r.places), list(r.ids)
+                else:
+                    held[r.term] = (np.asarray(r.places), np.asarray(r.impacts), r.top)
+            if number is not None:
+                yield pd.DataFrame(list(scored(held, number, places, ids)), columns=columns)
+
+        columns = ["range", "term", "places", "impacts", "top", "ids"]
+        blocks = self._of_terms(asked, "places", "impacts", "top", "ids").select(columns).unionByName(self.postings.where("bucket = -1").select(columns))
+        wanted = blocks.join(ranges.select("range").distinct(), "range", "left_semi").repartition("range").sortWithinPartitions("range")
+        return wanted.mapInPandas(run, f"query_id {kind}, range long, id {self.kind}, score double")
 
     def bounds(self, asked: DataFrame) -> DataFrame:
         """query_id, range, bound (no document of the range scores more), and the place of the range among those of its query."""
@@ -202,19 +244,27 @@ class TextIndex:
     def search(self, queries: DataFrame, k: int = 10, *, first: int = FIRST) -> DataFrame:
         """query_id, id, score, rank: the k best documents of each query (query_id, text), ties to the smaller id; exact.
 
-        Scores are rounded to 9 decimals, so that equal texts tie. ``first`` ranges of each query are scored before the others are
+        Scores are rounded to 9 decimals, so that equal texts tie; a null id comes first. ``first`` ranges of each query are scored before the others are
         judged by their bounds; it changes the work, not the result. A query without known terms finds nothing.
         """
-        asked = self._asked(queries)
-        at = shared_path(self.spark, "bounds")
+        kind, path = dict(queries.dtypes)["query_id"], shared_path(self.spark, "found")
+        schema = f"query_id {kind}, id {self.kind}, score double, rank int"
+        self.spark.createDataFrame([], schema).write.parquet(path)
+        blocks = -(-queries.count() // BLOCK)
+        for part in range(blocks):
+            self._block(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part), k, first).write.mode("append").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _block(self, queries: DataFrame, k: int, first: int) -> DataFrame:
+        """The result for a block of queries, which is small enough for the driver."""
+        asked, at, begun_at = self._asked(queries), shared_path(self.spark, "bounds"), shared_path(self.spark, "first")
         self.bounds(asked).write.parquet(at)
         bounds = self.spark.read.parquet(at)
-        begun_at = shared_path(self.spark, "first")
-        self._scores(asked, bounds.where(F.col("at") <= first).select("query_id", "range")).write.parquet(begun_at)
+        begun_in = bounds.where(F.col("at") <= first).select("range").distinct()
+        self._scores(asked, begun_in, k).write.parquet(begun_at)
         begun = self.spark.read.parquet(begun_at)
-        kth = begun.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
-        rest = bounds.where(F.col("at") > first).join(F.broadcast(kth), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
-        scored = begun.unionByName(self._scores(asked, rest.select("query_id", "range")))
-        # What ties with the k-th stays until ids decide.
-        tied = scored.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= k)
-        return top(tied.join(self.docs, "n").select("query_id", "id", "score"), k)
+        kth = {r.query_id: r.score for r in top(begun, k).where(F.col("rank") == k).collect()}  # one row a query of the block
+        bars = self.spark.createDataFrame(list(kth.items()), f"query_id {dict(queries.dtypes)['query_id']}, least double")
+        rest = bounds.join(begun_in, "range", "left_anti").join(F.broadcast(bars), "query_id", "left")
+        rest = rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+        return top(begun.unionByName(self._scores(asked, rest, k, kth)).select("query_id", "id", "score"), k)

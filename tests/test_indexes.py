@@ -147,6 +147,8 @@ def texts(spark):
 @pytest.mark.parametrize("first,span", [(1, 600), (100, 1_000_000)])
 def test_text_search_equals_a_full_scan(spark, texts, tmp_path, first, span, monkeypatch):
     monkeypatch.setattr(text_index, "SPAN", span)
+    monkeypatch.setattr(text_index, "BITS", 7)
+    monkeypatch.setattr(text_index, "BLOCK", 4)
     docs, table = texts
     weights = {"content": 1.0, "title": 2.0}
     text_index.build(table, f"file://{tmp_path}/t", weights)
@@ -159,17 +161,19 @@ def test_text_search_equals_a_full_scan(spark, texts, tmp_path, first, span, mon
         assert [s for *_, s in own] == pytest.approx([-s for s, _ in want[q][:10]], abs=2e-6)
 
 
-def test_bounds_hold_and_pass_over_ranges(spark, tmp_path):
+def test_bounds_hold_and_pass_over_ranges(spark, tmp_path, monkeypatch):
     """A rare pair of words in one range: the bounds of the others are too low, and no document of theirs is scored."""
+    monkeypatch.setattr(text_index, "BITS", 9)
     docs = spark.range(0, 20_000, 1, 4).select(F.col("id"), F.when(F.col("id") == 7777, "common needle haystack").otherwise("common words").alias("content"))
     text_index.build(docs, f"file://{tmp_path}/t", {"content": 1.0})
     index, queries = TextIndex(spark, f"file://{tmp_path}/t"), spark.createDataFrame([(1, "common needle haystack")], "query_id long, text string")
     known = index._asked(queries)
     bounds = index.bounds(known).collect()
-    scores = index._scores(known, spark.createDataFrame([(1, r.range) for r in bounds], "query_id long, range long"))
-    best = {r.range: r.s for r in scores.groupBy(F.shiftright("n", index.bits).alias("range")).agg(F.max("score").alias("s")).collect()}
+    ranges = spark.createDataFrame([(r.range,) for r in bounds], "range long")
+    best = {r.range: r.s for r in index._scores(known, ranges, 3).groupBy("range").agg(F.max("score").alias("s")).collect()}
     assert len(bounds) > 30 and all(r.bound >= best[r.range] for r in bounds)
     assert sum(r.bound >= max(best.values()) for r in bounds) == 1
+    assert index._scores(known, ranges, 3, {1: max(best.values())}).select("range").distinct().count() == 1
     assert index.search(queries, 1).first().id == 7777
 
 
