@@ -179,10 +179,12 @@ class TextIndex:
         terms.join(known, ["bucket", "term"]).select("query_id", "bucket", "term", idf.alias("idf")).write.parquet(at)
         return self.spark.read.parquet(at)
 
+    def _buckets(self, asked: DataFrame) -> list[int]:
+        return [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
+
     def _of_terms(self, asked: DataFrame, *columns: str) -> DataFrame:
         """Columns of the blocks of the terms that are asked for; buckets without such a term aren't read."""
-        used = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
-        rows = self.postings.where(F.col("bucket").isin(used)).select("bucket", "term", "range", *columns)
+        rows = self.postings.where(F.col("bucket").isin(self._buckets(asked))).select("bucket", "term", "range", *columns)
         return rows.join(small(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
 
     def _scores(self, asked: DataFrame, ranges: DataFrame, k: int, least: dict | None = None) -> DataFrame:
@@ -223,16 +225,18 @@ class TextIndex:
                     if number is not None:
                         yield pd.DataFrame(list(scored(held, number, places, ids)), columns=columns)
                     held, number, places, ids = {}, r.range, np.empty(0, int), []
-                if r.term is None:
+                if not r.term:
                     places, ids = np.asarray(r.places), list(r.ids)
                 else:
                     held[r.term] = (np.asarray(r.places), np.asarray(r.impacts), r.top)
             if number is not None:
                 yield pd.DataFrame(list(scored(held, number, places, ids)), columns=columns)
 
-        columns = ["range", "term", "places", "impacts", "top", "ids"]
-        blocks = self._of_terms(asked, "places", "impacts", "top", "ids").select(columns).unionByName(self.postings.where("bucket = -1").select(columns))
-        wanted = blocks.join(ranges.select("range").distinct(), "range", "left_semi").repartition("range").sortWithinPartitions("range")
+        # The rows of ids have no term; here they go by an empty one, which no text has.
+        keys = asked.select("bucket", "term").unionByName(self.spark.createDataFrame([(-1, "")], "bucket int, term string")).distinct()
+        rows = self.postings.where(F.col("bucket").isin([-1, *self._buckets(asked)])).withColumn("term", F.coalesce("term", F.lit("")))
+        blocks = rows.join(F.broadcast(keys), ["bucket", "term"], "left_semi").join(ranges.select("range").distinct(), "range", "left_semi")
+        wanted = blocks.select("range", "term", "places", "impacts", "top", "ids").repartition("range").sortWithinPartitions("range")
         return wanted.mapInPandas(run, f"query_id {kind}, range long, id {self.kind}, score double")
 
     def bounds(self, asked: DataFrame) -> DataFrame:
