@@ -29,9 +29,9 @@ def citation_starts(spark, sf_dir):
 
 
 @query(r"""SELECT item_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND x IN ('a', 'an', 'and', 'as', 'at', 'by', 'for', 'in', 'of', 'on', 'or', 'the', 'to')
-    THEN x ELSE upper(x[1]) || x[2:] END), ' ') AS title FROM (SELECT item_id, string_split(trim(regexp_replace(lower(replace(text, 'ß', 'ss')), '\s+', ' ', 'g')), ' ') AS w FROM benchmark)""")
+    THEN x ELSE CASE WHEN x[1] = 'ß' THEN 'SS' ELSE upper(x[1]) END || x[2:] END), ' ') AS title FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM benchmark)""")
 def title_case(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.smart_title(F.replace(F.col("text"), F.lit("ß"), F.lit("ss"))).alias("title"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.smart_title(F.col("text")).alias("title"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '[^/]*$') AS file, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\.[^.]*$', '\1') AS stem,
@@ -67,12 +67,16 @@ def stub_bodies(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.stub_text(F.concat(F.lit("About "), "source"), title, url).alias("body"))
 
 
-@query("""SELECT item_id, '<p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || ' <strong>b</strong> <a class="cite" href="#source-2">[2]</a></p><ul><li>one</li><li>two</li></ul>' AS html
-    FROM benchmark WHERE NOT contains(text, '*') AND NOT contains(text, chr(10)) AND NOT contains(text, '[') AND text <> '' AND NOT regexp_matches(text, '^\\s*([-*#]|\\d+[.)])')""")
+@query(r"""WITH l AS (SELECT item_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM (SELECT item_id, string_split(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')
+        || ' **b** [2]' || chr(10) || '- one *i*' || chr(10) || '2) two' || chr(10) || '# Head', chr(10)) AS w FROM benchmark WHERE text IS NOT NULL)),
+    m AS (SELECT item_id, i, regexp_matches(x, '^\s*([-*]|\d+[.)])\s+') AS item, regexp_replace(CASE WHEN regexp_matches(x, '^\s*([-*]|\d+[.)])\s+') THEN regexp_replace(x, '^\s*([-*]|\d+[.)])\s+', '') ELSE regexp_replace(x, '^#+\s*', '') END, '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g') AS x FROM l WHERE x <> ''),
+    h AS (SELECT item_id, i, item, regexp_replace(regexp_replace(x, '\*([^*]+)\*', '<em>\1</em>', 'g'), '\[(\d+)\]', '<a class="cite" href="#source-\1">[\1]</a>', 'g') AS x FROM m)
+    SELECT b.item_id, CASE WHEN b.text IS NOT NULL THEN regexp_replace(string_agg(CASE WHEN item THEN '<li>' || x || '</li>' ELSE '<p>' || x || '</p>' END, '' ORDER BY i), '((?:<li>.*?</li>)+)', '<ul>\1</ul>', 'g') END AS html
+    FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY b.item_id, b.text""")
 def rendered_answers(spark, sf_dir):
-    """Benchmark texts that hold no Markdown of their own, with some added."""
-    plain = ~F.col("text").contains("*") & ~F.col("text").contains("\n") & ~F.col("text").contains("[") & (F.col("text") != "") & ~F.col("text").rlike(r"^\s*([-*#]|\d+[.)])")
-    return table(spark, sf_dir, "benchmark").where(plain).select("item_id", chat.rendered(F.concat("text", F.lit(" **b** [2]\n- one\n- two"))).alias("html"))
+    """All benchmark texts, with marks of each kind added."""
+    marks = F.lit(" **b** [2]\n- one *i*\n2) two\n# Head")
+    return table(spark, sf_dir, "benchmark").select("item_id", chat.rendered(F.concat("text", marks)).alias("html"))
 
 
 @query("""SELECT doc_id, '---' || chr(10) || 'title: ' || to_json(source)::VARCHAR || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'tags: [' || to_json(lang)::VARCHAR || ', "x"]' || chr(10) ELSE '' END || 'n: ' || doc_id || chr(10) || '---' || chr(10) || chr(10) AS meta FROM documents WHERE lang IS NOT NULL""")
@@ -113,14 +117,16 @@ def chapter_nodes(spark, sf_dir):
     return nodes.select("doc_id", "node_ix", "guid", "parent_guid", "kind", "heading", "number", "title", F.array_join("ordinances", ",").alias("laws"), body.alias("body"))
 
 
-@query(rf"""SELECT 'code-' || doc_id AS doc_id, 'code-s' || doc_id || '-0' AS id, '§ 2-' || doc_id AS citation, 'Law ' || doc_id AS history,
-        'Chapter ' || doc_id || '. Of things > Article I. > § 2-' || doc_id || '. Text' AS breadcrumb
+@query(rf"""SELECT 'code-' || doc_id AS doc_id, '§ 2-' || doc_id AS citation, 'Law ' || doc_id AS history,
+        'Chapter ' || doc_id || '. Of things > Article I. > § 2-' || doc_id || '. Text' AS breadcrumb, 'code-s' || doc_id || '-' AS id_head, true AS gapless
     FROM documents WHERE {_CLEAN} <> ''""")
 def code_chunk_heads(spark, sf_dir):
-    """The first chunk of each section of the chapters above."""
+    """What all chunks of each section of the chapters above have in common, and whether their keys are numbered without a gap."""
     nodes = markup.chapter_tree(_chapter_pages(spark, sf_dir)).withColumn("division", F.lit(None).cast("string"))
     chunks = export.code_chunks(nodes, name="Town", base_url="https://x.org")
-    return chunks.where(F.col("id").endswith("-0")).select("doc_id", "id", "citation", "history", "breadcrumb")
+    head, at = F.regexp_extract("id", r"^(.*-)\d+$", 1), F.regexp_extract("id", r"(\d+)$", 1).cast("int")
+    numbered = (F.min(at) == 0) & (F.max(at) + 1 == F.count("*")) & (F.count_distinct(at) == F.count("*"))
+    return chunks.groupBy("doc_id", "citation", "history", "breadcrumb", head.alias("id_head")).agg(numbered.alias("gapless"))
 
 
 @query("""SELECT source AS doc_id, (i - 1)::INTEGER AS ix, 'g' || id AS guid, 'chapter' AS kind, 'Chapter ' || id AS full_title, 'Division ' || source AS division
@@ -135,10 +141,11 @@ def contents_rows(spark, sf_dir):
 
 
 @query(rf"""SELECT doc_id::VARCHAR AS doc_id, 0 AS ix, '§' || doc_id || '. Name' AS heading, 'Title ' || doc_id || ': A|Chapter 1: B' AS path,
-    replace(replace(replace({_CLEAN}, ' ,', ','), ' ;', ';'), ' .', '.') || '|3. (Repealed)' AS body, 'PL 1, c. ' || doc_id AS history FROM documents WHERE {_CLEAN} <> '' AND NOT regexp_full_match({_CLEAN}, '[\p{{L}}\p{{N}}_()-]+\.')""")
+    CASE WHEN text IS NULL OR {_CLEAN} = '' THEN '' ELSE replace(replace(replace({_CLEAN}, ' ,', ','), ' ;', ';'), ' .', '.') || CASE WHEN regexp_full_match({_CLEAN}, '[\p{{L}}\p{{N}}_()-]+\.') THEN ' (Repealed)' ELSE '' END || '|' END || '3. (Repealed)' AS body,
+    'PL 1, c. ' || doc_id AS history FROM documents""")
 def statute_pages(spark, sf_dir):
     at = F.col("doc_id").cast("string")
-    docs = table(spark, sf_dir, "documents").where((T.clean(F.col("text")) != "") & ~T.clean(F.col("text")).rlike(r"^[\p{L}\p{N}_()-]+\.$"))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     html = F.concat(
         F.lit('<div class="heading_structure"><div class="toc">Title '), at, F.lit(': A</div><div class="toc">Chapter 1: B</div></div><div class="MRSSection"><h3 class="heading_section">§'), at,
         F.lit('. Name</h3><div class="mrs-text">'), _ESCAPED("text"), F.lit(' <span class="bhistory">gone</span></div><div class="mrs-text">3.</div></div><div class="qhistory_list">PL 1, c. '), at, F.lit("</div>"),
@@ -149,11 +156,11 @@ def statute_pages(spark, sf_dir):
 
 @query(rf"""SELECT doc_id::VARCHAR AS id, 'Page ' || doc_id AS title, b.i::INTEGER AS block_ix,
         CASE b.i WHEN 0 THEN '## Part ' || doc_id WHEN 1 THEN '- item one' ELSE replace(replace(replace({_CLEAN}, ' ,', ','), ' ;', ';'), ' .', '.') END AS text
-    FROM documents, (VALUES (0), (1), (2)) b(i) WHERE length({_CLEAN}) > 40""")
+    FROM documents, (VALUES (0), (1), (2)) b(i) WHERE b.i < 2 OR length(replace(replace(replace({_CLEAN}, ' ,', ','), ' ;', ';'), ' .', '.')) > 2""")
 def web_page_leaves(spark, sf_dir):
     """Pages with navigation, a sidebar and a list around the text of each document."""
     at = F.col("doc_id").cast("string")
-    docs = table(spark, sf_dir, "documents").where(F.length(T.clean(F.col("text"))) > 40)
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     html = F.concat(
         F.lit("<html><body><nav><p>menu entry</p></nav><main><h1>Page "), at, F.lit('</h1><div class="sidebar"><p>aside text</p></div><h2>Part '), at, F.lit("</h2><ul><li>Home</li><li>item one</li></ul><p>"),
         _ESCAPED("text"), F.lit("</p><p>ok</p></main><footer><p>below the page</p></footer></body></html>"),
@@ -189,15 +196,15 @@ def validation_rules(spark, sf_dir):
     return validate.validation_errors(table(spark, sf_dir, "documents").select(key.alias("id"), F.lit("x").alias("content"), count.alias("token_count"), F.lit(1).alias("other")))
 
 
-@query("""SELECT conv_id, text || ' & more' AS answer, conv_id % 2 = 0 AS done, CASE WHEN conv_id % 3 = 0 THEN 'The answer was filtered.' END AS error
-    FROM (SELECT conv_id, max_by(text, turn) AS text FROM conversations GROUP BY conv_id)""")
+@query("""SELECT conv_id || '-' || turn AS conv_id, coalesce(text, '') || ' & more' AS answer, conv_id % 2 = 0 AS done, CASE WHEN conv_id % 3 = 0 THEN 'The answer was filtered.' END AS error
+    FROM conversations""")
 def relayed_answers(spark, sf_dir):
-    """A model's event lines, as deltas and events, and put together again."""
-    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    """A model's event lines for each turn, as deltas and events, and put together again."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "conv_id", "text")
     said = lambda text: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("delta"))).alias("choices"))))
     stop = F.when(F.col("conv_id") % 3 == 0, F.lit('data: {"choices":[{"delta":{},"finish_reason":"content_filter"}]}')).otherwise(": keep alive")
     done = F.when(F.col("conv_id") % 2 == 0, F.lit("data: [DONE]")).otherwise("")
-    lines = last.select("conv_id", F.posexplode(F.array(said(F.col("text")), said(F.lit(" & more")), stop, done)).alias("seq", "line"))
+    lines = turns.select(F.col("key").alias("conv_id"), F.posexplode(F.array(said(F.col("text")), said(F.lit(" & more")), stop, done)).alias("seq", "line"))
     return relay.answers(relay.deltas(lines))
 
 
