@@ -18,7 +18,7 @@ from lawloom.operators.vector_index import VectorIndex, build as build_vector_in
 from lawloom.session import shared_path
 from lawloom.plans.pipeline import Options, document_chunks, web_chunks
 from lawloom.sources.registry import adapter, expand, read_registry
-from lawloom.streaming.limiter import limit_rows, limit_stream
+from lawloom.streaming.limiter import decided, limit_rows, limit_stream, limit_stream_all
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -526,3 +526,33 @@ def rate_limit_stream(spark, sf_dir):
     limited = limit_stream(requests, per_minute=2, per_day=3, evict=False)
     limited.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(limited.schema).parquet(out).select("client", "id", "accepted", "reason")
+
+
+# Each request in turn, with what was accepted in the day before it as the state.
+_LIMITED_ALL = """WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS rn, user_id::VARCHAR AS client, event_id AS id, epoch_us(ts) / 1e6 AS now FROM events),
+    fold AS (
+        SELECT 0::BIGINT AS rn, ''::VARCHAR AS client, 0::BIGINT AS id, ''::VARCHAR AS reason, []::STRUCT(c VARCHAR, t DOUBLE)[] AS kept
+        UNION ALL
+        SELECT rn, client, id, reason, CASE WHEN reason = '' THEN list_append(recent, struct_pack(c := client, t := now)) ELSE recent END
+        FROM (SELECT *, CASE WHEN len(recent) >= 150 THEN 'all' WHEN len(own) >= 3 THEN 'day' WHEN len(list_filter(own, lambda x: now - x.t <= 60)) >= 2 THEN 'minute' ELSE '' END AS reason
+              FROM (SELECT *, list_filter(recent, lambda x: x.c = client) AS own
+                    FROM (SELECT e.*, list_filter(fold.kept, lambda x: e.now - x.t <= 86400) AS recent FROM fold JOIN e ON e.rn = fold.rn + 1))))
+    SELECT client, id, reason = '' AS accepted, nullif(reason, '') AS reason FROM fold WHERE rn > 0"""
+_ALL_LIMITS = {"per_minute": 2, "per_day": 3, "all_per_day": 150}
+
+
+@query(_LIMITED_ALL)
+def rate_limit_all_batch(spark, sf_dir):
+    return limit_rows(_requests(spark, sf_dir), **_ALL_LIMITS).select("client", "id", "accepted", "reason")
+
+
+@query(_LIMITED_ALL)
+def rate_limit_all_stream(spark, sf_dir):
+    """The same as a stream over the table, with the limit over all clients kept across batches."""
+    schema = table(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events*.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    requests = files.select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("id"), at.alias("at"))
+    out = shared_path(spark, "limited-all")
+    limit_stream_all(requests, out, f"{out}-state", **_ALL_LIMITS).awaitTermination()
+    return decided(spark, out).select("client", "id", "accepted", "reason")

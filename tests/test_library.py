@@ -335,6 +335,56 @@ def test_limiter_stream(spark, tmp_path):
     assert {r.id: r.reason for r in spark.table("limited").collect()} == limited(rows, 2, 5)
 
 
+@pytest.mark.parametrize("overall", [40, 400])
+def test_limiter_over_all_clients(spark, tmp_path, overall):
+    # A quiet day, three busy ones and quiet ones again; 400 never binds, 40 from the second day on.
+    import random
+
+    r = random.Random(9)
+    schema = "client string, id long, at double"
+    at = [r.uniform(0, 86_400) for _ in range(30)] + [r.uniform(90_000, 300_000) for _ in range(400)] + [r.uniform(500_000, 900_000) for _ in range(60)]
+    rows = [(r.choice("abcdefghijkl"), i, round(t)) for i, t in enumerate(sorted(at))]
+    rows = [(c, i, float(t)) for c, i, t in rows]
+    want = limited(rows, 3, 6, overall)
+    assert ("all" in want.values()) == (overall == 40)
+    start = limiter.first_full(limiter.limit_rows(spark.createDataFrame(rows, schema), per_minute=3, per_day=6), overall)
+    assert start is None if overall == 400 else 86_400 <= start <= 200_000
+    # A request without a time is refused and counts for nobody.
+    got = {x.id: x.reason for x in limiter.limit_rows(spark.createDataFrame([*rows, ("a", 9_000, None), (None, 9_001, float("nan"))], schema), per_minute=3, per_day=6, all_per_day=overall).collect()}
+    assert got == want | {9_000: "time", 9_001: "time"}
+
+    # As a stream in files of one batch each, stopped and started anew between them.
+    given, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(given + "/*")
+    for k in range(3):
+        part = [x for x in rows if x[1] * 5 // len(rows) in ((0,), (1, 2), (3, 4))[k]]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{given}/{k}")
+        limiter.limit_stream_all(stream, out, state, per_minute=3, per_day=6, all_per_day=overall).awaitTermination()
+    answers = [(x.id, x.reason) for x in limiter.decided(spark, out).collect()]
+    assert len(answers) == len(rows) and dict(answers) == want
+    kept = spark.read.parquet(f"{out}/held/2").collect()
+    assert 0 < len(kept) <= overall and min(x["at"] for x in kept) >= rows[-1][2] - 86_400
+
+
+def test_idle_clients_leave_the_stream(spark, tmp_path):
+    import time
+
+    schema = "client string, id long, at double"
+    given, state = str(tmp_path / "in"), str(tmp_path / "state")
+    stream = spark.readStream.schema(schema).parquet(given + "/*")
+    for k, client in enumerate("ab"):
+        spark.createDataFrame([(client, k, float(k))], schema).write.parquet(f"{given}/{k}")
+        if k == 0:
+            limits = limiter.limit_stream(stream, idle=2.0)
+            running = limits.writeStream.format("noop").outputMode("append").option("checkpointLocation", state).trigger(processingTime="200 milliseconds").start()
+        until = time.time() + 60
+        while time.time() < until and sum(p["numInputRows"] for p in running.recentProgress) <= k:
+            time.sleep(0.2)
+        time.sleep(3 - 3 * k)
+    running.stop()
+    assert {x.key[0] for x in spark.read.format("statestore").load(state).select("key").collect()} == {"b"}
+
+
 def test_relay(spark):
     chunk = lambda t: "data: " + json.dumps({"choices": [{"delta": {"content": t}}]})
     lines = spark.createDataFrame([(1, 2, chunk("lo")), (1, 1, chunk("Hel")), (1, 0, ": ping"), (1, 3, "data: [DONE]"), (2, 0, 'data: {"error": {"message": "no"}}')], "conv_id int, seq int, line string")
