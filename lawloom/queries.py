@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lawloom.functions import text as T
 from lawloom.functions.tokens import count_tokens
-from lawloom.operators import chat, export, index, retrieve, validate, verify
+from lawloom.operators import bitmaps, chat, export, index, paging, retrieve, validate, verify
 from lawloom.operators.chunking import line_blocks, numbered_runs, pack
 from lawloom.operators.markup import page_blocks
 from lawloom.operators.pages import first_seen, repeated_lines, strip_repeated_lines
@@ -263,6 +263,38 @@ def key_page(spark, sf_dir):
     return index.key_page(table(spark, sf_dir, "documents").select(F.concat(F.lit("ext-"), "doc_id").alias("id")), 100, 50)
 
 
+def _paged(spark, sf_dir, *more):
+    """documents by their key, as a paged table of the shared folder."""
+    path = shared_path(spark, "paged")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("ext-"), "doc_id").alias("id"), *more)
+    paging.write_paged(rows, path, "id", rows_a_part=1 << 16)
+    return path
+
+
+@query("SELECT 'ext-' || doc_id AS id, row_number() OVER (ORDER BY 'ext-' || doc_id NULLS FIRST) - 1 AS place FROM documents")
+def paged_scan(spark, sf_dir):
+    return paging.read_paged(spark, _paged(spark, sf_dir), "id string")
+
+
+@query("SELECT id, place FROM (SELECT 'ext-' || doc_id AS id, row_number() OVER (ORDER BY 'ext-' || doc_id NULLS FIRST) - 1 AS place FROM documents) WHERE place >= 300 AND place < 400")
+def paged_page(spark, sf_dir):
+    """The fourth page of 100 keys."""
+    return paging.page(spark, _paged(spark, sf_dir), "id string", 300, 100)
+
+
+_FILTERS = {"lang": ["en", "de"], "source": ["src0", "src3", "src5", "src17"]}
+
+
+@query("""WITH hits AS (SELECT lang, source FROM documents WHERE lang IN ('en', 'de') AND source IN ('src0', 'src3', 'src5', 'src17'))
+    SELECT 'lang' AS facet, lang AS value, count(*) AS rows FROM hits GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM hits GROUP BY source""")
+def filtered_facets(spark, sf_dir):
+    """Facets of the documents that pass two filters, from bitmaps that are built once."""
+    path = _paged(spark, sf_dir, "lang", "source")
+    rows = paging.read_paged(spark, path, "id string, lang string, source string")
+    bitmaps.build_bitmaps(rows, ["lang", "source"]).write.mode("overwrite").parquet(f"{path}/bitmaps")
+    return bitmaps.facet_hits(spark.read.schema(bitmaps.BITMAP).parquet(f"{path}/bitmaps"), _FILTERS, ["lang", "source"])
+
+
 # -- retrieval
 
 

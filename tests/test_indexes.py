@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lawloom.operators import text_index, vector_index
+from lawloom.operators import bitmaps, paging, text_index, vector_index
 from lawloom.operators.retrieve import vector_top
 from lawloom.operators.text_index import STOP, Analyzer, TextIndex, query_terms, stem
 from lawloom.operators.vector_index import VectorIndex
@@ -188,3 +190,54 @@ def test_empty_text_index(spark, tmp_path):
     text_index.build(spark.createDataFrame([], "id long, content string"), f"file://{tmp_path}/t", {"content": 1.0})
     queries = spark.createDataFrame([(1, "law")], "query_id long, text string")
     assert TextIndex(spark, f"file://{tmp_path}/t").search(queries).count() == 0
+
+
+# -- paged tables and bitmaps
+
+
+@pytest.mark.parametrize("rows_a_part", [1 << 20, 150])
+def test_pages_are_read_without_a_sort(spark, tmp_path, rows_a_part):
+    r = random.Random(4)
+    # A third of the rows have one key; some have none, some are repeated, and names clash.
+    rows = [("hot" if k % 3 == 0 else None if k % 50 == 1 else f"k{r.randrange(400)}", k // 2, 7, "x") for k in range(1000)]
+    schema, path = "key string, n int, at int, part string", str(tmp_path / "paged")
+    paging.write_paged(spark.createDataFrame(rows, schema).repartition(5), path, "key", rows_a_part=rows_a_part)
+    columns = "key string, n int"
+    every = sorted(((x.place, x.key, x.n) for x in paging.read_paged(spark, path, columns).collect()))
+    assert [x[0] for x in every] == list(range(1000))
+    assert sorted((x[1] or "", x[2]) for x in every) == sorted((k or "", n) for k, n, *_ in rows)
+    assert [x[1] or "" for x in every] == sorted(k or "" for k, *_ in rows)  # null comes first
+    pages = [(x.place, x.key, x.n) for skip in range(0, 1100, 170) for x in paging.page(spark, path, columns, skip, 170).collect()]
+    assert pages == every
+    physical = paging.page(spark, path, columns, 340, 170)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in physical and "rangepartitioning" not in physical
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", physical)
+    ranges = spark.read.parquet(f"{path}/ranges").collect()
+    if rows_a_part == 150:  # the hot key fills more than one range
+        assert len(ranges) >= 6 and sum("hot" in (x.low, x.high) for x in ranges) >= 2
+
+
+def test_pages_of_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "paged")
+    paging.write_paged(spark.createDataFrame([], "key string"), path, "key")
+    assert paging.read_paged(spark, path, "key string").count() == paging.page(spark, path, "key string", 0, 10).count() == 0
+
+
+def test_bitmaps_count_any_filters(spark):
+    r = random.Random(3)
+    n = 70_000  # three ranges of 32,768 places
+    rows = [(k, r.choice(["en", "de", None]), r.randrange(4), r.sample(["a", "b", "c", None], r.randrange(4)) if k % 7 else None) for k in range(n)]
+    rows = [(k, lang, num, (tags + tags[:1]) if tags else tags) for k, lang, num, tags in rows]  # an item twice in one row
+    made = bitmaps.build_bitmaps(spark.createDataFrame(rows, "place long, lang string, num int, tags array<string>"), ["lang", "num", "tags"]).cache()
+    assert made.groupBy("field", "value", "bucket").count().where("count > 1").count() == 0
+
+    def values(row, field):
+        v = row[{"lang": 1, "num": 2, "tags": 3}[field]]
+        return {str(x) for x in (v if isinstance(v, list) else [v]) if x is not None}
+
+    for filters in ({}, {"lang": ["en"]}, {"lang": ["en", "de"], "num": ["1", "3"]}, {"tags": ["a", "b"], "lang": ["de"], "num": ["0"]}, {"lang": ["none"]}, {"lang": []}):
+        kept = [x for x in rows if all(values(x, f) & set(v) for f, v in filters.items())]
+        assert bitmaps.count_hits(made, filters).first()["rows"] == len(kept)
+        want = Counter((f, v) for x in kept for f in ("lang", "num", "tags") for v in values(x, f))
+        assert {(x.facet, x.value): x.rows for x in bitmaps.facet_hits(made, filters, ["lang", "num", "tags"]).collect()} == dict(want)
+    made.unpersist()
