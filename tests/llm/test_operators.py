@@ -455,25 +455,17 @@ def masked(line):
 
 def drain(rows, depth=3, similarity=0.8):
     """The rule in plain Python: lines (id, text, place) to drop."""
-    first, place, branches = {}, defaultdict(list), defaultdict(set)
+    first, place, leaves = {}, defaultdict(list), defaultdict(set)
     for i, t in rows:
         doc = -(1 << 63) if i is None else i
         for at, line in enumerate((t or "").split("\n")):
             if own := masked(line):
                 first[own] = min(first.get(own, doc), doc)
                 place[own].append((i, t, at, doc))
-    order = lambda own: (first[own], line_dedup.hash_of([w.encode() for w in own]))
-    for own in first:
-        for a, b in line_dedup.segments_of(len(own), depth, similarity):
-            branches[len(own), own[:depth], a, own[a:b]].add(own)
-            branches[len(own), own[:depth], -a, own[:a], own[b:]].add(own)
-    keep = dict(first)
-    for members in branches.values():
-        lead = min(members, key=order)
-        for own in members:
-            if sum(a == b for a, b in zip(own, lead, strict=True)) >= similarity * len(own):
-                keep[own] = min(keep[own], first[lead])
-    return {x[:3] for own, lines in place.items() for x in lines if x[3] != keep[own]}
+                leaves[len(own), own[:depth]].add(own)
+    like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) >= similarity * len(a) - 1e-9
+    low = {own: min(first[x] for x in members if like(own, x)) for members in leaves.values() for own in members}
+    return {x[:3] for own, lines in place.items() for x in lines if x[3] != low[own]}
 
 
 def without_lines(rows):
@@ -505,6 +497,35 @@ def test_lines_that_differ_in_a_field_share_a_template(spark):
     assert sum(n[3] * k for n, k in want.items()) > 500
 
 
+@pytest.mark.parametrize("few", [2, 64])
+@pytest.mark.parametrize("places", [1, 2, 3])
+def test_lines_that_differ_at_several_places_meet(spark, places, few):
+    # One template of 15 tokens, words replaced anywhere after the third; another of 40 that all but agree enough.
+    r = random.Random(places)
+    base, wide = [f"w{chr(97 + k)}" for k in range(15)], [f"u{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)]
+
+    def changed(words, n):
+        words = list(words)
+        for _ in range(n):
+            words[r.randrange(3, len(words))] = "x" + "".join(r.choice("abcdefgh") for _ in range(8))
+        return " ".join(words)
+
+    rows = [(k, changed(base, places)) for k in range(300)] + [(1000 + k, changed(wide, 2 + 3 * places)) for k in range(100)]
+    got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), few=few).collect()
+    want = without_lines(rows)
+    assert Counter((x.doc_id, x.text, x.n_lines, x.n_dropped) for x in got) == want
+    assert sum(n[3] * k for n, k in want.items()) > 200
+
+
+def test_templates_are_narrowed_to_lines_that_agree():
+    tokens, path = [b"t%d" % k for k in range(15)], []
+    while below := line_dedup.narrower(5, tokens, 3, 0.8, path):
+        assert len(below) == line_dedup.spare(15, 0.8) + 1
+        path = next(iter(below.values()))
+    assert len(line_dedup.variable_after(15, 3, 0.8, path)) <= line_dedup.spare(15, 0.8)
+    assert all(line_dedup.variable_after(15, 3, 0.8, [k]) == [*range(3, a), *range(b, 15)] for k, (a, b) in enumerate(line_dedup.segments_of(15, 3, 0.8)))
+
+
 def test_lines_with_unlike_tokens_are_not_equal(spark):
     # Tokens whose hashes agree in 16 bits: these lines must not be taken for one another.
     import xxhash
