@@ -12,10 +12,12 @@ from lawloom.functions.text import index_key, part_label
 from lawloom.functions.tokens import PatternTokenizer
 from lawloom.operators.chunking import LIMIT, line_blocks, pack
 from lawloom.operators.export import as_chunks, token_stats, write_outputs
-from lawloom.operators.index import HashEmbedder, embed_chunks, push
+from lawloom.operators.index import HashEmbedder, embed_chunks, push, upsert
 from lawloom.operators.markup import page_blocks
+from lawloom.operators.snapshots import Snapshot, changed_rows, changes, write_snapshot
 from lawloom.operators.validate import check, validation_errors
 from lawloom.operators.verify import completeness, require_complete
+from lawloom.session import shared_path
 from lawloom.streaming.refresh import IndexTable
 
 
@@ -102,6 +104,42 @@ def refresh_index(docs: DataFrame, table: IndexTable, options: Options = Options
     return table.read()
 
 
+def refresh_changed(docs: DataFrame, table: IndexTable, snapshots: str, options: Options = Options(), embedder: HashEmbedder | None = None, rows_a_part: int = 1 << 20) -> DataFrame:
+    """A refresh that chunks only documents whose rows were added or changed since the last one, with the index of ``refresh_index``.
+
+    Documents are kept as numbered snapshots below ``snapshots`` and compared by sums of digests (``changes``). Chunks
+    of changed and removed documents leave the index, those of added and changed ones are checked, embedded and merged. A run
+    that stops leaves its snapshot unnamed in the list of finished ones, so the next compares with the last finished one again.
+    Returns the changes (key, change).
+    """
+    spark, done = table.spark, IndexTable(table.spark, f"{snapshots.rstrip('/')}/done")
+    last, own = done.read(), embedder or HashEmbedder()
+    path = shared_path(spark, "refresh", base=snapshots)
+    new = write_snapshot(docs.select("doc_id", "text", "source"), path, "doc_id", rows_a_part=rows_a_part)
+    changes(None if last is None else Snapshot(spark, last.first().path), new).write.parquet(f"{path}/changes")
+    found = spark.read.parquet(f"{path}/changes")
+    asked = changed_rows(new, found)
+    document_chunks(asked, options).write.parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    key = index_key(F.concat(F.lit("ext-"), F.col("doc_id").cast("string"))).alias("doc_id")
+    check(chunks)
+    if options.verify:
+        require_complete(completeness(chunks, asked.where(F.length(F.trim("text")) > 0).select(key), ["doc_id"]))
+    cache, index = IndexTable(spark, f"{table.path}-vectors"), table.read()
+    known = cache.read_all()
+    known = known if known is not None else spark.createDataFrame([], "h string, v array<float>")
+    embedded, vectors = embed_chunks(chunks, known, own)
+    cache.append(vectors, cache.next_version())
+    if index is None:
+        table.write(embedded)
+    elif not found.isEmpty():
+        before = index.join(found.where("change <> 'added'").select(F.col("key").alias("doc_id")).select(key), "doc_id", "left_semi").select("id")
+        gone = before.join(chunks.select("id"), "id", "left_anti")
+        table.write(upsert(index, embedded).join(gone, "id", "left_anti"))
+    done.write(spark.createDataFrame([(path,)], "path string"))
+    return found
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lawloom", description="Chunk a table of documents and write chunks, documents and manifest.")
     parser.add_argument("documents", help="Parquet table with doc_id, text, source")
@@ -111,6 +149,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--no-verify", action="store_true")
     parser.add_argument("--check", action="store_true", help="only check the chunks and print their faults")
     parser.add_argument("--index", help="folder of an index to refresh as well; rows of documents that are gone are removed")
+    parser.add_argument("--changed", help="folder of snapshots: with --index, chunk only what changed since the last run with this folder")
     parser.add_argument("--recreate", action="store_true", help="begin the index anew")
     given = parser.parse_args(argv)
     spark = session()
@@ -123,7 +162,10 @@ def main(argv: list[str] | None = None) -> None:
         table = IndexTable(spark, given.index)
         if given.recreate:
             table.clear()
-        refresh_index(docs, table, options)
+        if given.changed:
+            refresh_changed(docs, table, given.changed, options).groupBy("change").count().show()
+        else:
+            refresh_index(docs, table, options)
     run(docs, given.out, options).show()
 
 

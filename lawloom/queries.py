@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lawloom.functions import text as T
 from lawloom.functions.tokens import count_tokens
-from lawloom.operators import bitmaps, chat, export, index, paging, retrieve, validate, verify
+from lawloom.operators import bitmaps, chat, export, index, paging, retrieve, snapshots, validate, verify
 from lawloom.operators.chunking import line_blocks, numbered_runs, pack
 from lawloom.operators.markup import page_blocks
 from lawloom.operators.pages import first_seen, repeated_lines, strip_repeated_lines
@@ -295,6 +295,20 @@ def filtered_facets(spark, sf_dir):
     return bitmaps.facet_hits(spark.read.schema(bitmaps.BITMAP).parquet(f"{path}/bitmaps"), _FILTERS, ["lang", "source"])
 
 
+@query("""SELECT doc_id, CASE WHEN coalesce(doc_id % 11 = 3, false) THEN 'added' WHEN coalesce(doc_id % 13 = 5, false) THEN 'removed' ELSE 'changed' END AS change
+    FROM documents GROUP BY doc_id
+    HAVING coalesce(doc_id % 11 = 3, false) <> coalesce(doc_id % 13 = 5, false)
+        OR (coalesce(doc_id % 7 = 2, false) AND count(text) > 0 AND NOT coalesce(doc_id % 11 = 3, false) AND NOT coalesce(doc_id % 13 = 5, false))""")
+def changed_documents(spark, sf_dir):
+    """What changed between two snapshots of documents: in the first some are missing and some have another text, in the second others are missing."""
+    docs, path = table(spark, sf_dir, "documents"), shared_path(spark, "snapshots")
+    missing, edited = (F.coalesce(F.col("doc_id") % k == r, F.lit(False)) for k, r in ((11, 3), (7, 2)))
+    old = docs.where(~missing).withColumn("text", F.when(edited, F.concat("text", F.lit(" old"))).otherwise(F.col("text")))
+    new = docs.where(~F.coalesce(F.col("doc_id") % 13 == 5, F.lit(False)))
+    one, two = (snapshots.write_snapshot(rows, f"{path}/{name}", "doc_id", rows_a_part=1 << 16) for name, rows in (("old", old), ("new", new)))
+    return snapshots.changes(one, two).select(F.col("key").alias("doc_id"), "change")
+
+
 # -- retrieval
 
 

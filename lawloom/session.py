@@ -17,7 +17,7 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or with_checkpoints(spark).sparkContext.getCheckpointDir()
+def shared_path(spark: SparkSession, name: str, *, base: str | None = None) -> str:
+    """A new path below ``base``, by default the folder that the driver and all executors share."""
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or with_checkpoints(spark).sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
