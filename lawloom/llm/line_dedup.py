@@ -19,7 +19,6 @@ _FIELD = re.compile(rb"[0-9@]")  # a token with a digit or an at sign is a varia
 _FIELD_MARK = b"<*>"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LINE = "row long, doc long, line int, leaf long, hash long"
-MEMBER = "branch long, leaf long, hash long, first long, seeks boolean, path array<int>"
 KIND = "leaf long, hash long, first long, n int, tokens string, branches array<long>"
 
 
@@ -60,29 +59,6 @@ def segments_of(n: int, depth: int, similarity: float) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def variable_after(n: int, depth: int, similarity: float, path: list[int]) -> list[int]:
-    """The places that are still variable below the template that ``path`` names: the run that is fixed at each step."""
-    left, runs = list(range(depth, n)), spare(n, similarity) + 1
-    for k in path:
-        left = left[: len(left) * k // runs] + left[len(left) * (k + 1) // runs :]
-    return left
-
-
-def narrower(leaf: int, tokens: list[bytes], depth: int, similarity: float, path: list[int]) -> dict[int, list[int]]:
-    """The templates below one, on which the line stands: one more run is fixed in each; none if all lines of it agree enough."""
-    n = len(tokens)
-    left, runs = variable_after(n, depth, similarity, path), spare(n, similarity) + 1
-    if len(left) < runs:
-        return {}
-    each = [xxhash.xxh64_intdigest(t, seed=k) for k, t in enumerate(tokens)]
-    fixed, found = sum(each[k] for k in set(range(depth, n)) - set(left)), {}
-    for k in range(runs):
-        # Of the fixed tokens alone, whatever the order in which they were fixed.
-        total = fixed + sum(each[x] for x in left[len(left) * k // runs : len(left) * (k + 1) // runs])
-        found[xxhash.xxh64_intdigest(b"%d %d" % (leaf, total)) - (1 << 63)] = [*path, k]
-    return found
-
-
 def branches_of(leaf: int, tokens: list[bytes], depth: int, similarity: float) -> list[int]:
     """The leaf's branches on which a line stands: one for each run of its tokens, and one for all tokens but each run."""
     bounds = np.array(segments_of(len(tokens), depth, similarity))
@@ -135,11 +111,11 @@ def _kinds(docs: DataFrame, depth: int, similarity: float) -> DataFrame:
 
 
 def _met(members: DataFrame) -> DataFrame:
-    """The seeking rows of members that have an earlier line on their branch, with the branch's first line and number of lines."""
+    """The rows of members that have an earlier line on their branch, with the branch's first line and number of lines."""
     # One row a task and branch is shuffled, however many lines stand on it.
-    leads = members.groupBy("branch").agg(F.min(F.struct("first", "hash")).alias("lead"), F.count("*").alias("lines"), F.max("seeks").alias("sought"))
-    leads = leads.where("lines > 1 and sought").select("branch", F.col("lead.hash").alias("lead"), F.col("lead.first").alias("lead_first"), "lines")
-    return spread_join(members, leads, ["branch"], "hash").where("seeks and lead_first < first")
+    leads = members.groupBy("branch").agg(F.min(F.struct("first", "hash")).alias("lead"), F.count("*").alias("lines"))
+    leads = leads.where("lines > 1").select("branch", F.col("lead.hash").alias("lead"), F.col("lead.first").alias("lead_first"), "lines")
+    return spread_join(members, leads, ["branch"], "hash").where("lead_first < first")
 
 
 def _agreeing(pairs: DataFrame, kinds: DataFrame, similarity: float) -> DataFrame:
@@ -152,46 +128,26 @@ def _agreeing(pairs: DataFrame, kinds: DataFrame, similarity: float) -> DataFram
     return materialise(both.where(equal >= F.ceil(F.col("n") * similarity - 1e-9)).select("leaf", "hash").distinct(), "agreeing")
 
 
-def _narrowed(members: DataFrame, kinds: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """members of the templates below those of members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for leaf, own, first, seeks, path, tokens in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                for branch, below in narrower(leaf, tokens.encode().split(b" "), depth, similarity, path).items():
-                    rows.append((branch, leaf, own, first, seeks, below))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
-    names = [x.split()[0] for x in MEMBER.split(", ")]
-    held = members.join(kinds.select("leaf", "hash", "tokens"), ["leaf", "hash"]).select("leaf", "hash", "first", "seeks", "path", "tokens")
-    below = held.mapInArrow(run, MEMBER)
-    return below.groupBy("branch", "leaf", "hash", "first").agg(F.max("seeks").alias("seeks"), F.min("path").alias("path"))
-
-
-def _like_earlier(kinds: DataFrame, depth: int, similarity: float, few: int) -> DataFrame:
+def _like_earlier(kinds: DataFrame, similarity: float, few: int) -> DataFrame:
     """leaf, hash of all kinds of line that agree enough with one that stands in an earlier document."""
-    columns = [x.split()[0] for x in MEMBER.split(", ")]
-    on = kinds.select("leaf", "hash", "first", F.lit(True).alias("seeks"), F.size("branches").alias("n"), F.posexplode("branches").alias("at", "branch"))
+    on = kinds.select("leaf", "hash", "first", F.size("branches").alias("n"), F.posexplode("branches").alias("at", "branch"))
     found = _agreeing(_met(on), kinds, similarity)
     # What is equal but for one run need not be looked at again: lines that agree enough have an equal run.
-    members = on.where("2 * at < n").withColumn("path", F.array("at")).select(columns)
-    while True:
-        seekers = materialise(_met(members).join(found, ["leaf", "hash"], "left_anti").select(*columns, "lines"), "seekers")
-        if seekers.isEmpty():
-            return found
-        sought = seekers.groupBy("branch").agg(F.max("first").alias("until"), F.first("lines").alias("lines"))
-        others = spread_join(members, sought, ["branch"], "hash").where("first <= until")
-        near = others.where(F.col("lines") <= few).select("branch", F.col("hash").alias("lead"), F.col("first").alias("lead_first"))
-        small = seekers.where(F.col("lines") <= few).join(near, "branch").where("lead_first < first")
-        found = materialise(found.unionByName(_agreeing(small, kinds, similarity)).distinct(), "like_earlier")
-        # Templates of many lines are narrowed, for those that seek on them and what stands before these.
-        seeking = seekers.where(F.col("lines") > few).join(found, ["leaf", "hash"], "left_anti").select("branch", "hash", F.lit(True).alias("asks"))
-        wide = others.where(F.col("lines") > few).drop("seeks").join(seeking, ["branch", "hash"], "left").withColumn("seeks", F.coalesce("asks", F.lit(False)))
-        members = materialise(_narrowed(wide.select(columns), kinds, depth, similarity).select(columns), "members")
-        found = materialise(found.unionByName(_agreeing(_met(members), kinds, similarity)).distinct(), "like_earlier")
+    runs = on.where("2 * at < n")
+    slices = F.ceil(F.col("lines") / few).cast("int").alias("slices")
+    seekers = materialise(_met(runs).join(found, ["leaf", "hash"], "left_anti").select("branch", "leaf", "hash", "first", slices), "seekers")
+    sought = seekers.groupBy("branch").agg(F.max("first").alias("until"), F.first("slices").alias("slices"))
+    earlier = spread_join(runs, sought, ["branch"], "hash").where("first < until")
+    earlier = materialise(earlier.select("branch", F.col("hash").alias("lead"), F.col("first").alias("lead_first"), F.pmod(F.xxhash64("hash"), "slices").cast("int").alias("slice")), "earlier")
+    at, step = 0, 1
+    while not seekers.isEmpty():
+        # Slices of about ``few`` earlier lines of a template, twice as many each time; who has found a line seeks no more.
+        asked = seekers.withColumn("slice", F.explode(F.sequence(F.lit(at), F.least(F.lit(at + step), "slices") - 1)))
+        pairs = spread_join(asked, earlier.where(F.col("slice").between(at, at + step - 1)), ["branch", "slice"], "hash").where("lead_first < first")
+        found = materialise(found.unionByName(_agreeing(pairs, kinds, similarity)).distinct(), "like_earlier")
+        at, step = at + step, 2 * step
+        seekers = materialise(seekers.where(F.col("slices") > at).join(found, ["leaf", "hash"], "left_anti"), "seekers")
+    return found
 
 
 def recurring_lines(docs: DataFrame, *, depth: int = 3, similarity: float = 0.8, few: int = 64) -> DataFrame:
@@ -206,7 +162,7 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, similarity: float = 0.8,
     wanted = materialise(asked.groupBy("row").agg(F.collect_list(F.struct("hash", "first")).alias("wanted")), "wanted")
     found = _kinds(docs.join(wanted.hint("shuffle_hash"), "row").select("text", "wanted"), depth, similarity)
     found = materialise(found.dropDuplicates(["leaf", "hash"]), "found")
-    like = _like_earlier(found, depth, similarity, few).withColumn("like", F.lit(True))
+    like = _like_earlier(found, similarity, few).withColumn("like", F.lit(True))
     kept = kinds.select("leaf", "hash", "first", "last").join(like, ["leaf", "hash"], "left")
     # A kind of line in one document only, that no earlier one is like, loses nothing.
     kept = kept.where("first <> last or like").select("leaf", "hash", "first", F.coalesce("like", F.lit(False)).alias("like"))
@@ -221,13 +177,14 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     digit or an at sign are variable), then by branches, which are templates: each run of the tokens that follow is
     fixed and the rest variable (and the other way round). There are so many runs that two lines which agree in at least
     ``similarity`` of all tokens have one in common. Each line is compared, token by token, with the first line of its
-    templates. Where that isn't like it and an earlier line may be, it is compared with all earlier lines of a template
-    of at most ``few`` lines; templates of more are narrowed, one more run of their variable tokens being fixed, until they
-    have few lines or so few variable places that all their lines agree. So a line goes from a document exactly if it, or
-    a line that agrees with it in ``similarity`` of all tokens and has its count and leading tokens, stands in an earlier document.
+    templates. Lines that it isn't like go on: they are compared with slices of about ``few`` earlier lines of each of their
+    templates, twice as many slices each time, until they have found a line that is like them or none is left. So a
+    line goes from a document exactly if it, or a line that agrees with it in ``similarity`` of all tokens and has its
+    count and leading tokens, stands in an earlier document. A line that no earlier one is like is compared with all
+    that share a run of its tokens at its place: the work grows with the square of the number of such lines.
 
     This is the same at every size, and no step gathers a leaf or a branch: equal lines are one
-    row, a branch is reduced map-side to its first line, at most ``few`` lines of a branch meet each other, and joins on
+    row, a branch is reduced map-side to its first line, a task never holds a branch, and joins on
     hot leaves, branches, templates and lines are spread over several tasks (``spread_join``). Lines are read as hashes first; tokens are
     fetched only for leaves in which several kinds of line stand.
 

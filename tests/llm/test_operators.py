@@ -497,7 +497,7 @@ def test_lines_that_differ_in_a_field_share_a_template(spark):
     assert sum(n[3] * k for n, k in want.items()) > 500
 
 
-@pytest.mark.parametrize("few", [2, 64])
+@pytest.mark.parametrize("few", [20, 64])
 @pytest.mark.parametrize("places", [1, 2, 3])
 def test_lines_that_differ_at_several_places_meet(spark, places, few):
     # One template of 15 tokens, words replaced anywhere after the third; another of 40 that all but agree enough.
@@ -517,15 +517,6 @@ def test_lines_that_differ_at_several_places_meet(spark, places, few):
     assert sum(n[3] * k for n, k in want.items()) > 200
 
 
-def test_templates_are_narrowed_to_lines_that_agree():
-    tokens, path = [b"t%d" % k for k in range(15)], []
-    while below := line_dedup.narrower(5, tokens, 3, 0.8, path):
-        assert len(below) == line_dedup.spare(15, 0.8) + 1
-        path = next(iter(below.values()))
-    assert len(line_dedup.variable_after(15, 3, 0.8, path)) <= line_dedup.spare(15, 0.8)
-    assert all(line_dedup.variable_after(15, 3, 0.8, [k]) == [*range(3, a), *range(b, 15)] for k, (a, b) in enumerate(line_dedup.segments_of(15, 3, 0.8)))
-
-
 def test_lines_with_unlike_tokens_are_not_equal(spark):
     # Tokens whose hashes agree in 16 bits: these lines must not be taken for one another.
     import xxhash
