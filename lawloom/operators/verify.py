@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from lawloom.session import with_checkpoints
 
 
-def reachable(edges: DataFrame, roots: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, *, within: int | None = None, max_rounds: int = 1000) -> DataFrame:
     """Nodes that edges (parent, child) lead to from roots (node), each with its root and depth.
 
     A breadth-first walk by joins: each round's new nodes are those not seen before, so cycles
     end. What a round finds is checkpointed in the session's shared folder, which cuts the plan; all
-    found so far is written together every tenth round only. A walk that isn't at its end after
-    ``max_rounds`` is an error.
+    found so far is written together every tenth round only. With ``within`` the question is which nodes are at most so
+    many links away, and the walk ends there. A walk that isn't at its end after ``max_rounds`` is an error.
     """
     with_checkpoints(edges.sparkSession)
     own = edges.select("parent", "child").distinct().checkpoint()
     front = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct().checkpoint()
     seen = front
     for depth in range(1, max_rounds + 1):
+        if within is not None and depth > within:
+            return seen
         step = front.join(own, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
         front = step.join(seen, ["root", "node"], "left_anti").checkpoint()
         if front.isEmpty():

@@ -472,5 +472,18 @@ def test_deep_links_are_an_error(spark):
         verify.reachable(edges, roots, max_rounds=3)
 
 
+def test_walk_ends_where_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    # A branch of 20 links, of which the query asks for 12, and cycles.
+    ids = sorted({0, 1, 2, 5, 7, 10, 15, 16, 50, *(3**k for k in range(1, 21)), *(2 * 3**k for k in range(1, 21))})
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(c.execute(SQL["toc_traverse"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["toc_traverse"](spark, str(tmp_path)).collect())
+    assert got == want and max(d for _, d in got) == 12
+
+
 def test_queries_are_registered():
     assert set(SQL) <= set(QUERIES) and len(SQL) >= 35
