@@ -21,7 +21,8 @@ _TERM = r"[a-z0-9]+"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TERM), F.lit(0))
+    # A dotted capital I is an i, as in SQL; the JVM makes two characters of it.
+    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit("i"))), F.lit(_TERM), F.lit(0))
 
 
 def small(queries: DataFrame, most: int = 100_000) -> DataFrame:

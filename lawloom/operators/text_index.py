@@ -50,7 +50,10 @@ def stem(word: str) -> str:
 
 
 class Analyzer:
-    """Terms of texts: lower-case runs of a-z and 0-9, without stop words, stemmed. A null text has none."""
+    """Terms of texts: lower-case runs of a-z and 0-9, without stop words, stemmed. A null text has none.
+
+    Letters are lower-cased one by one, so a dotted capital I is an i, where Python and the JVM make two characters of it, which would cut a word.
+    """
 
     def __init__(self) -> None:
         self.known: dict[str, str] = dict.fromkeys(STOP, "")
@@ -58,7 +61,7 @@ class Analyzer:
     def terms(self, text: str | None) -> dict[str, int]:
         """Each term and how often it comes."""
         out, known = {}, self.known
-        for word, n in Counter(re.findall("[a-z0-9]+", (text or "").lower())).items():
+        for word, n in Counter(re.findall("[a-z0-9]+", (text or "").replace("\u0130", "i").lower())).items():
             term = known.get(word)
             if term is None:
                 term = known[word] = stem(word)
@@ -71,7 +74,7 @@ class Analyzer:
 
 def words(text: Column) -> Column:
     """The length of a text: its runs of a-z and 0-9, stop words included."""
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"))
+    return F.regexp_count(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit("i"))), F.lit("[a-z0-9]+"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ class TextIndex:
                 for idf, (at, impacts, _) in own:
                     total[at] += idf * impacts
                     met[at] = True
-                total = np.round(total[places], 9)
+                total = np.floor(total[places] * 1e9 + 0.5) / 1e9  # halves go up, as in SQL
                 found = np.flatnonzero(met[places])
                 if len(found) > k:
                     found = found[total[found] >= np.partition(total[found], -k)[-k]]

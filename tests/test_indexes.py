@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawloom.operators import bitmaps, paging, text_index, vector_index
-from lawloom.operators.retrieve import vector_top
+from lawloom.operators.retrieve import terms, vector_top
 from lawloom.operators.text_index import STOP, Analyzer, TextIndex, query_terms, stem
 from lawloom.operators.vector_index import VectorIndex
 
@@ -186,6 +186,22 @@ def test_terms(spark):
     assert sorted(map(tuple, query_terms(queries).collect())) == [(1, "law"), (2, "city"), (2, "law")]
 
 
+def test_letters_and_halves_go_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from lawloom.queries import _rounded
+
+    text = "A\u0130B \u0130 \u212alm nop"
+    want = duckdb.execute("SELECT regexp_extract_all(lower(?), '[a-z0-9]+')", [text]).fetchone()[0]
+    docs = spark.createDataFrame([(1, text)], "id long, content string")
+    assert docs.select(text_index.words(F.col("content"))).first()[0] == len(want)
+    assert docs.select(terms(F.col("content"))).first()[0] == want
+    assert list(Analyzer().terms(text)) == want
+    halves = [(n * 10 + 5) / 1e5 for n in range(0, 300_000, 997)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in halves], "x double").coalesce(1).select(_rounded("x", 4)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] for x in halves]
+
+
 def test_empty_text_index(spark, tmp_path):
     text_index.build(spark.createDataFrame([], "id long, content string"), f"file://{tmp_path}/t", {"content": 1.0})
     queries = spark.createDataFrame([(1, "law")], "query_id long, text string")
