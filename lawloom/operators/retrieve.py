@@ -10,10 +10,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lawloom.session import bounded_batches
+
+# Documents and queries of one matrix product, hits that a task holds before it keeps the best, and rows it hands on at once.
+TILE, HELD, OUT = 512, 1 << 19, 10_000
 # Hits of the two branches, vector candidates, the gate's score and least hits, and the fusion's constant.
 LOCAL_K, STATE_K, CANDIDATES, GATE, LEAST, FUSE = 5, 4, 50, 1.0, 3, 60
 LOCAL_TYPES = ["code", "attachment", "new_law"]
@@ -56,32 +61,71 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = 1.2, b: float = 0.7
     return weight.join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"))
 
 
+def _best(q: np.ndarray, score: np.ndarray, at: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Which hits are among the k best of their query, ties to the smaller id (a null one first), sorted by query and rank."""
+    place = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[at]
+    order = np.lexsort((place, -score, q))
+    return order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
+
+
 def _nearest(docs: DataFrame, few: list, k: int, dims: int) -> DataFrame:
-    """query_id (as its place in few), id, score: of each Arrow batch the k best of every query, and what ties with the last of them."""
+    """query_id (as its place in few), id, score: of each task the k best of every query.
+
+    Documents and queries are scored TILE by TILE, and a task holds little more than the k best of each query, by which what follows is judged.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.array([list(r.vector) for r in few], np.float64).reshape(len(few), dims))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value / np.maximum(np.linalg.norm(shared.value, axis=1, keepdims=True), 1e-300)
-        for batch in batches:
-            batch = batch[batch["v"].notna()]
-            if not len(batch):
-                continue
-            own = np.array(batch["v"].tolist(), np.float64)
-            scores = np.round(asked @ (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T, 12)
-            least = np.partition(scores, -min(k, len(own)), axis=1)[:, -min(k, len(own))]
-            q, at = np.nonzero(scores >= least[:, None])
-            yield pd.DataFrame({"q": q, "id": batch["id"].to_numpy()[at], "score": scores[q, at]})
+        bar, most = np.full(len(asked), -np.inf), max(HELD, 2 * k * len(asked))
+        q, score, at, ids, n_held, new = [], [], [], [], 0, 0
+
+        def keep() -> None:
+            nonlocal q, score, at, ids, n_held, new
+            names = pa.concat_arrays(ids)
+            all_q, all_score, all_at = np.concatenate(q), np.concatenate(score), np.concatenate(at)
+            kept = _best(all_q, all_score, all_at, names, k)
+            used, own = np.unique(all_at[kept], return_inverse=True)
+            q, score, at, ids, n_held, new = [all_q[kept]], [all_score[kept]], [own], [names.take(pa.array(used))], len(kept), len(used)
+            full = np.flatnonzero(np.bincount(q[0], minlength=len(bar)) >= k)
+            bar[full] = score[0][np.searchsorted(q[0], full, "right") - 1]
 
-    return docs.mapInPandas(run, f"q int, id {dict(docs.dtypes)['id']}, score double")
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch["v"]))
+            for part in (batch.slice(n, TILE) for n in range(0, len(batch), TILE)):
+                own = np.array(part["v"].to_pylist(), np.float64)
+                if not (sound := np.isfinite(own).all(axis=1)).all():
+                    part, own = part.filter(pa.array(sound)), own[sound]
+                own = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T
+                ids.append(part["id"])
+                for first in range(0, len(asked), TILE):
+                    scores, least = np.round(asked[first : first + TILE] @ own, 12), bar[first : first + TILE]
+                    if len(part) > k and np.isneginf(least).any():
+                        least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                    a, b = np.nonzero(scores >= least[:, None])
+                    q.append((a + first).astype(np.int32))
+                    score.append(scores[a, b])
+                    at.append(b + new)
+                    n_held += len(a)
+                new += len(part)
+                if n_held > most:
+                    keep()
+        if q:
+            keep()
+            for n in range(0, n_held, OUT):
+                yield pa.RecordBatch.from_arrays([pa.array(q[0][n : n + OUT]), ids[0].take(pa.array(at[0][n : n + OUT])), pa.array(score[0][n : n + OUT])], ["q", "id", "score"])
+
+    return docs.mapInArrow(run, f"q int, id {dict(docs.dtypes)['id']}, score double")
 
 
 def vector_top(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, block: int = 10_000, id_col: str = "id", vector_col: str = "content_vector") -> DataFrame:
     """The k nearest documents of each query by cosine (to 12 decimals), exactly.
 
-    Queries travel to the scan in blocks of at most ``block`` (a checked bound of the broadcast); each
-    batch of documents is scored against a block by one matrix product, and only a batch's best of each
-    query are shuffled. A null or zero vector is near to nothing.
+    Queries travel to the scan in blocks of about ``block`` (which bounds the broadcast); documents
+    are scored against a block tile by tile, and only a task's best of each
+    query are shuffled. A null vector or query, or one with a number that isn't finite, is near to nothing.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
     blocks = max(1, -(-asked.count() // block))

@@ -46,6 +46,24 @@ def scanned(vectors, k):
     return found(vector_top(whole, asked(vectors).where("query_id not like 'n%'"), k))
 
 
+def test_a_task_hands_on_its_best_only(spark, vectors):
+    from lawloom.operators import retrieve
+
+    r = random.Random(9)
+    docs = spark.createDataFrame([(n, [r.gauss(0, 1) for _ in range(8)]) for n in range(1000)] + [(1000, [math.nan] * 8)], "id long, v array<float>").coalesce(1)
+    few = docs.limit(5).withColumnRenamed("v", "vector").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    got = retrieve._nearest(docs, few, 3, 8).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    # However many batches and tiles a task reads.
+    assert len(got) == 15
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    own = np.array([unit(x.v) for x in docs.where("id < 1000").orderBy("id").collect()])
+    for n, q in enumerate(few):
+        assert {x.id for x in got if x.q == n} == set(np.argsort(-(own @ unit(q.vector)))[:3].tolist())
+
+
 def test_all_vectors_are_indexed_in_pieces(index):
     assert index.pieces.agg(F.sum(F.size("ids"))).first()[0] == 3000
     assert index.pieces.agg(F.max(F.size("ids"))).first()[0] < 1.3 * vector_index.PIECE
