@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.operators.retrieve import CANDIDATES, top
-from lawloom.session import shared_path
+from lawloom.session import bounded_batches, shared_path
 
 # Bounds: numbers in the training sample, rows of it, lists, codes of a part (one byte), vectors of a piece, pieces of a file, queries of a block.
-TRAIN_NUMBERS, TRAIN_ROWS, LISTS, CODES, PIECE, FILE, BLOCK = 8_000_000, 50_000, 4096, 256, 1024, 16, 8192
-HELD = 1 << 20  # hits that a task holds before it keeps the best
+TRAIN_NUMBERS, TRAIN_ROWS, LISTS, CODES, PIECE, FILE, BLOCK = 8_000_000, 50_000, 4096, 256, 1024, 16, 2048
+HELD = 1 << 19  # hits that a task holds before it keeps the best
 SAMPLE = 4096  # vectors kept with the model
 # Cosines are rounded to this many decimals before they are compared, as in ``retrieve.vector_top``.
 DECIMALS = 12
@@ -226,6 +226,7 @@ class VectorIndex:
     """A stored index, opened: the pieces as a table, the model in hand."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        bounded_batches(spark)  # a piece has 1,024 vectors
         self.spark, self.pieces = spark, spark.read.parquet(f"{path}/lists")
         self.model = Model.of(spark.read.schema(MODEL).parquet(f"{path}/model").collect())
         self.kind = dict(self.pieces.dtypes)["ids"][6:-1]
@@ -267,7 +268,7 @@ class VectorIndex:
                         scores = np.full(scores.shape, -np.inf)
                         scores[:, used] = np.round(q[asked] @ units(raw[used].astype(np.float64)).T, DECIMALS)
                     a, b = np.nonzero((scores >= bar[asked, None]) & (scores > -np.inf))
-                    held.append((asked[a], scores[a, b], ids[b], np.full(len(a), r.list), np.full(len(a), r.piece), b))
+                    held.append((asked[a].astype(np.int32), scores[a, b], ids[b], np.full(len(a), r.list, np.int32), np.full(len(a), r.piece, np.int32), b.astype(np.int32)))
                     n_held += len(a)
                     if n_held > HELD:
                         held = [best(*map(np.concatenate, zip(*held)), k)]
