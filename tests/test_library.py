@@ -472,6 +472,16 @@ def test_deep_links_are_an_error(spark):
         verify.reachable(edges, roots, max_rounds=3)
 
 
+def test_parsed_rows_leave_in_slices(spark):
+    import pandas as pd
+
+    pages = pd.DataFrame({"id": list("abcdefgh"), "html": ["x" * (markup.SLICE // 4)] * 7 + [None]})
+    out = list(markup._in_slices(iter([pages]), lambda key, html: [{"id": key, "n": len(html or "")}] * 2, ["id", "n"]))
+    assert [len(x) for x in out] == [8, 8] and [k for x in out for k in x["id"]] == [c for c in "abcdefgh" for _ in range(2)]
+    markup.page_blocks(spark.createDataFrame([("a", "<p>b</p>")], "page_id string, html string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
 def test_walk_ends_where_the_sql_does(spark, tmp_path):
     import duckdb
 
