@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawloom.session import bounded_batches
+from lawloom.session import bounded_batches, shared_path
 
 # Documents and queries of one matrix product, hits that a task holds before it keeps the best, and rows it hands on at once.
 TILE, HELD, OUT = 512, 1 << 19, 10_000
@@ -145,9 +145,10 @@ def fuse(*ranked: DataFrame, constant: int = FUSE) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int, *, candidates: int = CANDIDATES) -> DataFrame:
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, *, candidates: int = CANDIDATES, vectors: DataFrame | None = None) -> DataFrame:
+    """The k best by both lists fused. ``vectors`` (id, content_vector) may be a table of its own, so that texts needn't be joined to it."""
     lexical = top(bm25(docs, queries), candidates)
-    return top(fuse(lexical, vector_top(docs, queries, candidates)), k)
+    return top(fuse(lexical, vector_top(docs if vectors is None else vectors, queries, candidates)), k)
 
 
 def rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     A plain local substitute for a hosted reranker, behind the same place in the plan.
     """
     fields = {"title": 1.5, "breadcrumb": 0.5, "content": 2.0}
-    joined = hits.select("query_id", "id", "rank").join(docs.select("id", *fields), "id").join(small(queries.select("query_id", "text")), "query_id")
+    joined = docs.select("id", *fields).join(small(hits.select("query_id", "id", "rank")), "id").join(small(queries.select("query_id", "text")), "query_id")
     asked = F.array_distinct(terms(F.col("text")))
     share = lambda c: F.size(F.array_intersect(asked, terms(F.col(c)))) / F.greatest(F.size(asked), F.lit(1))
     score = reduce(lambda a, b: a + b, [share(c) * w for c, w in fields.items()])
@@ -179,10 +180,16 @@ def gate(hits: DataFrame, *, score: float = GATE, least: int = LEAST) -> DataFra
     return kept.where(((F.col("strong") >= least) & (F.col("score") >= score)) | ((F.col("strong") < least) & (F.col("n") <= least))).drop("strong")
 
 
-def search(docs: DataFrame, queries: DataFrame, *, local_k: int = LOCAL_K, state_k: int = STATE_K) -> DataFrame:
-    """Both branches of a hybrid search, reranked, merged and gated: query_id, n, id, score, branch."""
-    parts = []
+def search(docs: DataFrame, queries: DataFrame, *, local_k: int = LOCAL_K, state_k: int = STATE_K, vectors: DataFrame | None = None) -> DataFrame:
+    """Both branches of a hybrid search, reranked, merged and gated: query_id, n, id, score, branch.
+
+    ``vectors`` (id, source_type, content_vector) as in ``hybrid``. Hits are written before they are reranked: a few rows
+    for each query, to which the documents come without a shuffle of their texts.
+    """
+    parts, spark = [], docs.sparkSession
     for number, (local, k) in enumerate(((True, local_k), (False, state_k))):
-        own = branch(docs, local)
-        parts.append(rerank(hybrid(own, queries, k), own, queries).withColumn("branch", F.lit(number)))
+        own, path = branch(docs, local), shared_path(spark, "hits")
+        hits = hybrid(own, queries, k, vectors=None if vectors is None else branch(vectors, local)).select("query_id", "id", "rank")
+        hits.write.parquet(path)
+        parts.append(rerank(spark.read.schema(hits.schema).parquet(path), own, queries).withColumn("branch", F.lit(number)))
     return gate(parts[0].unionByName(parts[1])).select("query_id", "n", "id", "score", "branch")

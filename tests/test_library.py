@@ -472,6 +472,15 @@ def test_deep_links_are_an_error(spark):
         verify.reachable(edges, roots, max_rounds=3)
 
 
+def test_vectors_of_their_own_table(spark):
+    docs = spark.createDataFrame([(n, f"word{n % 3} other{n % 5}", f"t{n}", "b", "code" if n % 2 else "rule") for n in range(30)], "id long, content string, title string, breadcrumb string, source_type string")
+    vectors = docs.select("id", "source_type", F.array(F.cos("id"), F.sin("id")).alias("content_vector"))
+    queries = spark.createDataFrame([(1, "word1 other2", [1.0, 0.5])], "query_id int, text string, vector array<double>")
+    joined = docs.join(vectors.drop("source_type"), "id")
+    for one, two in ((retrieve.hybrid(docs, queries, 5, vectors=vectors), retrieve.hybrid(joined, queries, 5)), (retrieve.search(docs, queries, vectors=vectors), retrieve.search(joined, queries))):
+        assert sorted(one.collect()) == sorted(two.collect()) and one.count() > 0
+
+
 def test_parsed_rows_leave_in_slices(spark):
     import pandas as pd
 
