@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ from .words import word_hashes
 
 _LIMIT = 1024  # counts up to here have exact Stirling numbers
 _EXACT = 1 << 20  # tables up to here are drawn one by one in the concentration's auxiliary variables
-_DISH = 21  # bits of a dish: at most a million frequent words, the end, RARE
+_DISH = 32  # bits of a dish
 START = 0  # the context of a text's first word
 
 
@@ -285,7 +285,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(columns)], _NAMES)
 
 
-def _packed(texts: DataFrame, plan: Plan, *, with_texts: bool) -> DataFrame:
+def _packed(texts: DataFrame, shared: Broadcast[Plan], *, with_texts: bool) -> DataFrame:
     """Tokens of all texts by bucket of their context: with the texts they are in, or summed (training texts without hot contexts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,6 @@ def _packed(texts: DataFrame, plan: Plan, *, with_texts: bool) -> DataFrame:
                     rows.append((name, bucket, contexts.tobytes(), planes(sizes, "<u4"), planes(dish[at], "<u4"), planes(counts[at], "<u4"), b"", b"", b""))
             yield _batch(rows)
 
-    shared = texts.sparkSession.sparkContext.broadcast(plan)
     return texts.mapInArrow(run, PACKED)
 
 
@@ -323,7 +322,7 @@ def summed(context: np.ndarray, dish: np.ndarray, counts: np.ndarray) -> tuple[n
     return each[cell >> _DISH], (cell & ((1 << _DISH) - 1)).astype(np.uint32), np.bincount(place, counts, len(cell)).astype(np.int64)
 
 
-def _hot_cells(texts: DataFrame, plan: Plan) -> DataFrame:
+def _hot_cells(texts: DataFrame, shared: Broadcast[Plan]) -> DataFrame:
     """Summed cells of each hot context in one packed row (at most as many as there are dishes); Spark sums them by context and dish."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +342,6 @@ def _hot_cells(texts: DataFrame, plan: Plan) -> DataFrame:
         row = (0, int(own.hot_bucket(k)), own.hot[k : k + 1].tobytes(), planes(np.array([len(group)]), "<u4"), planes(group["dish"].to_numpy(), "<u4"), planes(group["n"].to_numpy(), "<u4"), b"", b"", b"")
         return pd.DataFrame([row], columns=_NAMES)
 
-    shared = texts.sparkSession.sparkContext.broadcast(plan)
     cells = texts.mapInArrow(run, "hot long, dish long, n long").groupBy("hot", "dish").agg(F.sum("n").alias("n"))
     return cells.groupBy("hot").applyInPandas(pack, PACKED)
 
@@ -354,7 +352,7 @@ def _cells(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, unplaned(group["dishes"], "<u4"), unplaned(group["counts"], "<u4")
 
 
-def _tables(cells: DataFrame, plan: Plan, *, sweeps: int, burn_in: int, seed: int) -> DataFrame:
+def _tables(cells: DataFrame, shared: Broadcast[Plan], *, sweeps: int, burn_in: int, seed: int) -> DataFrame:
     """dish, tables, and for dish -1, -2: cells with one and with two customers, -3: concentration times customers and -4: customers."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -367,7 +365,6 @@ def _tables(cells: DataFrame, plan: Plan, *, sweeps: int, burn_in: int, seed: in
         stats = {-1: (counts == 1).sum(), -2: (counts == 2).sum(), -3: level.mean_theta * counts.sum(), -4: counts.sum()}
         return pd.DataFrame({"dish": [*served.tolist(), *stats], "tables": [*np.bincount(place, level.tables).tolist(), *map(float, stats.values())]})
 
-    shared = cells.sparkSession.sparkContext.broadcast(plan)
     return cells.groupBy("bucket").applyInPandas(run, "dish long, tables double").groupBy("dish").agg(F.sum("tables").alias("tables"))
 
 
@@ -379,7 +376,7 @@ def _context_scores(tokens: DataFrame, hot_cells: DataFrame, plan: Plan, root: n
     """
 
     def run(tokens: pd.DataFrame, hot: pd.DataFrame) -> pd.DataFrame:
-        own, root = shared.value
+        root = shared.value
         if not len(tokens):
             return pd.DataFrame([], columns=names)
         if tokens["bucket"].iloc[0] < 0:
@@ -416,7 +413,7 @@ def _context_scores(tokens: DataFrame, hot_cells: DataFrame, plan: Plan, root: n
         return pd.DataFrame({"key": who, "class_score": np.bincount(place, each, len(who))})
 
     names = ["chunk", "texts", "keys", "sums"]
-    shared = tokens.sparkSession.sparkContext.broadcast((plan, root))
+    shared = tokens.sparkSession.sparkContext.broadcast(root)
     # A hot context's restaurant goes to each of its buckets; there are at most as many as buckets.
     ranges = [(int(plan.hot_bucket(k)), int(plan.hot_bucket(k) + n - 1)) for k, n in enumerate(plan.salts)]
     ranges = tokens.sparkSession.createDataFrame(ranges, "first long, last long")
@@ -430,14 +427,14 @@ RARE = "chunk long, bucket long, keys binary, train binary, sizes binary, hashes
 EACH = np.dtype([("key", "<i8"), ("n_tokens", "<i8"), ("class_base", "<f8"), ("class_known", "<i8")])
 
 
-def _rare_counts(texts: DataFrame, plan: Plan) -> DataFrame:
+def _rare_counts(texts: DataFrame, shared: Broadcast[Plan]) -> DataFrame:
     """Rows of packed arrays, by range of word hashes: of each text, the training counts of its rare words.
 
     Each chunk of texts sends, per bucket, the texts' distinct rare words and how often they come; a
     bucket sums the training counts of its words and answers with counts in place of words.
     kind 0: keys, sizes (rare words of each text), counts, times. kind 1: counts, times (words that have them).
     kind 2, a chunk's own row: keys holds EACH of every text, its tokens, and over frequent words and the end the base and how many are known.
-    A rare word is under a millionth of all tokens, so no word is hot here.
+    A rare word has under ``least_count`` training tokens, so none is hot in the training texts.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +476,6 @@ def _rare_counts(texts: DataFrame, plan: Plan) -> DataFrame:
 
     told = ["kind", "chunk", "keys", "sizes", "counts", "times"]
     names = [x.split()[0] for x in RARE.split(", ")]
-    shared = texts.sparkSession.sparkContext.broadcast(plan)
     return texts.mapInArrow(pack, RARE).groupBy("bucket").applyInPandas(answer, "kind int, chunk long, keys binary, sizes binary, counts binary, times binary")
 
 
@@ -528,8 +524,8 @@ def score_texts(
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     1. Training counts of all words, with partial sums in the tasks.
-    2. Frequent words (``least_count`` and at least a millionth of the training tokens, so at most a million
-       words, which bounds the broadcast) are dishes of their own, all others the dish RARE.
+    2. Frequent words (``least_count`` in the training texts, however many tokens these have) are dishes of their
+       own, all others the dish RARE. Their hashes, counts and root's probabilities, 24 bytes a word, are broadcast.
     3. Every word, rare or not, is a context. Tokens of training texts are summed by (context, dish) and
        dealt to tasks by context, about ``bucket_tokens`` each; there the restaurants are seated by Gibbs
        sweeps, and the tables of each dish become the customers of the root, which is seated next.
@@ -555,29 +551,30 @@ def score_texts(
     vocabulary = materialise(_word_counts(texts), "words")
     sums = vocabulary.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     n, kinds = sums["n"] or 0, sums["kinds"] or 0
-    least = max(least_count, -(-n // 1_000_000))
     ends = vocabulary.where("word is null").agg(F.sum("n")).first()[0] or 0
-    top = vocabulary.where((F.col("n") >= least) & F.col("word").isNotNull()).toPandas()
-    words = top["word"].to_numpy(np.int64).view("u8")
+    # As Arrow, 16 bytes a word; rows of Python objects would take some hundred.
+    top = vocabulary.where((F.col("n") >= least_count) & F.col("word").isNotNull()).toArrow()
+    words = top["word"].to_numpy().view("u8")
     order = np.argsort(words)
-    words, many = words[order], top["n"].to_numpy(np.int64)[order]
+    words, many = words[order], top["n"].to_numpy()[order]
     counts = np.concatenate(([ends], many, [max(0, n - ends - many.sum())]))
     hot = np.sort(np.append(words[many > bucket_tokens], np.zeros(int(ends > bucket_tokens), np.uint64)))
     # At least 32 buckets to share the work, as long as each has enough tokens to tell a concentration.
     buckets = max(1, -(-n // bucket_tokens), min(32, n // 50_000))
     often = dict(zip(words[many > bucket_tokens].tolist(), many[many > bucket_tokens].tolist(), strict=True)) | {START: ends}
     plan = Plan(words, counts, buckets, hot, np.array([-(-often[h] // bucket_tokens) for h in hot.tolist()], np.int64))
-    hot_cells = materialise(_hot_cells(texts, plan), "hot_cells") if len(hot) else spark.createDataFrame([], PACKED)
+    shared = spark.sparkContext.broadcast(plan)  # one for all steps, as each lies on every executor's disk
+    hot_cells = materialise(_hot_cells(texts, shared), "hot_cells") if len(hot) else spark.createDataFrame([], PACKED)
     chain = {"sweeps": sweeps, "burn_in": burn_in, "seed": seed}
-    served = _tables(_packed(texts, plan, with_texts=False).unionByName(hot_cells), plan, **chain).toPandas()
-    served = dict(zip(served["dish"].tolist(), served["tables"].tolist(), strict=True))
-    stats = [served.pop(k, 0.0) for k in (-1, -2, -3, -4)]
+    served = _tables(_packed(texts, shared, with_texts=False).unionByName(hot_cells), shared, **chain).toArrow()
+    dish, tables = served["dish"].to_numpy(), served["tables"].to_numpy()
+    stats = [float(tables[dish == k].sum()) for k in (-1, -2, -3, -4)]
     customers = np.zeros(len(counts), np.int64)
-    customers[list(served)] = list(served.values())
+    customers[dish[dish >= 0]] = tables[dish >= 0]
     root = fit_root(customers, **chain)
     d, theta = discount(stats[0], stats[1]), stats[2] / stats[3] if stats[3] else 1.0
-    contexts = _context_scores(_packed(texts, plan, with_texts=True), hot_cells, plan, root, d, theta, **chain)
-    packed = materialise(_rare_counts(texts, plan), "rare")
+    contexts = _context_scores(_packed(texts, shared, with_texts=True), hot_cells, plan, root, d, theta, **chain)
+    packed = materialise(_rare_counts(texts, shared), "rare")
     seen = packed.where("kind = 1").select("counts", "times").mapInPandas(_unpacked, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).toPandas().sort_values("value")
     values, times = seen["value"].to_numpy(np.int64), seen["n"].to_numpy(np.int64)
     rare, unseen = fit_rare(values, times, **chain)

@@ -579,6 +579,20 @@ def test_language_model_learns_order(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
 
 
+def test_dishes_do_not_depend_on_the_size_of_the_corpus(spark):
+    # Pairs of words seen six times stay dishes beside 6.5 million tokens of other text.
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    ids = (i for i in range(100_000) if not held(i))
+    pair = lambda k: f"left{k} right{k}"
+    rows = [(next(ids), pair(k)) for k in range(200) for _ in range(6)] + [(next(ids), "pad " * 500_000) for _ in range(13)]
+    asked = [i for i in range(100_000, 101_000) if held(i)][:50]
+    rows += [(i, pair(k)) for k, i in enumerate(asked)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), fold(F.col("doc_id")) == 1, sweeps=6, burn_in=2).where("held_out").collect()
+    assert len(got) == 50 and got[0].train_tokens > 6_500_000
+    # One of 200 first words, then a word and an end that are all but certain; as rare words each would be one of 400.
+    assert sum(r.score for r in got) / 50 > -4
+
+
 def seated_one_by_one(rows, held, least, sweeps, burn_in, seed):
     """The model in plain Python: customers leave and come back one by one, and tables of one dish are told apart."""
     rng = np.random.default_rng(seed)
