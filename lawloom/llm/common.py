@@ -71,6 +71,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def hot_join(many: DataFrame, one: DataFrame, on: list[str], by: str, rows: str, most: int = 2000) -> DataFrame:
+    """``spread_join`` where a column ``rows`` of ``one`` tells how many rows of ``many`` its key meets, at least about.
+
+    Only keys that meet more than ``most`` rows are dealt to several tasks, about ``most`` rows each. These keys are
+    broadcast (at most one for ``most`` rows of ``many``); all other rows of ``one`` are sent once.
+    """
+    shares = F.ceil(F.col(rows) / F.lit(most)).cast("int")
+    hot = F.broadcast(one.where(F.col(rows) > most).select(*on, shares.alias("shares")))
+    dealt = many.join(hot, on, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("shares")).cast("int"), F.lit(0))).drop("shares")
+    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
+    return dealt.join(copies, [*on, "salt"]).drop("salt")
+
+
 def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
     """Inner join on a key that is unique in ``one`` but may be very frequent in ``many``.
 

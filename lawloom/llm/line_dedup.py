@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, free_name, materialise, spread_join
+from .common import batches_of, free_name, hot_join, materialise, spread_join
 from .words import mix
 
 _FIELD = re.compile(rb"[0-9@]")  # a token with a digit or an at sign is a variable field
@@ -115,15 +115,17 @@ def _met(members: DataFrame) -> DataFrame:
     # One row a task and branch is shuffled, however many lines stand on it.
     leads = members.groupBy("branch").agg(F.min(F.struct("first", "hash")).alias("lead"), F.count("*").alias("lines"))
     leads = leads.where("lines > 1").select("branch", F.col("lead.hash").alias("lead"), F.col("lead.first").alias("lead_first"), "lines")
-    return spread_join(members, leads, ["branch"], "hash").where("lead_first < first")
+    return hot_join(members, leads, ["branch"], "hash", "lines").where("lead_first < first")
 
 
 def _agreeing(pairs: DataFrame, kinds: DataFrame, similarity: float) -> DataFrame:
     """leaf, hash of the lines that agree enough with a ``lead`` of theirs; pairs meet once, token by token."""
     pairs = materialise(pairs.select("leaf", "hash", "lead").distinct(), "pairs")
     one = kinds.select("leaf", "hash", "n", "tokens")
-    two = kinds.select("leaf", F.col("hash").alias("lead"), F.col("tokens").alias("lead_tokens"))
-    both = spread_join(pairs.join(one, ["leaf", "hash"]), two, ["leaf", "lead"], "hash")
+    # Tokens are sent for lines that are asked for only; those of a lead once for each task that its pairs are dealt to.
+    leads = pairs.groupBy("leaf", "lead").agg(F.count("*").alias("met"))
+    two = leads.join(kinds.select("leaf", F.col("hash").alias("lead"), F.col("tokens").alias("lead_tokens")), ["leaf", "lead"])
+    both = hot_join(pairs.join(one, ["leaf", "hash"]), two, ["leaf", "lead"], "hash", "met")
     equal = F.size(F.filter(F.zip_with(F.split("tokens", " "), F.split("lead_tokens", " "), lambda a, b: a == b), lambda same: same))
     return materialise(both.where(equal >= F.ceil(F.col("n") * similarity - 1e-9)).select("leaf", "hash").distinct(), "agreeing")
 
@@ -135,9 +137,9 @@ def _like_earlier(kinds: DataFrame, similarity: float, few: int) -> DataFrame:
     # What is equal but for one run need not be looked at again: lines that agree enough have an equal run.
     runs = on.where("2 * at < n")
     slices = F.ceil(F.col("lines") / few).cast("int").alias("slices")
-    seekers = materialise(_met(runs).join(found, ["leaf", "hash"], "left_anti").select("branch", "leaf", "hash", "first", slices), "seekers")
-    sought = seekers.groupBy("branch").agg(F.max("first").alias("until"), F.first("slices").alias("slices"))
-    earlier = spread_join(runs, sought, ["branch"], "hash").where("first < until")
+    seekers = materialise(_met(runs).join(found, ["leaf", "hash"], "left_anti").select("branch", "leaf", "hash", "first", "lines", slices), "seekers")
+    sought = seekers.groupBy("branch").agg(F.max("first").alias("until"), F.first("slices").alias("slices"), F.first("lines").alias("lines"))
+    earlier = hot_join(runs, sought, ["branch"], "hash", "lines").where("first < until")
     earlier = materialise(earlier.select("branch", F.col("hash").alias("lead"), F.col("first").alias("lead_first"), F.pmod(F.xxhash64("hash"), "slices").cast("int").alias("slice")), "earlier")
     at, step = 0, 1
     while not seekers.isEmpty():
@@ -154,19 +156,19 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, similarity: float = 0.8,
     """row, dropped (set of line numbers) of the documents (row, doc, text) that lose lines. See ``drop_recurring_lines``."""
     lines = materialise(_lines(docs, depth), "lines")
     kinds = materialise(
-        lines.groupBy("leaf", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("row").alias("row")), "kinds"
+        lines.groupBy("leaf", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("row").alias("row"), F.count("*").alias("lines")), "kinds"
     )
     # Only leaves with several kinds of line, of several documents, can hold one template of two kinds.
     several = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("last").alias("high"))
-    asked = spread_join(kinds, several.where("kinds > 1 and low <> high").select("leaf"), ["leaf"], "hash")
+    asked = hot_join(kinds, several.where("kinds > 1 and low <> high").select("leaf", "kinds"), ["leaf"], "hash", "kinds")
     wanted = materialise(asked.groupBy("row").agg(F.collect_list(F.struct("hash", "first")).alias("wanted")), "wanted")
     found = _kinds(docs.join(wanted.hint("shuffle_hash"), "row").select("text", "wanted"), depth, similarity)
     found = materialise(found.dropDuplicates(["leaf", "hash"]), "found")
     like = _like_earlier(found, similarity, few).withColumn("like", F.lit(True))
-    kept = kinds.select("leaf", "hash", "first", "last").join(like, ["leaf", "hash"], "left")
+    kept = kinds.select("leaf", "hash", "first", "last", "lines").join(like, ["leaf", "hash"], "left")
     # A kind of line in one document only, that no earlier one is like, loses nothing.
-    kept = kept.where("first <> last or like").select("leaf", "hash", "first", F.coalesce("like", F.lit(False)).alias("like"))
-    dropped = spread_join(lines.select("row", "doc", "line", "leaf", "hash"), kept, ["leaf", "hash"], "row").where("like or doc <> first")
+    kept = kept.where("first <> last or like").select("leaf", "hash", "first", "lines", F.coalesce("like", F.lit(False)).alias("like"))
+    dropped = hot_join(lines.select("row", "doc", "line", "leaf", "hash"), kept, ["leaf", "hash"], "row", "lines").where("like or doc <> first")
     return dropped.groupBy("row").agg(F.collect_set("line").alias("dropped"))
 
 
@@ -185,7 +187,7 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     This is the same at every size, and no step gathers a leaf or a branch: equal lines are one
     row, a branch is reduced map-side to its first line, a task never holds a branch, and joins on
-    hot leaves, branches, templates and lines are spread over several tasks (``spread_join``). Lines are read as hashes first; tokens are
+    hot leaves, branches, templates and lines are spread over several tasks (``hot_join``). Lines are read as hashes first; tokens are
     fetched only for leaves in which several kinds of line stand.
 
     Cases: null and empty texts stay as they are, with 0 lines; blank lines and lines of variable fields

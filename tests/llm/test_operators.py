@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lawloom.llm import line_dedup, packing, pitman_yor, sstable, url_reputation
+from lawloom.llm import common, line_dedup, packing, pitman_yor, sstable, url_reputation
 from lawloom.llm import ngram_join as ngram_join_module
 from lawloom.llm.common import fold
 from lawloom.llm.decontaminate import decontaminate
@@ -517,6 +517,20 @@ def test_lines_that_differ_at_several_places_meet(spark, places, few):
     assert sum(n[3] * k for n, k in want.items()) > 200
 
 
+def test_line_dedup_sends_only_the_tokens_it_asks_for(spark, monkeypatch):
+    # A hot key meets all its rows, in several tasks; of lines that nobody asks for no tokens are sent.
+    many = spark.range(9000).select(F.when(F.col("id") < 7000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("by"))
+    one = many.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 0")
+    got = common.hot_join(many, one, ["k"], "by", "n", 500)
+    assert Counter(r.by for r in got.collect()) == Counter([*range(7000), *range(7000, 9000, 2)])
+    sent = []
+    monkeypatch.setattr(line_dedup, "hot_join", lambda many, one, *a: sent.append(one.count()) or common.hot_join(many, one, *a))
+    kinds = spark.createDataFrame([(1, k, 4, f"a b c w{k % 3}") for k in range(1000)], "leaf long, hash long, n int, tokens string")
+    pairs = spark.createDataFrame([(1, k, k % 7) for k in range(100, 130)], "leaf long, hash long, lead long")
+    found = line_dedup._agreeing(pairs, kinds, 0.8)
+    assert {r.hash for r in found.collect()} == {k for k in range(100, 130) if k % 3 == k % 7 % 3} and sent == [7]
+
+
 def test_lines_with_unlike_tokens_are_not_equal(spark):
     # Tokens whose hashes agree in 16 bits: these lines must not be taken for one another.
     import xxhash
