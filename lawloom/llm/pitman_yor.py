@@ -8,8 +8,9 @@ given RARE, is one more Pitman-Yor restaurant over all rare words, however many
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from .words import word_hashes
 _LIMIT = 1024  # counts up to here have exact Stirling numbers
 _EXACT = 1 << 20  # tables up to here are drawn one by one in the concentration's auxiliary variables
 _DISH = 32  # bits of a dish
+_JOINED = 1 << 18  # bytes of texts hashed in one go
 START = 0  # the context of a text's first word
 
 
@@ -48,13 +50,26 @@ class Stirling:
 
     def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         """log of the ratio; t may lie between integers."""
-        shrink = np.where(c > _LIMIT, (_LIMIT / np.maximum(c, 1.0)) ** self.d, 1.0)
-        near = np.clip(t * shrink, 1.0, _LIMIT - 1.0)
-        low = near.astype(np.int64)
-        row = np.minimum(c, _LIMIT).astype(np.int64)
-        a, b = self.ratio[row, low], self.ratio[row, np.minimum(low + 1, _LIMIT)]
-        mid = np.where(b < -1e8, a, a + (near - low) * (b - a))
-        return mid + np.log(near) - np.log(np.maximum(t, 1.0))
+        return self.of(c)(t)
+
+    def of(self, c: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """The same as a function of t, for counts that are asked for many times."""
+        start = np.minimum(c, _LIMIT).astype(np.int64) * self.ratio.shape[1]
+        flat, far = self.ratio.ravel(), np.flatnonzero(c >= _LIMIT)  # below, t is its own matching one
+        shrink = np.where(c[far] > _LIMIT, (_LIMIT / np.maximum(c[far], 1.0)) ** self.d, 1.0)
+
+        def log_ratio(t: np.ndarray) -> np.ndarray:
+            near = np.maximum(t, 1.0)
+            near[far] = np.clip(t[far] * shrink, 1.0, _LIMIT - 1.0)
+            near = np.minimum(near, _LIMIT - 1.0)
+            low = near.astype(np.int64)
+            at = start + low
+            a, b = flat[at], flat[at + 1]
+            mid = np.where(b < -1e8, a, a + (near - low) * (b - a))
+            mid[far] += np.log(near[far]) - np.log(np.maximum(t[far], 1.0))
+            return mid
+
+        return log_ratio
 
 
 def discount(one: float, two: float) -> float:
@@ -91,32 +106,33 @@ class Restaurants:
     d: float = 0.0
     mean_theta: float = 1.0  # over the sweeps after burn-in
     tables: np.ndarray = field(init=False)
+    total: np.ndarray = field(init=False)  # tables of each restaurant
 
     def __post_init__(self) -> None:
         self.d = self.d or discount((self.counts == 1).sum(), (self.counts == 2).sum())
         self.tables = np.ones(len(self.counts), np.int64)
-        self.customers = np.bincount(self.row, self.counts)
-        self.stirling = stirling_of(self.d)
+        self.customers, self.total = np.bincount(self.row, self.counts), np.bincount(self.row, self.tables)
+        # One customer has one table, so only cells with more are moved.
+        self.open = np.flatnonzero(self.counts > 1)
+        c = self.counts[self.open]
+        self.reach, self.stirling = 1 + (c ** (self.d / 2)).astype(np.int64), stirling_of(self.d).of(c)
 
     def sample(self, parent: np.ndarray, rng: np.random.Generator, *, steps: int = 3, move_theta: bool = True) -> None:
         """Gibbs over the tables of every dish given all others: Metropolis moves, all dishes of a step at once.
 
         parent: probability of each cell's dish in the parent. One customer has one table.
         """
-        open_ = np.flatnonzero(self.counts > 1)
-        c, p, row, t = self.counts[open_], parent[open_], self.row[open_], self.tables[open_]
-        total = np.bincount(self.row, self.tables)
-        reach = 1 + (c ** (self.d / 2)).astype(np.int64)
+        c, p, row, t = self.counts[self.open], parent[self.open], self.row[self.open], self.tables[self.open]
         for _ in range(steps):
-            step = rng.integers(1, reach + 1) * rng.choice((-1, 1), len(c))
+            step = rng.integers(1, self.reach + 1) * (2 * rng.integers(0, 2, len(c)) - 1)
             to = t + step
-            log_ratio = step * (self.stirling(c, (t + to - 1) / 2) + np.log(np.maximum(self.theta + self.d * (total[row] + (step - 1) / 2), 1e-300) * p))
-            to = np.where((to >= 1) & (to <= c) & (np.log(rng.random(len(c))) < log_ratio), to, t)
-            total = total + np.bincount(row, to - t, len(total))
-            t = to
-        self.tables[open_] = t
+            log_ratio = step * (self.stirling((t + to - 1) / 2) + np.log(np.maximum(self.theta + self.d * (self.total[row] + (step - 1) / 2), 1e-300) * p))
+            moved = np.flatnonzero((to >= 1) & (to <= c) & (np.log(rng.random(len(c))) < log_ratio))
+            self.total = self.total + np.bincount(row[moved], step[moved], len(self.total))
+            t[moved] = to[moved]
+        self.tables[self.open] = t
         if move_theta:
-            self.theta = concentration(self.theta, self.d, self.customers, np.bincount(self.row, self.tables), rng)
+            self.theta = concentration(self.theta, self.d, self.customers, self.total, rng)
 
     def run(self, parent: np.ndarray, rng: np.random.Generator, *, sweeps: int, burn_in: int, move_theta: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Averages over the sweeps after burn-in: each cell's own part of its predictive probability, and each restaurant's weight of the parent.
@@ -129,7 +145,7 @@ class Restaurants:
             if sweep >= burn_in:
                 whole = self.theta + self.customers
                 own += (self.counts - self.d * self.tables) / whole[self.row]
-                weight += (self.theta + self.d * np.bincount(self.row, self.tables)) / whole
+                weight += (self.theta + self.d * self.total) / whole
                 thetas.append(self.theta)
         self.mean_theta = float(np.mean(thetas))
         return own / (sweeps - burn_in), weight / (sweeps - burn_in)
@@ -189,20 +205,24 @@ def fit_rare(values: np.ndarray, times: np.ndarray, *, sweeps: int, burn_in: int
     return total / (sweeps - burn_in), unseen / (sweeps - burn_in)
 
 
-def dishes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Dish of each word of a text and of the end after it: 0 is the end, 1, 2, ... are words (sorted), the last is RARE."""
-    at = np.searchsorted(words, hashes)
-    at[at == len(words)] = 0
-    known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-    return np.append(np.where(known, at + 1, len(words) + 1), 0)
+def hashed(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Word hashes of each text; short texts are joined by a blank and hashed together, as calls cost more than their bytes."""
+    held, n = [], 0
+    for k, text in enumerate(texts):
+        held.append(text or b"")
+        n += len(held[-1]) + 1
+        if n >= _JOINED or k == len(texts) - 1:
+            hashes, begin, _ = word_hashes(b" ".join(held))
+            yield from np.split(hashes, np.searchsorted(begin, np.cumsum([len(x) + 1 for x in held])[:-1]))
+            held, n = [], 0
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], tokens: int = 500_000) -> Iterator[list[tuple[int, bool, np.ndarray]]]:
     """(key, train, word hashes) of texts, gathered over batches up to about so many tokens and at most 65,535 texts."""
     held, n = [], 0
     for batch in batches:
-        for key, train, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            hashes = word_hashes(text)[0]
+        keys, trains, texts = (batch.column(k).to_pylist() for k in range(3))
+        for key, train, hashes in zip(keys, trains, hashed(texts), strict=True):
             held.append((key, train, hashes))
             n += len(hashes) + 1
             if n >= tokens or len(held) == 65_535:
@@ -227,6 +247,31 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Places:
+    """Places of hashes among sorted distinct ones.
+
+    Hashes are even, so one stands a few places behind the first with its leading bits; bisection would miss the cache
+    at each step. The table of these first places is at most as long as the hashes.
+    """
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = known
+        bits, span = max(1, len(known).bit_length() - 1), int(known[-1]) - int(known[0])
+        self.shift = np.uint64(max(0, span.bit_length() - bits))
+        steps = np.arange((span >> int(self.shift)) + 1, dtype=np.uint64)
+        self.first = np.searchsorted(known, known[0] + (steps << self.shift))
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The first place of a known hash that isn't smaller; for those beyond the last one, its place."""
+        inside = np.clip(hashes, self.known[0], self.known[-1])
+        at = self.first[(inside - self.known[0]) >> self.shift]
+        behind = np.flatnonzero(self.known[at] < inside)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.known[at[behind]] < inside[behind]]
+        return at
+
+
 @dataclass
 class Plan:
     """What tasks need to deal out tokens: frequent words, and contexts that are too frequent for one task."""
@@ -241,11 +286,35 @@ class Plan:
         """The first bucket of the k-th hot context."""
         return self.buckets + (np.cumsum(self.salts) - self.salts)[k]
 
-    def tokens(self, chunk: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Context, dish and text number of each token of a chunk."""
-        own = [dishes(x, self.words) for _, _, x in chunk]
-        context = np.concatenate([y for _, _, x in chunk for y in (np.array([START], np.uint64), x)])
-        return context, np.concatenate(own).astype(np.uint32), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    @cached_property
+    def _places(self) -> Places:
+        return Places(self.words)
+
+    def dishes(self, hashes: np.ndarray) -> np.ndarray:
+        """Dish of each word: 0 is the end, 1, 2, ... are words (sorted), the last is RARE."""
+        if not len(self.words):
+            return np.ones(len(hashes), np.int64)
+        at = self._places(hashes)
+        return np.where(self.words[at] == hashes, at + 1, len(self.words) + 1)
+
+    def tokens(self, chunk: list, *, only_hot: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Context, dish and text number of each token of a chunk, or of those with a hot context."""
+        sizes = np.array([len(x) + 1 for _, _, x in chunk])
+        ends = np.cumsum(sizes) - 1
+        hashes = np.concatenate([x for _, _, x in chunk])
+        is_end = np.zeros(sizes.sum(), bool)
+        is_end[ends] = True
+        context, word = np.full(len(is_end), START, np.uint64), np.zeros(len(is_end), np.uint64)
+        word[~is_end] = hashes
+        context[1:] = word[:-1]
+        context[ends[:-1] + 1] = START
+        text = np.repeat(np.arange(len(chunk)), sizes)
+        if only_hot:
+            keep = np.isin(context, self.hot)
+            context, word, is_end, text = context[keep], word[keep], is_end[keep], text[keep]
+        dish = np.zeros(len(word), np.uint32)
+        dish[~is_end] = self.dishes(word[~is_end])
+        return context, dish, text
 
     def rows(self, context: np.ndarray, salt: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, slice]]:
         """bucket, its contexts, their sizes and place, of sorted contexts; a hot context is a bucket of its own, by salt."""
@@ -298,15 +367,19 @@ def _packed(texts: DataFrame, shared: Broadcast[Plan], *, with_texts: bool) -> D
             context, dish, text = own.tokens(chunk)
             keys = np.array([k for k, _, _ in chunk], "<i8")
             train = np.array([t for _, t, _ in chunk], bool)
-            order = np.argsort(context, kind="stable")
-            context, dish, text = context[order], dish[order], text[order]
-            if not with_texts:
-                context, dish, counts = summed(context, dish, np.ones(len(dish)))
+            if with_texts:
+                # By context and place; whole numbers are sorted faster than their places are.
+                order = np.sort(ranks(context)[1] << 32 | np.arange(len(context))) & 0xFFFFFFFF
+                context, dish, text = context[order], dish[order], text[order]
+            else:
+                context, dish, counts = summed(context, dish)
             # The keys of a chunk's texts go in one row of their own; rows of tokens number them.
             rows = [(name, -1 - name, b"", b"", b"", b"", b"", keys.tobytes(), b"")] if with_texts else []
             for bucket, contexts, sizes, at in own.rows(context, int(keys[0])):
                 if with_texts:
-                    who, place = np.unique(text[at], return_inverse=True)
+                    there = np.zeros(len(chunk), bool)
+                    there[text[at]] = True
+                    who, place = np.flatnonzero(there), (np.cumsum(there) - 1)[text[at]]
                     rows.append((name, bucket, contexts.tobytes(), planes(sizes, "<u4"), planes(dish[at], "<u4"), b"", planes(place, "<u2"), who.astype("<u2").tobytes(), train[who].tobytes()))
                 elif bucket < own.buckets:
                     rows.append((name, bucket, contexts.tobytes(), planes(sizes, "<u4"), planes(dish[at], "<u4"), planes(counts[at], "<u4"), b"", b"", b""))
@@ -315,11 +388,30 @@ def _packed(texts: DataFrame, shared: Broadcast[Plan], *, with_texts: bool) -> D
     return texts.mapInArrow(run, PACKED)
 
 
-def summed(context: np.ndarray, dish: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (context, dish), sorted, with the sums of their counts."""
-    each, number = np.unique(context, return_inverse=True)
-    cell, place = np.unique(number.astype(np.int64) << _DISH | dish, return_inverse=True)
-    return each[cell >> _DISH], (cell & ((1 << _DISH) - 1)).astype(np.uint32), np.bincount(place, counts, len(cell)).astype(np.int64)
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where each distinct one of sorted values begins."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))[: len(values)])
+
+
+def ranks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and the place of each of ``hashes`` among them."""
+    each = np.sort(hashes)
+    each = each[firsts(each)]
+    return each, Places(each)(hashes) if len(each) else np.zeros(0, np.int64)
+
+
+def summed(context: np.ndarray, dish: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, dish), sorted, with the sums of their counts, by default 1 each."""
+    each, number = ranks(context)
+    cell = number.astype(np.int64) << _DISH | dish
+    if counts is None:
+        cell = np.sort(cell)
+        starts = firsts(cell)
+        cell, sums = cell[starts], np.diff(np.append(starts, len(cell)))
+    else:
+        cell, place = np.unique(cell, return_inverse=True)
+        sums = np.bincount(place, counts, len(cell)).astype(np.int64)
+    return each[cell >> _DISH], (cell & ((1 << _DISH) - 1)).astype(np.uint32), sums
 
 
 def _hot_cells(texts: DataFrame, shared: Broadcast[Plan]) -> DataFrame:
@@ -331,9 +423,8 @@ def _hot_cells(texts: DataFrame, shared: Broadcast[Plan]) -> DataFrame:
             chunk = [x for x in chunk if x[1]]
             if not chunk:
                 continue
-            context, dish, _ = own.tokens(chunk)
-            keep = np.isin(context, own.hot)
-            context, dish, counts = summed(context[keep], dish[keep], np.ones(keep.sum(), np.int64))
+            context, dish, _ = own.tokens(chunk, only_hot=True)
+            context, dish, counts = summed(context, dish)
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(own.hot, context)), pa.array(dish.astype("i8")), pa.array(counts)], ["hot", "dish", "n"])
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
@@ -357,8 +448,8 @@ def _tables(cells: DataFrame, shared: Broadcast[Plan], *, sweeps: int, burn_in:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         context, dish, counts = summed(*_cells(group))
-        row = np.unique(context, return_inverse=True)[1]
-        level = Restaurants(row, counts)
+        starts = firsts(context)
+        level = Restaurants(np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(context)))), counts)
         base = (shared.value.counts + 0.5) / (shared.value.counts + 0.5).sum()
         level.run(base[dish], np.random.default_rng([seed, int(group["bucket"].iloc[0])]), sweeps=sweeps, burn_in=burn_in)
         served, place = np.unique(dish, return_inverse=True)
@@ -386,16 +477,16 @@ def _context_scores(tokens: DataFrame, hot_cells: DataFrame, plan: Plan, root: n
         texts = [unplaned([x], "<u2") for x in tokens["texts"]]
         train = np.concatenate([np.frombuffer(t, bool)[x] for t, x in zip(tokens["train"], texts, strict=True)])
         # A hot context's tokens are in several buckets, each of which is given the whole restaurant's cells.
-        cells = summed(*_cells(hot)) if len(hot) else summed(context[train], dish[train], np.ones(int(train.sum())))
-        each, row = np.unique(cells[0], return_inverse=True)
+        cells = summed(*_cells(hot)) if len(hot) else summed(context[train], dish[train])
+        starts = firsts(cells[0])
+        each, row = cells[0][starts], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cells[0]))))
         score = np.log10(root[dish])
         if len(each):
             level = Restaurants(row, cells[2], theta, d)
             # All buckets of a hot context draw the same seating.
             bucket = int(hot["first"].iloc[0] if len(hot) else tokens["bucket"].iloc[0])
             part, weight = level.run(root[cells[1]], np.random.default_rng([seed, bucket]), sweeps=sweeps, burn_in=burn_in, move_theta=False)
-            at = np.searchsorted(each, context)
-            at[at == len(each)] = 0
+            at = Places(each)(context)
             met = each[at] == context
             known = row.astype(np.int64) << _DISH | cells[1]
             cell = at << _DISH | dish
@@ -444,11 +535,17 @@ def _rare_counts(texts: DataFrame, shared: Broadcast[Plan]) -> DataFrame:
         for number, chunk in enumerate(_chunks(batches)):
             name = TaskContext.get().partitionId() << 32 | number
             keys, train = np.array([k for k, _, _ in chunk], "<i8"), np.array([t for _, t, _ in chunk], bool)
-            served = [dishes(x, own.words) for _, _, x in chunk]
-            split = [np.unique(x[d[:-1] == len(own.words) + 1], return_counts=True) for d, (_, _, x) in zip(served, chunk, strict=True)]
-            each = np.array([(k, len(d), base[d].sum(), known[d].sum()) for k, d in zip(keys, served, strict=True)], EACH)
-            hashes, times = np.concatenate([s[0] for s in split]), np.concatenate([s[1] for s in split])
-            owner = np.repeat(np.arange(len(split)), [len(s[0]) for s in split])
+            _, dish, text = own.tokens(chunk)
+            starts = firsts(text)
+            sums = [x.sum() for x in np.split(base[dish], starts[1:])]
+            each = np.array(list(zip(keys, np.diff(np.append(starts, len(text))), sums, np.add.reduceat(known[dish], starts, dtype=np.int64), strict=True)), EACH)
+            # Distinct rare words of each text, by text and hash.
+            is_word = np.append(text[1:] == text[:-1], False)
+            words, rare = np.concatenate([x for _, _, x in chunk]), dish[is_word] == len(own.words) + 1
+            kinds, number = ranks(words[rare])
+            cell = np.sort(text[is_word][rare] << 32 | number)
+            starts = firsts(cell)
+            hashes, owner, times = kinds[cell[starts] & 0xFFFFFFFF], cell[starts] >> 32, np.diff(np.append(starts, len(cell)))
             bucket = ((hashes >> np.uint64(32)) * np.uint64(own.buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             present, starts = np.unique(bucket[order], return_index=True)

@@ -732,6 +732,33 @@ def test_planes_give_back_the_numbers():
     assert (pitman_yor.unplaned([pitman_yor.planes(x, "<u4") for x in some], "<u4") == np.concatenate(some)).all()
 
 
+def test_short_texts_are_hashed_together(monkeypatch):
+    r = random.Random(4)
+    texts = [None, b"", b" \t", b"one", *(" ".join(r.choice(("Ab", "c", "\u00e9", "a" * 9)) for _ in range(r.randrange(60))).encode() for _ in range(3000)), b"x " * 300_000, b""]
+    calls, word_hashes = [], pitman_yor.word_hashes
+    monkeypatch.setattr(pitman_yor, "word_hashes", lambda text: calls.append(len(text)) or word_hashes(text))
+    got = list(pitman_yor.hashed(texts))
+    assert len(got) == len(texts) and all((a == word_hashes(t)[0]).all() and len(a) == len(word_hashes(t)[0]) for a, t in zip(got, texts, strict=True))
+    assert len(calls) <= 2 + sum(calls) // (1 << 18) and list(pitman_yor.hashed([])) == []
+
+
+def test_places_and_sums_equal_bisection():
+    r = np.random.default_rng(5)
+    for known in (np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(r.integers(0, 2**64 - 1, 5000, np.uint64)), np.arange(9, 900, dtype=np.uint64)):
+        asked = np.concatenate((known, known + np.uint64(1), known - np.uint64(1), r.integers(0, 2**64 - 1, 100, np.uint64)))
+        assert (pitman_yor.Places(known)(asked) == np.minimum(np.searchsorted(known, asked), len(known) - 1)).all()
+        plan = pitman_yor.Plan(known, np.zeros(len(known) + 2), 4, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        assert plan.dishes(asked).tolist() == [int(np.searchsorted(known, x)) + 1 if x in known else len(known) + 1 for x in asked]
+    context, dish = r.integers(0, 2**64 - 1, 40, np.uint64)[r.integers(0, 40, 900)], r.integers(0, 9, 900).astype(np.uint32)
+    for counts in (None, r.integers(1, 5, 900)):
+        want = Counter()
+        for c, k, n in zip(context.tolist(), dish.tolist(), [1] * 900 if counts is None else counts.tolist(), strict=True):
+            want[c, k] += n
+        each, served, sums = pitman_yor.summed(context, dish, counts)
+        assert list(zip(each.tolist(), served.tolist(), sums.tolist(), strict=True)) == [(*k, n) for k, n in sorted(want.items())]
+    assert [len(x) for x in pitman_yor.summed(context[:0], dish[:0])] == [0, 0, 0]
+
+
 def test_hot_contexts_are_dealt_apart():
     hot = np.sort(np.array([5 << 60, 9 << 59], np.uint64))
     plan = pitman_yor.Plan(np.zeros(0, np.uint64), np.zeros(2), 4, hot, np.array([3, 8]))
