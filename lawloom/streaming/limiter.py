@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lawloom.session import shared_path
+
 MINUTE, DAY = 60.0, 86_400.0
 CELL = 3600.0
+STEP = 1 << 20  # requests that one task goes through while a limit over all clients binds
 # Accepted requests of a client in 60 seconds and in 24 hours, and of all clients in 24 hours.
 PER_MINUTE, PER_DAY, ALL_PER_DAY = 6, 60, 3000
 RESULT = "client string, id long, at double, accepted boolean, reason string"
@@ -55,6 +58,9 @@ def _walk(rows: DataFrame, per_minute: int, per_day: int, all_per_day: int | Non
         for batch in batches:
             reasons = []
             for client, at, held in zip(batch["client"], batch["at"], batch["held"], strict=True):
+                if all_per_day is not None and not held and len(every.day) >= all_per_day and at - every.day[0] <= DAY:
+                    reasons.append("all")  # full, and the oldest accepted request is still of the day
+                    continue
                 if client != last and all_per_day is None:
                     own = {}
                 last = client
@@ -76,10 +82,35 @@ def _walk(rows: DataFrame, per_minute: int, per_day: int, all_per_day: int | Non
     if all_per_day is None:
         rows = rows.repartition("client").sortWithinPartitions("client", "at", F.desc("held"), "id")
     else:
-        rows = rows.repartition(1).sortWithinPartitions("at", F.desc("held"), "id")
+        rows = rows.coalesce(1).sortWithinPartitions("at", F.desc("held"), "id")
     return rows.mapInPandas(walk, RESULT)
 
 
+def _walk_in_turn(rows: DataFrame, held: DataFrame, per_minute: int, per_day: int, all_per_day: int, step: int) -> DataFrame:
+    """``_walk`` with a limit over all clients, by ranges of (at, id) with about ``step`` rows, one after the other.
+
+    ``rows`` are written once, dealt by range. Each range is sorted and gone through by a task of its own, which is given what was
+    accepted in the day before it: at most ``all_per_day`` rows, which come to the driver between the ranges.
+    """
+    spark = rows.sparkSession
+    path = shared_path(spark, "walk")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    ranges = max(1, -(-rows.count() // step))
+    rows.repartitionByRange(ranges, "at", "id").withColumn("range", F.spark_partition_id()).write.partitionBy("range").parquet(f"{path}/rows")
+    dealt = spark.read.schema("client string, id long, at double, held boolean, range int").parquet(f"{path}/rows")
+    state = held.collect()
+    for k in range(ranges):
+        before = spark.createDataFrame(state, HELD)
+        own = dealt.where(F.col("range") == k).drop("range").unionByName(before.withColumn("held", F.lit(True)))
+        out = f"{path}/decided/batch={k}"
+        _walk(own, per_minute, per_day, all_per_day).write.parquet(out)
+        accepted = spark.read.schema(RESULT).parquet(out).where("accepted").select("client", "id", "at").unionByName(before)
+        newest = accepted.agg(F.max("at")).first()[0]
+        state = accepted.where(F.col("at") >= (newest or 0.0) - DAY).collect()
+    return decided(spark, path)
+
+
 def first_full(accepted: DataFrame, all_per_day: int) -> float | None:
     """A time before which less than ``all_per_day`` of the accepted requests (at) stand in any day, or None where that holds for all.
 
@@ -94,7 +125,13 @@ def first_full(accepted: DataFrame, all_per_day: int) -> float | None:
 
 
 def limit_rows(
-    requests: DataFrame, *, per_minute: int = PER_MINUTE, per_day: int = PER_DAY, all_per_day: int | None = None, held: DataFrame | None = None
+    requests: DataFrame,
+    *,
+    per_minute: int = PER_MINUTE,
+    per_day: int = PER_DAY,
+    all_per_day: int | None = None,
+    held: DataFrame | None = None,
+    step: int = STEP,
 ) -> DataFrame:
     """client, id, at (seconds), accepted, reason of requests (client, id, at).
 
@@ -105,9 +142,9 @@ def limit_rows(
 
     With ``all_per_day`` a request depends on all before it once that limit is reached, but not before. So clients
     are decided apart first, the hours are found in which their accepted requests could fill a day, and only
-    requests from the first such hour on are gone through by one task, with at most all_per_day times in hand; without
-    such an hour no request is. That needs a job at once, and the requests are read twice. Requests without a time
-    are refused ("time"); a null client is a client; an empty table gives no rows.
+    requests from the first such hour on are gone through one after the other, by ranges of about ``step`` requests, a task
+    for each, with at most all_per_day times in hand; without such an hour no request is. That needs jobs at once, as many as
+    ranges, and the requests are read again. Requests without a time are refused ("time"); a null client is a client; an empty table gives no rows.
     """
     fields = ["client", F.col("id").cast("long").alias("id"), F.nanvl(F.col("at").cast("double"), F.lit(None)).alias("at")]
     rows = requests.select(*fields, F.lit(False).alias("held"))
@@ -119,10 +156,11 @@ def limit_rows(
     start = first_full(apart.select("at", "accepted").unionByName(known), all_per_day)
     if start is None:
         return apart
-    early = apart.where((F.col("at") < start) | F.col("at").isNull())
-    before = early.where(F.col("accepted") & (F.col("at") >= start - DAY)).select("client", "id", "at", F.lit(True).alias("held"))
-    after = _walk(rows.where(F.col("at") >= start).unionByName(kept).unionByName(before), per_minute, per_day, all_per_day)
-    return early.unionByName(after)
+    # A decision needs nothing later, so only earlier requests are decided apart once more.
+    past = rows.where((F.col("at") < start) | F.col("at").isNull())
+    early = _walk(past if held is None else past.unionByName(kept), per_minute, per_day, None)
+    before = early.where("accepted").select("client", "id", "at").unionByName(kept.select("client", "id", "at")).where(F.col("at") >= start - DAY)
+    return early.unionByName(_walk_in_turn(rows.where(F.col("at") >= start), before, per_minute, per_day, all_per_day, step))
 
 
 def limit_stream_all(

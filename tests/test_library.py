@@ -366,6 +366,23 @@ def test_limiter_over_all_clients(spark, tmp_path, overall):
     assert 0 < len(kept) <= overall and min(x["at"] for x in kept) >= rows[-1][2] - 86_400
 
 
+@pytest.mark.parametrize("step", [40, 1_000])
+def test_limiter_walks_by_ranges(spark, monkeypatch, step):
+    import random
+
+    r = random.Random(12)
+    schema = "client string, id long, at double"
+    rows = [(r.choice(["a", "a", "b", None, *map(str, range(6))]), i, float(r.randrange(0, 200_000, 400))) for i in range(300)]
+    walk, walked = limiter._walk, []
+    monkeypatch.setattr(limiter, "_walk", lambda part, *limits: walk(part if limits[-1] is None else walked.append(part.count()) or part, *limits))
+    got = limiter.limit_rows(spark.createDataFrame([*rows, ("a", 9_000, None)], schema), per_minute=2, per_day=3, all_per_day=12, step=step).collect()
+    want = limited(rows, 2, 3, 12)
+    assert len(got) == len(rows) + 1 and {x.id: x.reason for x in got} == want | {9_000: "time"}
+    assert {"all", "day", None} <= set(want.values())
+    # No task has more than some ranges' rows and the state of a day.
+    assert len(walked) >= len(rows) // step * 0.8 and max(walked) <= 3 * step + 24
+
+
 def test_idle_clients_leave_the_stream(spark, tmp_path):
     import time
 
