@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -193,19 +192,29 @@ class TextIndex:
     def _scores(self, asked: DataFrame, ranges: DataFrame, k: int, least: dict | None = None) -> DataFrame:
         """query_id, range, id, score: of each range and query the best k documents with one of its terms.
 
-        Blocks of the terms and ids of the ranges meet by range, each once for all queries, and a task scores one range after the other. A query
-        whose bound in a range stays under its ``least`` is passed over there.
+        Blocks of the terms and ids of the ranges are grouped by range, each once for all queries. A query whose bound in a range stays under its
+        ``least`` is passed over there.
         """
-        kind = dict(asked.dtypes)["query_id"]
-        of_query = {}
-        for r in asked.orderBy("query_id", "term").collect():  # the terms of a block of queries
-            of_query.setdefault(r.query_id, []).append((r.term, r.idf))
-        shared = self.spark.sparkContext.broadcast((of_query, least or {}))
+        rows = asked.orderBy("query_id", "term").toArrow()  # the terms of a block of queries
+        names = rows["query_id"].combine_chunks().unique()
+        of_query = {key: [] for key in names.to_pylist()}
+        for key, term, idf in zip(*(rows[c].to_pylist() for c in ("query_id", "term", "idf"))):
+            of_query[key].append((term, idf))
+        shared = self.spark.sparkContext.broadcast((names, of_query, least or {}))
         size = 1 << self.bits
 
-        def scored(blocks: dict, number: int, places: np.ndarray, ids: list) -> Iterator[tuple]:
-            of_query, least = shared.value
-            for query, terms in of_query.items():
+        def scored(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            (names, of_query, least), blocks = shared.value, {}
+            places, ids = np.empty(0, int), pa.array([], group["ids"].type.value_type)
+            for batch in group.to_batches():
+                for term, at, impacts, top_impact, own in zip(batch["term"].to_pylist(), *(batch[c] for c in ("places", "impacts", "top", "ids"))):
+                    if term:
+                        blocks[term] = at.values.to_numpy(), impacts.values.to_numpy(), top_impact.as_py()
+                    else:
+                        places, ids = at.values.to_numpy(), own.values
+            keys = ids.to_pylist()
+            of, docs, scores = [], [], []
+            for n, (query, terms) in enumerate(of_query.items()):
                 own = [(idf, blocks[t]) for t, idf in terms if t in blocks]
                 if not own or sum(idf * b[2] for idf, b in own) + 1e-6 < least.get(query, 0.0):
                     continue
@@ -217,30 +226,20 @@ class TextIndex:
                 found = np.flatnonzero(met[places])
                 if len(found) > k:
                     found = found[total[found] >= np.partition(total[found], -k)[-k]]
-                for i in sorted(found.tolist(), key=lambda i: (-total[i], ids[i] is not None, ids[i]))[:k]:
-                    yield query, number, ids[i], float(total[i])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held, number, places, ids = {}, None, np.empty(0, int), []
-            columns = ["query_id", "range", "id", "score"]
-            for r in (r for batch in batches for r in batch.itertuples(index=False)):
-                if r.range != number:
-                    if number is not None:
-                        yield pd.DataFrame(list(scored(held, number, places, ids)), columns=columns)
-                    held, number, places, ids = {}, r.range, np.empty(0, int), []
-                if not r.term:
-                    places, ids = np.asarray(r.places), list(r.ids)
-                else:
-                    held[r.term] = (np.asarray(r.places), np.asarray(r.impacts), r.top)
-            if number is not None:
-                yield pd.DataFrame(list(scored(held, number, places, ids)), columns=columns)
+                best = sorted(found.tolist(), key=lambda i: (-total[i], keys[i] is not None, keys[i]))[:k]
+                of += [n] * len(best)
+                docs += best
+                scores += total[best].tolist()
+            columns = [names.take(pa.array(of, pa.int32())), pa.repeat(key[0], len(of)), ids.take(pa.array(docs, pa.int32())), pa.array(scores, pa.float64())]
+            return pa.Table.from_arrays(columns, ["query_id", "range", "id", "score"])
 
         # The rows of ids have no term; here they go by an empty one, which no text has.
         keys = asked.select("bucket", "term").unionByName(self.spark.createDataFrame([(-1, "")], "bucket int, term string")).distinct()
         rows = self.postings.where(F.col("bucket").isin([-1, *self._buckets(asked)])).withColumn("term", F.coalesce("term", F.lit("")))
         blocks = rows.join(F.broadcast(keys), ["bucket", "term"], "left_semi").join(ranges.select("range").distinct(), "range", "left_semi")
-        wanted = blocks.select("range", "term", "places", "impacts", "top", "ids").repartition("range").sortWithinPartitions("range")
-        return wanted.mapInPandas(run, f"query_id {kind}, range long, id {self.kind}, score double")
+        # A group by range, not rows dealt and sorted by it: Spark takes the join's shuffle for those, and may read that part by part once the join is a broadcast.
+        wanted = blocks.select("range", "term", "places", "impacts", "top", "ids").groupBy("range")
+        return wanted.applyInArrow(scored, f"query_id {dict(asked.dtypes)['query_id']}, range long, id {self.kind}, score double")
 
     def bounds(self, asked: DataFrame) -> DataFrame:
         """query_id, range, bound (no document of the range scores more), and the place of the range among those of its query."""

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawloom.operators import bitmaps, paging, text_index, vector_index
-from lawloom.operators.retrieve import terms, vector_top
+from lawloom.operators.retrieve import terms, top, vector_top
 from lawloom.operators.text_index import STOP, Analyzer, TextIndex, query_terms, stem
 from lawloom.operators.vector_index import VectorIndex
 
@@ -197,6 +198,33 @@ def test_bounds_hold_and_pass_over_ranges(spark, tmp_path, monkeypatch):
     assert index.search(queries, 1).first().id == 7777
 
 
+def test_blocks_of_a_range_stay_together(spark, tmp_path, monkeypatch):
+    """Copies of a text tie in many ranges, whose blocks are read by many tasks; which ranges to score is known late, so that join turns into a broadcast as it runs."""
+    monkeypatch.setattr(text_index, "BITS", 5)
+    texts = [" ".join(f"word{(n + i) % 40}" for i in range(6)) for n in range(40)]
+    docs = spark.createDataFrame([(c * 40 + n if c + n else None, t) for c in range(30) for n, t in enumerate(texts)], "id long, content string").repartition(3)
+    text_index.build(docs, f"file://{tmp_path}/t", {"content": 1.0})
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    settings = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+
+    def late(batches):
+        time.sleep(6)
+        yield from batches
+
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        index = TextIndex(spark, f"file://{tmp_path}/t")
+        known = index._asked(queries)
+        ranges = spark.createDataFrame([(r.range,) for r in index.postings.select("range").distinct().collect()], "range long").coalesce(1).mapInArrow(late, "range long")
+        best = top(index._scores(known, ranges, 10).select("query_id", "id", "score"), 10).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert {(r.query_id, r.rank): r.id for r in best} == {(n, c + 1): c * 40 + n if c + n else None for n in range(40) for c in range(10)}
+
+
 def test_terms(spark):
     assert [stem(w) for w in ("cities", "bus", "glass", "fees", "goes", "movies", "aies", "s", "law", "boxes")] == ["city", "bus", "glass", "fee", "goe", "movy", "aie", "", "law", "boxe"]
     assert Analyzer().terms("The laws; LAW's city-cities 3 3") == {"law": 2, "city": 2, "3": 2} and Analyzer().terms(None) == {}
