@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import zipfile
 from collections import deque
 
@@ -506,6 +507,36 @@ def test_vectors_of_their_own_table(spark):
         assert sorted(one.collect()) == sorted(two.collect()) and one.count() > 0
 
 
+def test_all_benchmark_items_are_queries(spark, tmp_path):
+    import duckdb
+
+    docs = [(n, " ".join(f"word{(n % 7 * i) % 11}" for i in range(n % 9 + 1)) if n % 13 else None, "src1") for n in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, [math.cos(n), math.sin(n)], n % 3) for n in range(30)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(n, f"Word{n} word{n + 3} other") for n in range(0, 60, 7)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with duckdb.connect() as c:
+        for name in ("documents", "embeddings", "benchmark"):
+            c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = sorted(c.execute(SQL["hybrid_rrf"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["hybrid_rrf"](spark, str(tmp_path)).collect())
+    assert got == want and {r[0] for r in got} == set(range(0, 60, 7))
+
+
+@pytest.mark.parametrize("held,tile,block,again", [(1 << 19, 512, 10_000, False), (40, 7, 3, False), (40, 7, 10_000, True)])
+def test_lexical_top_is_that_of_all_pairs(spark, monkeypatch, held, tile, block, again):
+    monkeypatch.setattr(retrieve, "HELD", held)
+    monkeypatch.setattr(retrieve, "TILE", tile)
+    docs = [(f"d{n}", " ".join(f"word{(n % 23 * i) % 17}" for i in range(n % 29)) if n % 13 else None) for n in range(300)] + [("e", ""), (None, "word3 \u0130 WORD4")]
+    docs = spark.createDataFrame(docs + docs[:40] * again, "id string, content string").repartition(5)
+    queries = spark.createDataFrame([(n, f"word{n} Word{n % 5 + 1} word{n % 3} i none") for n in range(12)] + [(50, None), (51, "nothing")], "query_id int, text string")
+    want = retrieve.top(retrieve.bm25(docs, queries), 6)
+    got = retrieve.bm25_top(docs, queries, 6, block=block)
+    assert sorted((r.query_id, r["rank"], r.id or "", round(r.score, 8)) for r in got.collect()) == sorted((r.query_id, r["rank"], r.id or "", round(r.score, 8)) for r in want.collect())
+    assert got.dtypes == want.dtypes and got.count() > 50
+    empty = docs.limit(0)
+    assert retrieve.bm25_top(empty, queries, 6).count() == 0 == retrieve.bm25_top(docs, queries.limit(0), 6).count()
+
+
 def test_parsed_rows_leave_in_slices(spark):
     import pandas as pd
 
